@@ -63,8 +63,8 @@ def dup_lines(text: bytes) -> int:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = pc.fill_null(batch.column("text"), "")
+    for batch in W.slices(batches):
+        texts = batch.column("text")
         found = W.words(texts)
         out = {k: np.zeros(len(texts), np.int64) for k in COUNTS}
         out["n_words"] = np.diff(found.bounds)
@@ -132,7 +132,7 @@ def filter_documents(docs: DataFrame, text: str = "text", host: str = "source",
 
 def _passing(width: int):
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in W.slices(batches):
             n = next(_count(iter([batch.select(["text"])])))
             failed = pc.or_(pc.less(n["n_words"], 10), pc.greater(pc.multiply(n["n_repeat_words"], 100), pc.multiply(n["n_words"], 20)))
             yield batch.filter(pc.invert(failed)).drop_columns(["text"])

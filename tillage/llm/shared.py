@@ -8,7 +8,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Texts are long, so Arrow batches hold fewer rows and bytes than Spark's defaults.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": (str(2**63 - 1), str(16 << 20))}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    for key, (default, smaller) in ARROW.items():
+        if spark.conf.get(key, None) in (default, None):  # a value of the user's own stays
+            spark.conf.set(key, smaller)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

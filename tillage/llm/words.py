@@ -56,6 +56,20 @@ def values(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def slices(batches, column: str = "text", limit: int = 1 << 20):
+    """The batches cut to about ``limit`` bytes of text each, as the arrays made from a text take some hundred times its size."""
+    for batch in batches:
+        texts = batch.column(column)
+        texts = texts.cast(pa.large_string()).fill_null("")
+        batch = batch.set_column(batch.schema.get_field_index(column), column, texts)
+        _, offsets = values(texts)
+        at = 0
+        while at < len(texts):
+            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def words(array: pa.Array, lower: bool = False) -> Words:
     data, offsets = values(array)
     if not len(data):
