@@ -1,8 +1,9 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from tillage.llm import quality_rules, sentencepiece
+from tillage.llm import packing, quality_rules, sentencepiece
 
 QUERIES = {
+    "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op7_sentencepiece": sentencepiece.op7_sentencepiece,
     "op9_quality_rules": quality_rules.op9_quality_rules,
 }
