@@ -1,14 +1,16 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from tillage.llm import chat, packing, quality_rules, sentencepiece
+from tillage.llm import chat, line_dedup, packing, quality_rules, sentencepiece
 
 QUERIES = {
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_chat_formatting": chat.op5_chat_formatting,
     "op7_sentencepiece": sentencepiece.op7_sentencepiece,
     "op9_quality_rules": quality_rules.op9_quality_rules,
 }
 ORACLE_SQL = {
+    "op4_line_dedup": line_dedup.ORACLE,
     "op5_chat_formatting": chat.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
 }
