@@ -1,8 +1,9 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from tillage.llm import chat, line_dedup, packing, quality_rules, sentencepiece
+from tillage.llm import chat, line_dedup, packing, quality_rules, sentencepiece, topk
 
 QUERIES = {
+    "op1_top_k_search": topk.op1_top_k_search,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_chat_formatting": chat.op5_chat_formatting,
@@ -10,6 +11,7 @@ QUERIES = {
     "op9_quality_rules": quality_rules.op9_quality_rules,
 }
 ORACLE_SQL = {
+    "op1_top_k_search": topk.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
     "op5_chat_formatting": chat.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
