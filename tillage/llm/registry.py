@@ -1,14 +1,16 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from tillage.llm import chat, line_dedup, packing, quality_rules, sentencepiece, topk
+from tillage.llm import chat, language_id, line_dedup, packing, quality_classifier, quality_rules, sentencepiece, topk
 
 QUERIES = {
     "op1_top_k_search": topk.op1_top_k_search,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op3_quality_classifier": quality_classifier.op3_quality_classifier,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_chat_formatting": chat.op5_chat_formatting,
     "op7_sentencepiece": sentencepiece.op7_sentencepiece,
     "op9_quality_rules": quality_rules.op9_quality_rules,
+    "op10_language_id": language_id.op10_language_id,
 }
 ORACLE_SQL = {
     "op1_top_k_search": topk.ORACLE,
