@@ -73,8 +73,9 @@ def test_words_alone_give_the_ids_of_the_text(spark):
     rng = random.Random(9)
     tokenizer = Tokenizer.from_file(PATH)
     alphabet = "aB'sédllvem 1½٣\t\n\r\x0b\x0c\x1c\x85 　.,!?<|>endoftextΣỊ̇́가각ᄀ"
+    bits = ["<|endoftext|>", "<|ENDOFTEXT|>", "it's", "'LL", "ŀŉſßĲ", "²¼½", "­", "don't", "×÷", "İI"]
     for _ in range(3000):
-        text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(30)))
+        text = " ".join(rng.choice(bits) for _ in range(rng.randrange(4))) + "".join(rng.choice(alphabet) for _ in range(rng.randrange(30)))
         ids = P._Ids(PATH) if _ == 0 else ids
         found = text.encode().split()
         ids.learn([found])

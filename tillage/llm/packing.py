@@ -128,21 +128,68 @@ def best_fit(counts: dict[int, int], capacity: int) -> Runs:
     return Runs(*(np.array([r[i] for r in out], np.int64) for i in range(5)))
 
 
+#: Words of these characters need no normalisation but lower case, so the tokenizer's own steps can be taken one by one.
+PLAIN = "[!-~\u00a1-\u012f\u0131-\u017f]+"
+PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level BPE writes for each character of one byte: itself if printable, else the next free one."""
+    printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class _Ids(dict):
     """Word: its ids as little-endian 32-bit numbers.  Words between ASCII white space are encoded one by one: the
-    tokenizer drops white space and never looks beyond it."""
+    tokenizer drops white space and never looks beyond it.  Plain words are cut by the tokenizer's pattern and each
+    part goes to its BPE model once; others go through the whole tokenizer."""
 
     def __init__(self, path: str) -> None:
+        import json
+
+        import regex
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = [x["type"] for x in spec["normalizer"]["normalizers"]], spec["pre_tokenizer"]["pretokenizers"][0]["pattern"].get("Regex")
+        known = steps == (["NFC", "Replace", "Lowercase"], PRETOKENS)
+        self.known = known
+        self.plain = regex.compile(PLAIN if known else r"(?!)")
+        self.cut = regex.compile(PRETOKENS)
+        self.special = [x["content"] for x in spec["added_tokens"]]
+        self.parts: dict[str, bytes] = {}
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+
+    def part(self, text: str) -> bytes:
+        found = self.parts.get(text)
+        if found is None:
+            mapped = text if text.isascii() else "".join([self.letters[b] for b in text.encode()])
+            packed = self.packed
+            found = self.parts[text] = b"".join([packed[t.id] for t in self.model.tokenize(mapped)])
+        return found
 
     def learn(self, found: list[list[bytes]]) -> None:
         if len(self) > REMEMBER:
             self.clear()
-        new = list({w for ws in found for w in ws if w not in self})
-        for word, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)):
-            self[word] = np.array(e.ids, "<u4").tobytes()
+            self.parts.clear()
+        odd = []
+        for key in {w for ws in found for w in ws if w not in self}:
+            word = key.decode()
+            stem = word.rstrip(".,")
+            if self.known and stem.isascii() and stem.isalpha():
+                stop = word[len(stem) :]
+                self[key] = self.part(stem.lower()) + self.part(stop) if stop else self.part(stem.lower())
+            elif self.plain.fullmatch(word) and not any(s in word for s in self.special):
+                self[key] = b"".join([self.part(p) for p in self.cut.findall(word.lower())])
+            else:
+                odd.append(key)
+        for key, e in zip(odd, self.tokenizer.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False)):
+            self[key] = np.array(e.ids, "<u4").tobytes()
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:

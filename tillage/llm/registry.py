@@ -1,6 +1,6 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from tillage.llm import chat, language_id, line_dedup, near_dedup, packing, quality_classifier, quality_rules, sentencepiece, topk
+from tillage.llm import chat, language_id, line_dedup, near_dedup, packing, quality_classifier, quality_rules, sentencepiece, substring_dedup, topk
 
 QUERIES = {
     "op1_top_k_search": topk.op1_top_k_search,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_quality_classifier": quality_classifier.op3_quality_classifier,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_chat_formatting": chat.op5_chat_formatting,
+    "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_sentencepiece": sentencepiece.op7_sentencepiece,
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_quality_rules": quality_rules.op9_quality_rules,
@@ -17,6 +18,7 @@ ORACLE_SQL = {
     "op1_top_k_search": topk.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
     "op5_chat_formatting": chat.ORACLE,
+    "op6_substring_dedup": substring_dedup.ORACLE,
     "op8_near_dedup": near_dedup.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
 }
