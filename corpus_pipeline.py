@@ -3,8 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tillage.llm import quality_rules, shared
+from tillage.llm import line_dedup, near_dedup, packing, quality_rules, shared, substring_dedup
+
+
+def _with_text(docs: DataFrame, changed: DataFrame, text: F.Column) -> DataFrame:
+    """``changed`` in the columns of ``docs``, with a new text and its length."""
+    out = changed.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(*docs.columns)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,8 +21,35 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.filter_documents(docs)
 
 
-STAGES = [("quality_rules", rules)]
-#: Packing and the components of near-duplicates are beyond SQL; tests/llm holds the stages against brute force.
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that ten documents or more share go from all texts."""
+    return _with_text(docs, line_dedup.dedup_lines(docs), F.col("text"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id stays."""
+    return near_dedup.keep_one(docs)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document has go; texts without any stay as they are."""
+    found = substring_dedup.remove_repeats(docs)
+    return _with_text(docs, found, F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all texts, packed into sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality_rules", rules),
+    ("line_dedup", lines),
+    ("near_dedup", near_duplicates),
+    ("substring_dedup", passages),
+    ("best_fit_packing", packed),
+]
+#: Best-fit packing is beyond SQL: tests/llm/test_pipeline.py holds each stage against SQL or brute force.
 ORACLE_SQL = None
 
 
