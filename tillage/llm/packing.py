@@ -28,7 +28,8 @@ from tillage.llm import shared
 
 CAPACITY = 4096
 END_ID = 1
-REMEMBER = 1_000_000
+#: Words remembered in a Python worker before it forgets them all.
+REMEMBER = 700_000
 
 
 class Capacities:
@@ -201,7 +202,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        known, ranks, part = _Ids(tokenizer), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
+        known = shared.per_process(("word ids", tokenizer), lambda: _Ids(tokenizer))
+        ranks, part = np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             texts = batch.column(1).cast(pa.large_string()).fill_null("").cast(pa.large_binary())

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +42,28 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, *keys: str, distinct: bool = False) -> DataFrame:
+    """As save(), in buckets by ``keys``: joins and groups by these keys move none of its rows again.  ``distinct``: a row
+    for each key, found after the one shuffle."""
+    spark = df.sparkSession
+    table, buckets = f"{name}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartition(buckets, *keys)
+    dealt = dealt.dropDuplicates([*keys]) if distinct else dealt
+    dealt.write.bucketBy(buckets, *keys).option("path", scratch_path(spark, name)).option("compression", "zstd").saveAsTable(table)
+    return spark.table(table)
+
+
+def per_process(key: tuple, make: Callable[[], object]) -> object:
+    """An object that lasts as long as the Python worker, over many tasks.
+
+    Functions reach a worker by value with each task, so their modules' globals don't last; a module of this name does.
+    """
+    store = sys.modules.setdefault("tillage_per_process", types.ModuleType("tillage_per_process")).__dict__.setdefault("objects", {})
+    if key not in store:
+        store[key] = make()
+    return store[key]
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a scratch table that no later step reads."""
     jvm = spark.sparkContext._jvm
