@@ -122,13 +122,14 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(cols, names=names).filter(keep)
 
 
-def repeated_windows(own: DataFrame, window: int, prefix: int, group: int) -> DataFrame:
-    """doc_id, tag, start, repeats (bits for the windows from ``start`` on).  ``own``: doc_id, tag, text."""
+def repeated_windows(own: DataFrame, window: int, prefix: int, group: int, scanned: DataFrame | None = None) -> DataFrame:
+    """doc_id, tag, start, repeats (bits for the windows from ``start`` on).  ``own``: doc_id, tag, text; ``scanned``: the
+    same texts where they are cheaper to read in any order."""
     if window - prefix > 30:
         raise ValueError("a run of windows has 31 bits")
     kind = own.schema["doc_id"].dataType.simpleString()
     known = own.where("doc_id IS NOT NULL")
-    anchors = known.select("doc_id", "text").mapInArrow(_anchors(window, prefix), f"anchor long, doc_id {kind}")
+    anchors = (scanned or own).where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(_anchors(window, prefix), f"anchor long, doc_id {kind}")
     shared_by = anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
     shared_by = shared_by.select("anchor", F.ceil(F.col("n") / group).cast("int").alias("salts"))
     by_doc = anchors.join(shared_by, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"), F.collect_list("salts").alias("salts"))
@@ -161,18 +162,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     repeat, in words) beside their own columns; columns of these names are replaced."""
     made = ("n_words", "n_removed", "kept", "spans")
     names = [c for c in docs.columns if c not in made]
-    own = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
-    own = own.withColumn("tag", F.xxhash64("text").bitwiseAND(0x7FFFFFFF).cast("int"))
-    dealt = own.repartition("doc_id")
-    windows = repeated_windows(dealt.select("doc_id", "tag", "text"), window, prefix, group)
+    own = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names) if c not in (id_col, text)), F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
+    # Two joins need the texts by id: they are dealt once, to a bucketed table.
+    dealt = shared.bucketed(own.withColumn("tag", F.xxhash64("text").bitwiseAND(0x7FFFFFFF).cast("int")), "texts", "doc_id")
+    windows = repeated_windows(dealt.select("doc_id", "tag", "text"), window, prefix, group, own.select("doc_id", "text"))
     lists = windows.groupBy(F.col("doc_id").alias("of_id")).agg(*(F.collect_list(c).alias(f"l_{c}") for c in ("tag", "start", "repeats")))
-    joined = dealt.join(lists, F.col("doc_id") == F.col("of_id"), "left").drop("of_id", "doc_id")
-    rest = [f for f in joined.schema if f.name.startswith("c")]
+    joined = dealt.join(lists, F.col("doc_id") == F.col("of_id"), "left").drop("of_id")
+    rest = [f for f in joined.schema if f.name[0] == "c" or f.name == "doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.slices(batches):
             counts, removed, kept, spans = [], [], [], []
-            values = batch.column("text").cast(pa.large_binary()).to_pylist()
+            texts = batch.column("text")
+            values = texts.cast(pa.large_binary()).to_pylist()
             for value, tag, *found in zip(values, *(batch.column(c).to_pylist() for c in ("tag", "l_tag", "l_start", "l_repeats"))):
                 split = value.split()
                 own_spans: list[dict] = []
@@ -187,13 +189,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 kept.append(b" ".join(split).decode())
                 spans.append(own_spans)
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(f.name) for f in rest), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, kind)],
-                names=[*(f.name for f in rest), *made],
-            )
+            out = [*(batch.column(f.name) for f in rest), texts.cast(pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, kind)]
+            yield pa.RecordBatch.from_arrays(out, names=[*(f.name for f in rest), "text", *made])
 
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rest), "n_words long, n_removed long, kept string, spans array<struct<start: int, end: int>>"])
-    return joined.mapInArrow(run, schema).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), *made)
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rest), "text string, n_words long, n_removed long, kept string, spans array<struct<start: int, end: int>>"])
+    called = {id_col: "doc_id", text: "text"}
+    return joined.mapInArrow(run, schema).select(*(F.col(called.get(c, f"c{i}")).alias(c) for i, c in enumerate(names)), *made)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
