@@ -25,8 +25,8 @@ from tillage.llm.words import sha256
 
 SPACE = "▁"
 CHUNK = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
-#: Chunks and pairs remembered in a task before it forgets them all.
-REMEMBER = 1_000_000
+#: Chunks and pairs remembered in a Python worker before it forgets them all.
+REMEMBER = 700_000
 
 
 class Pieces:
@@ -55,14 +55,21 @@ class Pieces:
 
     def merge(self, text: str) -> list[str]:
         """The definition: join the pair of best score, leftmost first, until none is a piece."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = max(((self.score[k], -i) for i in range(len(parts) - 1) if (k := self.ids.get(parts[i] + parts[i + 1])) is not None), default=None)
-            if best is None:
-                break
-            i = -best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
+        parts, ids, score = list(text), self.ids, self.score
+        scores = [score[i] if (i := ids.get(a + b)) is not None else None for a, b in zip(parts, parts[1:])]
+        while True:
+            best, at = None, -1
+            for i, x in enumerate(scores):
+                if x is not None and (best is None or x > best):
+                    best, at = x, i
+            if at < 0:
+                return parts
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del scores[at]
+            for i in (at - 1, at):
+                if 0 <= i < len(scores):
+                    k = ids.get(parts[i] + parts[i + 1])
+                    scores[i] = None if k is None else score[k]
 
     def compatible(self, before: str, token: str) -> bool:
         """Whether the encoding of both strings together is these two tokens; ``before`` may be empty."""
@@ -75,20 +82,22 @@ class Pieces:
 
     def split(self, chunk: str) -> list[str]:
         """The tokens of a chunk, by the prefix table."""
-        last: list[str] = [""] * (len(chunk) + 1)
-        known = [False] * (len(chunk) + 1)
-        known[0] = True
-        ending: dict[int, list[str]] = {}
-        for end, piece in self.automaton.iter(chunk):
-            ending.setdefault(end + 1, []).append(piece)
-        for end in range(1, len(chunk) + 1):
-            for piece in ending.get(end, ()):
-                at = end - len(piece)
-                if known[at] and self.compatible(last[at], piece):
-                    last[end], known[end] = piece, True
-                    break
-            else:  # a character that is no piece is a token of its own
-                last[end], known[end] = chunk[end - 1], chunk[end - 1] not in self.ids and known[end - 1]
+        last: list[str | None] = [""] + [None] * len(chunk)
+        ids, fits, filled = self.ids, self.fits, 0
+        for at, piece in self.automaton.iter(chunk):  # in order of their ends, longest first
+            while filled < at:
+                filled += 1
+                if last[filled] is None and chunk[filled - 1] not in ids:
+                    last[filled] = chunk[filled - 1]
+            if last[at + 1] is None:
+                before = last[at + 1 - len(piece)]
+                if before is not None:
+                    fit = fits.get((before, piece))
+                    if self.compatible(before, piece) if fit is None else fit:
+                        last[at + 1] = piece
+        for at in range(filled + 1, len(chunk) + 1):  # a character that is no piece is a token of its own
+            if last[at] is None and chunk[at - 1] not in ids:
+                last[at] = chunk[at - 1]
         tokens, end = [], len(chunk)
         while end:
             tokens.append(last[end])
@@ -204,11 +213,11 @@ def encode_column(docs: DataFrame, model: str, id_col: str = "doc_id", text: str
 
 
 def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """n_tokens and the hashes of ids and decoded text.  A chunk's ids and decoded text are worked out once for a task."""
+    """n_tokens and the hashes of ids and decoded text.  A chunk's ids and decoded text are worked out once for a worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model)
-        known = _Known(pieces)
+        known = shared.per_process(("pieces", model), lambda: _Known(Pieces(model)))
+        pieces = known.pieces
         for batch in batches:
             counts, ids_hashes, decoded_hashes = [], [], []
             for value in pc.fill_null(batch.column(1), "").to_pylist():
