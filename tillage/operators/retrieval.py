@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillage.functions.text import has
 from tillage.operators.graph import Graph
@@ -125,7 +126,7 @@ def embed_column(df: DataFrame, text: str, model: Callable[[], Callable[[list[st
     """``df`` with an embedding of a text column.  ``model`` is made once a task; it embeds ``batch`` texts at a time."""
     import pandas as pd
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed(series: pd.Series) -> pd.Series:
         made = model()
         out: list = []
