@@ -1,9 +1 @@
-"""Training-data operators.  Nothing outside this subpackage imports it.
-
-Functions that run inside tasks are pickled by value, so executors need no copy of the package.
-"""
-
-import tillage
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(tillage)
+"""Training-data operators.  Nothing outside this subpackage imports it."""
