@@ -101,25 +101,28 @@ def usage_records(docs: DataFrame, text: str = "text") -> DataFrame:
     out = docs.withColumn("_at", at).withColumn("_table", table).withColumn("_width", F.size(F.get("_table", F.lit(0))))
     body = F.filter(F.slice("_table", 3, F.greatest(F.size("_table"), F.lit(1))), lambda r: (F.size(r) >= F.col("_width")) & (F.size(r) >= 5))
     out = out.withColumn("_body", body)
-    weeds = lambda r: F.filter(F.transform(F.split(r[1], "[,/]", -1), strip), lambda w: w != "")
-    states = lambda r: F.when(F.size(normalise_states(r[2])) > 0, normalise_states(r[2])).otherwise(F.array(F.lit("All States")))
-    note = lambda r: F.when(strip(r[4]) != "", F.array(F.struct(F.lit("Timing").alias("type"), strip(r[4]).alias("description")))).otherwise(F.array().cast("array<struct<type: string, description: string>>"))
-    usage = F.transform("_body", lambda r: F.struct(
-        r[0].alias("crop"), F.coalesce(F.get(weeds(r), 0), strip(r[1])).alias("weed_common_name"), F.lit(None).cast("string").alias("weed_scientific_name"), states(r).alias("states"),
-        F.coalesce(rate_value(r[3]), F.lit(0.0)).alias("rate_value"), rate_unit(r[3]).alias("rate_unit"), strip(r[3]).alias("rate_full_text"), F.lit(None).cast("string").alias("growth_stage_weed"),
-        F.lit(None).cast("string").alias("growth_stage_crop"), note(r).alias("constraints"),
+    parsed = lambda r: F.struct(
+        r[0].alias("crop"), strip(r[1]).alias("weed_text"), F.filter(F.transform(F.split(r[1], "[,/]", -1), strip), lambda w: w != "").alias("weeds"), normalise_states(r[2]).alias("states"),
+        rate_value(r[3]).alias("rate_value"), rate_unit(r[3]).alias("rate_unit"), strip(r[3]).alias("rate"), strip(r[4]).alias("note"),
+    )
+    out = out.withColumn("_rows", F.transform("_body", parsed))  # each cell is read once
+    note = lambda x: F.when(x["note"] != "", F.array(F.struct(F.lit("Timing").alias("type"), x["note"].alias("description")))).otherwise(F.array().cast("array<struct<type: string, description: string>>"))
+    usage = F.transform("_rows", lambda x: F.struct(
+        x["crop"].alias("crop"), F.coalesce(F.get(x["weeds"], 0), x["weed_text"]).alias("weed_common_name"), F.lit(None).cast("string").alias("weed_scientific_name"),
+        F.when(F.size(x["states"]) > 0, x["states"]).otherwise(F.array(F.lit("All States"))).alias("states"), F.coalesce(x["rate_value"], F.lit(0.0)).alias("rate_value"), x["rate_unit"].alias("rate_unit"), x["rate"].alias("rate_full_text"),
+        F.lit(None).cast("string").alias("growth_stage_weed"), F.lit(None).cast("string").alias("growth_stage_crop"), note(x).alias("constraints"),
     ))
     actives = F.transform(F.regexp_extract_all(t, F.lit(r"(?U)Active Constituent:\s*([^\n]+)"), 1), strip)
     record = F.struct(
         _first(t, r"(?dUm)^#\s+(.+)$").alias("product_name"), F.replace(_first(t, r"(?U)APVMA Approval No:\s*([^\n]+)"), F.lit(" "), F.lit("")).alias("apvma_number"), actives.alias("active_constituents"),
         F.lit(None).cast("string").alias("moa_number"), _first(t, r"(?U)GROUP\s+([A-Z0-9]+)\s+HERBICIDE").alias("moa_legacy_letter"),
-        F.array_sort(F.array_distinct(F.transform("_body", lambda r: r[0]))).alias("identified_crops"), F.array_sort(F.array_distinct(F.flatten(F.transform("_body", weeds)))).alias("identified_weeds"), usage.alias("usage_scenarios"),
+        F.array_sort(F.array_distinct(F.col("_rows.crop"))).alias("identified_crops"), F.array_sort(F.array_distinct(F.flatten("_rows.weeds"))).alias("identified_weeds"), usage.alias("usage_scenarios"),
     )
     out = out.withColumn("record", record)
     incomplete = F.coalesce(F.col("record.product_name"), F.lit("")).eqNullSafe("") | F.coalesce(F.col("record.apvma_number"), F.lit("")).eqNullSafe("") | (F.size("record.active_constituents") == 0)
     problem = F.when(F.col("_at") == 0, "missing-directions").when(F.size("_table") < 3, "missing-table").when(F.size("_body") == 0, "empty-usage").when(incomplete, "incomplete-metadata")
     out = out.withColumn("problem", problem)
-    return out.withColumn("record", F.when(F.col("problem").isNull() | (F.col("problem") == "incomplete-metadata"), F.col("record"))).drop("_at", "_table", "_width", "_body")
+    return out.withColumn("record", F.when(F.col("problem").isNull() | (F.col("problem") == "incomplete-metadata"), F.col("record"))).drop("_at", "_table", "_width", "_body", "_rows")
 
 
 def to_label_record(record: Column) -> Column:
