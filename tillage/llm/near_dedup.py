@@ -5,9 +5,10 @@ independent trees a set branches by its minwise token under a hash of the tree's
 token; two sets of similarity s share a node with probability s.  In a first round every node's members are linked to
 its smallest member, and links are confirmed on the full sets; this joins groups of copies of any size with one
 comparison a member and tree.  Then only members of different components are left to compare: small nodes compare all
-those, large nodes branch again by the minwise token of the next level, ``levels`` deep at most, where what is left is
-compared whatever its size.  All candidates pass a comparison of 48 minwise bytes (a linked pair fails it with
-probability below 1e-6) and are confirmed on the full sets.  A pair of similarity 0.75 is missed with probability
+those, large nodes branch again by the minwise token of the next level, ``levels`` deep at most.  A node that is still
+large there is cut into blocks, and tasks compare the full sets of each pair of blocks and return links that join what
+belongs together, never all pairs.  Candidates from small nodes pass a comparison of 48 minwise bytes (a linked pair
+fails it with probability below 1e-6) and are confirmed on the full sets.  A pair of similarity 0.75 is missed with probability
 0.25 ** 16 in small nodes, and 2e-4 at the third level.  No group is gathered in a task, no links go to the driver.
 
 Texts without words (null, empty) have no set and are linked with nothing.  With fewer than five words the whole
@@ -34,6 +35,8 @@ SIMILAR, OF = 75, 100
 TREES, LEVELS = 16, 3
 #: Members of a node that are compared exhaustively.
 NODE = 50
+#: Members of a block of a node that is still larger at the last level.
+BLOCK = 256
 #: Trees in which a member must share its node with the node's smallest for the first round to compare them.
 FIRST_SHARED = 4
 #: Of 48 minwise bytes, equal ones that a candidate needs.
@@ -127,48 +130,107 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"])
 
 
+def _links_of(keys: list[bytes], parts: list[bytes], sets: list[np.ndarray], sides: list[bool]) -> list[tuple[bytes, bytes]]:
+    """Links that join what full sets join among these members, and no more; ``sides``: with True on both, a pair is
+    left to another block."""
+    parent = {p: p for p in parts}
+
+    def find(p: bytes) -> bytes:
+        while parent[p] != p:
+            parent[p] = p = parent[parent[p]]
+        return p
+
+    sizes = np.array([len(s) for s in sets])
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    mark = np.zeros(flat.max() + 1, np.int32)
+    second = np.array(sides)
+    links = []
+    for i in range(len(keys) - 1):
+        mine = flat[starts[i] : starts[i] + sizes[i]]
+        mark[mine] = 1
+        both = np.add.reduceat(mark[flat[starts[i + 1] :]], starts[i + 1 :] - starts[i + 1])
+        mark[mine] = 0
+        near = OF * both >= SIMILAR * (sizes[i] + sizes[i + 1 :] - both)
+        if second[i]:
+            near &= ~second[i + 1 :]
+        for j in (np.flatnonzero(near) + i + 1).tolist():
+            x, y = find(parts[i]), find(parts[j])
+            if x != y:
+                parent[x] = y
+                links.append((keys[i], keys[j]))
+    return links
+
+
+def _blocks_compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stream pairs of blocks (node, i, j), each with at most two blocks of members, and compare the members' full sets."""
+    present, held = None, []
+
+    def done() -> pa.RecordBatch:
+        keys, parts, sets, sides = ([h[k] for h in held] for k in range(4))
+        links = _links_of(keys, parts, sets, sides) if len(set(parts)) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    for batch in batches:
+        for node, i, j, own, key, part, members in zip(*(batch.column(c).to_pylist() for c in ("node", "i", "j", "own", "key", "component", "members"))):
+            if (node, i, j) != present:
+                if held:
+                    yield done()
+                present, held = (node, i, j), []
+            held.append((key, part, _unpack(members), i != j and own == j))
+    if held:
+        yield done()
+
+
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A byte of each token."""
     for batch in batches:
         flat = batch.column("tokens").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
         sketch = (flat >> np.uint64(8)).astype(np.uint8).reshape(batch.num_rows, -1)
-        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("rep"), batch.column("n"), batch.column("tokens"), pa.array([s.tobytes() for s in sketch], pa.binary())], names=["key", "rep", "n", "tokens", "sketch"])
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("rep"), batch.column("tokens"), pa.array([s.tobytes() for s in sketch], pa.binary())], names=["key", "rep", "tokens", "sketch"])
 
 
-def _sizes_fit(a: str, b: str) -> F.Column:
-    return F.expr(f"{OF} * least({a}, {b}) >= {SIMILAR} * greatest({a}, {b})")
+def _in_blocks(nodes: DataFrame) -> DataFrame:
+    """Members of large nodes, once for each pair of blocks of about BLOCK members that theirs is in."""
+    blocks = nodes.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    paired = blocks.select("node", "key", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return paired.select("node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "component")
 
 
 def similar_links(vertices: DataFrame, docs: DataFrame) -> DataFrame:
-    """Confirmed links (a, b) that join all vertices (key, rep, n, tokens) of a component.  ``docs``: doc_id, text."""
-    members = vertices.select("key", "rep", "n", "sketch", "tokens", F.posexplode(F.slice("tokens", 1, TREES)).alias("tree", "node"))
-    shares = members.select("node", "rep", "key", "n").groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("rep", "key", "n")).alias("first")).where("size > 1")
-    members = shared.save(members.join(shares, "node"), "nodes")
+    """Confirmed links (a, b) that join all vertices (key, rep, tokens, sketch) of a component.  ``docs``: doc_id, text.
+
+    ``vertices`` and the sets are bucketed by key, so that only keys travel to them.
+    """
+    members = vertices.select("key", F.posexplode(F.slice("tokens", 1, TREES)).alias("tree", "node"))
+    shares = members.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("key").alias("first")).where("size > 1")
+    members = shared.save(members.join(shares, "node").drop("size"), "nodes")
 
-    needed = members.select("rep").distinct()
-    texts = docs.where("doc_id IS NOT NULL").join(needed, F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id", "text"])
-    unnamed = docs.where("doc_id IS NULL").dropDuplicates(["text"])  # rows without an id can stand for a set too
-    sets = shared.save(texts.unionByName(unnamed).mapInArrow(_packed_sets, "key binary, members binary").dropDuplicates(["key"]), "sets")
+    needed = vertices.join(members.select("key").distinct(), "key", "left_semi").select("rep").distinct()
+    texts = docs.where("doc_id IS NOT NULL").join(needed, F.col("doc_id") == F.col("rep"), "left_semi")
+    unnamed = docs.where("doc_id IS NULL")  # rows without an id can stand for a set too
+    sets = shared.bucketed(texts.unionByName(unnamed).mapInArrow(_packed_sets, "key binary, members binary"), "sets", "key", distinct=True)
 
-    stars = members.where(F.col("key") != F.col("first.key")).where(_sizes_fit("n", "first.n")).groupBy(F.col("first.key").alias("a"), F.col("key").alias("b")).count()
+    stars = members.where(F.col("key") != F.col("first")).groupBy(F.col("first").alias("a"), F.col("key").alias("b")).count()
     links = shared.save(confirm(stars.where(F.col("count") >= FIRST_SHARED).select("a", "b"), sets), "confirmed")
 
     found = components(links)
-    now = members.drop("first", "size").join(found, F.col("key") == F.col("member"), "left").withColumn("component", F.coalesce("component", "key")).drop("member")
+    now = members.drop("first").join(found, F.col("key") == F.col("member"), "left").withColumn("component", F.coalesce("component", "key")).drop("member")
     pairs = None
     for level in range(LEVELS):
         mixed = now.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").drop("low", "high")
         now = shared.save(now.join(mixed, "node"), "mixed")
-        small = now if level == LEVELS - 1 else now.where(F.col("size") <= NODE)
-        side = lambda s: small.select("node", F.col("key").alias(s), F.col("component").alias(f"c{s}"), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"k{s}"))  # noqa: E731, B023
-        met = side("a").join(side("b"), "node").where("ca < cb").where(_sizes_fit("na", "nb")).select("a", "b", "ka", "kb")
-        alike = met.mapInArrow(_alike, "a binary, b binary")
+        small = now.where(F.col("size") <= NODE).join(vertices.select("key", "sketch"), "key")
+        side = lambda s: small.select("node", F.col("key").alias(s), F.col("component").alias(f"c{s}"), F.col("sketch").alias(f"k{s}"))  # noqa: E731, B023
+        alike = side("a").join(side("b"), "node").where("ca < cb").select("a", "b", "ka", "kb").mapInArrow(_alike, "a binary, b binary")
         pairs = alike if pairs is None else pairs.unionByName(alike)
         now = now.where(F.col("size") > NODE)
         if level == LEVELS - 1 or now.isEmpty():
             break
-        now = now.withColumn("node", F.xxhash64("node", F.element_at("tokens", F.col("tree") + (level + 1) * TREES + 1))).drop("size")
-    return links.unionByName(confirm(pairs.distinct(), sets))
+        branch = F.element_at("tokens", F.col("tree") + (level + 1) * TREES + 1)
+        now = now.join(vertices.select("key", "tokens"), "key").select("key", "tree", F.xxhash64("node", branch).alias("node"), "component")
+    large = _in_blocks(now).join(sets, "key").repartition("node", "i", "j").sortWithinPartitions("node", "i", "j").mapInArrow(_blocks_compared, "a binary, b binary")
+    return links.unionByName(confirm(pairs.distinct(), sets)).unionByName(large)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -176,8 +238,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
     signed = shared.save(own.mapInArrow(_signatures, f"doc_id {kind}, n_shingles long, key binary, tokens array<long>"), "signatures")
-    grouped = signed.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.first("tokens").alias("tokens"))
-    vertices = shared.save(grouped.mapInArrow(_sketched, f"key binary, rep {kind}, n long, tokens array<long>, sketch binary"), "vertices")
+    grouped = signed.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"))
+    vertices = shared.bucketed(grouped.mapInArrow(_sketched, f"key binary, rep {kind}, tokens array<long>, sketch binary"), "vertices", "key")
     found = components(similar_links(vertices, own))
     named = vertices.select("key", "rep").join(found, F.col("key") == F.col("member"), "left").withColumn("component", F.coalesce("component", "key"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
