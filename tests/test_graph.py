@@ -164,3 +164,22 @@ def test_stream_equals_batch(spark, tmp_path):
     got = violations.run_once(violations.hourly_rates(stream, "30 days"), str(tmp_path / "rows"), str(tmp_path / "checkpoint"))
     want = events.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("start"), "event_type").count()
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
+
+
+def test_chunks_in_the_graph_and_answers(small, spark):
+    from tillage.operators import answers as A
+
+    chunks = spark.createDataFrame(
+        [("H1-t-1", "ryegrass and dock in wheat", "table", 0, "H1", [1.0, 0.0]), ("H1-t-2", "wild radish", "table", 1, "H1", [0.0, 1.0]), ("H9-t-1", "barley", "table", 0, "H9", None)],
+        "chunk_id string, text string, chunk_type string, sequence_order int, product_number string, embedding array<double>",
+    )
+    docs = spark.createDataFrame([("H1", "old", 1), ("H1", "new", 2), ("H9", "x", 1)], "product_number string, source string, seq int")
+    g = A.load_chunks(G.Graph(**small.tables()), chunks, docs, squash=False)
+    assert {(r.product_number, r.source, r.chunk_count) for r in g.document.collect()} == {("H1", "new", 2), ("H9", "x", 1)}
+    assert [r.product_number for r in g.has_label.collect()] == ["H1"] and [tuple(r) for r in g.next.collect()] == [("H1-t-1", "H1-t-2")]
+    assert ("H1-t-2", "wild radish", "Weed") in {tuple(r) for r in g.mentions.collect()}
+    assert "Product 1" in A.describe_vector_search(g, "q", lambda t: [1.0, 0.1], 2)
+    assert "Annual" not in A.describe_entity(g, "weed", "nothing") and "Product 1" in A.describe_entity(g, "weed", "ryegrass")
+    assert "Product 2" in A.describe_entity(g, "crop", "barley") and "group A" in A.describe_entity(g, "herbicide", "H1") and "Unknown" in A.describe_entity(g, "x", "y")
+    assert "Group B" in A.describe_rotation(g, "A", "wheat", "radish") and "Product 1" in A.describe_hybrid(g, "q", lambda t: [1.0, 0.1], 1)
+    assert [r.chunk_id for r in R.chunks_for(g, "radish", "Weed", once=True).collect()] == ["H1-t-2"]
