@@ -36,8 +36,8 @@ class Capacities:
     """A segment tree over remaining capacities: how many open bins each node has below it."""
 
     def __init__(self, capacity: int) -> None:
-        self.size = 1 << (capacity + 1 - 1).bit_length() if capacity else 1
-        while self.size < capacity + 1:
+        self.size = 1
+        while self.size <= capacity:
             self.size *= 2
         self.bins = [0] * (2 * self.size)
 
