@@ -79,12 +79,18 @@ def normal_weed(name: Column) -> Column:
     return F.replace(strip(F.lower(name)), F.lit("'s"), F.lit("s"))
 
 
+def _constant(spark: SparkSession, rows: list[tuple[str, ...]], *names: str) -> DataFrame:
+    """Fixed rows as a local relation, whose size the optimizer knows."""
+    values = ", ".join("(" + ", ".join("'" + x.replace("'", "\\'") + "'" for x in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(f'`{n}`' for n in names)})")
+
+
 def moa_nodes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(MOA_GROUPS, "group string, description string, chemical_classes string")
+    return _constant(spark, MOA_GROUPS, "group", "description", "chemical_classes")
 
 
 def state_nodes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(STATES, "code string, name string")
+    return _constant(spark, STATES, "code", "name")
 
 
 @dataclass
