@@ -141,7 +141,7 @@ ANY = " OR ".join(MATCHES.values())
 add("message_rails", lambda s, d: guardrails.check_messages(B.table(s, d, "conversations")).select("conv_id", "turn", "passed", "violation_type", "bot_message"), f"SELECT conv_id, turn, v IS NULL AS passed, v AS violation_type, CASE WHEN v = 'pii' THEN '{guardrails.REJECTION}' END AS bot_message FROM (SELECT *, CASE WHEN {ANY} THEN 'pii' WHEN {OFF} THEN 'off_topic' END AS v FROM conversations)")
 RATES = "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2"
 add("violation_rate_hourly", lambda s, d: guardrails.violation_rates(B.table(s, d, "events"), "ts", "event_type"), RATES)
-add("violation_alerts", lambda s, d: guardrails.alerts(guardrails.violation_rates(B.table(s, d, "events"), "ts", "event_type"), 12), RATES + " HAVING count(*) > 12")
+add("violation_alerts", lambda s, d: guardrails.alerts(guardrails.violation_rates(B.table(s, d, "events"), "ts", "event_type"), 3), RATES + " HAVING count(*) > 3")
 
 
 def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
