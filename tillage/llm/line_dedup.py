@@ -137,7 +137,7 @@ def drop_lines(docs: DataFrame, frequent: DataFrame, text: str = "text") -> Data
     and no row id is needed.
     """
     names = docs.columns
-    own = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), F.col(text).alias("text"))
+    own = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names) if c != text), F.col(text).alias("text"))
     own = own.select("*", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), "text").alias("t2"))
     hits = keys(own, "text", "t1", "t2").join(frequent, ["h1", "h2"], "left_semi")
     hits = hits.groupBy("t1", "t2").agg(F.collect_set(F.struct("h1", "h2")).alias("hits")).select("t1", "t2", F.col("hits.h1").alias("a"), F.col("hits.h2").alias("b"))
