@@ -48,3 +48,10 @@ def test_pruning_skips_short_rows():
     finally:
         T.exact = inner
     assert sum(seen) <= 2048
+
+
+def test_vectors_of_one_length_are_dealt_evenly(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.permutation([3.0, 1.0, 1.0, 0.0, -1.0, 2.0]).tolist()) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {tuple(r) for r in T.top_k(df, F.col("id") % 10 == 0, shard_rows=30, seed_rows=5).collect()} == brute(rows, 5, 10)

@@ -32,8 +32,10 @@ SCALE = 256
 K = 5
 HEAD = 16
 BLOCK = 1024
-#: Vectors in a shard: a task's memory; queries travel once to each shard.
+#: Vectors in a shard at most: a task's memory; queries travel once to each shard.
 SHARD_ROWS = 1 << 17
+#: Vectors that a shard should have before a table is cut into more shards than memory asks for, one for each core.
+LEAST_ROWS = 1 << 13
 SEED_ROWS = 2048
 OUT = "query_id long, vec_id long, score long"
 #: Whole numbers up to here are exact as doubles, whatever the order in which they are added.
@@ -163,7 +165,7 @@ def _one_dimension(vectors: DataFrame, dim: int, n: int, is_query: Column, k: in
             floors = floors["min"].where(floors["size"] >= k).reindex(ids)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(floors.astype(float).fillna(-np.inf).to_numpy())], names=["id", "v", "floor"])
 
-    shards = max(1, -(-n // shard_rows))
+    shards = max(1, -(-n // shard_rows), min(-(-n // LEAST_ROWS), spark.sparkContext.defaultParallelism))
     cuts = vectors.approxQuantile("length", [i / shards for i in range(1, shards)], 0.0005) if shards > 1 else []
     # Rows of one length could all fall between the same cuts: a hash deals a shard's rows to parts of even size.
     in_shard = F.lit(0)
