@@ -28,8 +28,8 @@ from tillage.llm import shared
 
 CAPACITY = 4096
 END_ID = 1
-#: Words remembered in a Python worker before it forgets them all.
-REMEMBER = 700_000
+#: Words, and half as many parts of words, remembered in a Python worker before it forgets them: under 100 MB.
+REMEMBER = 300_000
 
 
 class Capacities:
@@ -177,6 +177,7 @@ class _Ids(dict):
     def learn(self, found: list[list[bytes]]) -> None:
         if len(self) > REMEMBER:
             self.clear()
+        if len(self.parts) > REMEMBER // 2:
             self.parts.clear()
         odd = []
         for key in {w for ws in found for w in ws if w not in self}:
