@@ -166,6 +166,17 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
 
 
+def test_stream_of_many_unordered_part_files(spark, tmp_path):
+    from tillage.plans import text_queries as T
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").orderBy(F.desc("ts")).coalesce(1)
+    per_file = -(-events.count() // 20)
+    events.write.option("maxRecordsPerFile", per_file).parquet(str(tmp_path / "events.parquet"))
+    assert len(list((tmp_path / "events.parquet").glob("part-*"))) == 20
+    got, want = (sorted(map(repr, T.QUERIES[name](spark, str(tmp_path)).select("start", "event_type", "n").collect())) for name in ("violation_rate_stream", "violation_rate_hourly"))
+    assert got == want and got
+
+
 def test_chunks_in_the_graph_and_answers(small, spark):
     from tillage.operators import answers as A
 

@@ -146,7 +146,7 @@ add("violation_alerts", lambda s, d: guardrails.alerts(guardrails.violation_rate
 
 def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")).rstrip("/") + f"/rates-{uuid.uuid4().hex}"
-    return violations.run_once(violations.hourly_rates(violations.stream_of(spark, sf_dir, "events.parquet")), f"{root}/rows", f"{root}/checkpoint")
+    return violations.run_once(violations.hourly_rates(violations.stream_of(spark, sf_dir, "events.parquet"), None), f"{root}/rows", f"{root}/checkpoint")
 
 
 add("violation_rate_stream", streamed, RATES)

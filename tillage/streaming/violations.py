@@ -1,4 +1,4 @@
-"""Violation rates over a stream of events, with a watermark for late ones."""
+"""Violation rates over a stream of events, with a watermark for late ones or, in a backfill, none."""
 
 from __future__ import annotations
 
@@ -9,15 +9,20 @@ from tillage.functions import guardrails
 
 
 def stream_of(spark: SparkSession, folder: str, file: str) -> DataFrame:
-    """A table's files in a folder as a stream, a few a trigger."""
+    """A table in a folder, one file or a directory of part files, as a stream, a few files a trigger."""
     schema = spark.read.parquet(f"{folder}/{file}").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).option("pathGlobFilter", file).parquet(folder)
-
-
-def hourly_rates(events: DataFrame, late: str = "2 hours") -> DataFrame:
-    """Events of each kind in each hour; hours older than the watermark are closed and forgotten."""
-    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    return guardrails.violation_rates(timed, "ts", "event_type")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{file}")
+    if path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(path).isDirectory():
+        return stream.parquet(f"{folder}/{file}")
+    return stream.option("pathGlobFilter", file).parquet(folder)  # a stream's path has to be a directory
+
+
+def hourly_rates(events: DataFrame, late: str | None = "2 hours") -> DataFrame:
+    """Events of each kind in each hour; hours older than the watermark are closed and forgotten.  ``late``: None for a
+    backfill, whose files come in any order; no event is late then, and all hours stay in the state."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return guardrails.violation_rates(timed.withWatermark("ts", late) if late else timed, "ts", "event_type")
 
 
 def run_once(rates: DataFrame, path: str, checkpoint: str) -> DataFrame:
