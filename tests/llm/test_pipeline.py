@@ -51,3 +51,21 @@ def test_empty_corpus(spark):
     docs = shared.read(spark, SMALL, "documents").limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, docs, SMALL).count() == 0
+
+
+def test_near_duplicates_with_repeated_and_null_ids(spark):
+    a, b, c, d, e, f = (" ".join(f"{k}{i}" for i in range(40)) for k in "abcdef")
+    near = lambda t: t + " more"
+    rows = [(3, b), (5, a), (5, near(b)), (None, near(b)), (None, near(a))]  # 5 is a's id and a copy's
+    rows += [(7, c), (7, c), (7, near(c)), (8, c)]  # equal rows, and two texts of one component with one id
+    rows += [(None, d), (None, d), (None, near(d)), (None, e)]  # no id at all
+    rows += [(9, f), (4, near(f)), (9, ""), (9, ""), (None, None), (None, " \n"), (2, "\u2028")]  # rows without words stay
+    docs = spark.createDataFrame([(*r, None if r[1] is None else len(r[1])) for r in rows], "doc_id long, text string, n_chars long").repartition(3)
+    out = P.near_duplicates(spark, docs, SMALL)
+    assert out.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    for group in (b, a, c, d, e, f):
+        assert len([t for _, t in got if t in (group, near(group))]) == 1
+    assert {(3, b), (5, a), (None, e), (4, near(f))} <= set(got) and [i for i, t in got if t in (c, near(c))] == [7]
+    assert sorted(map(repr, (r for r in got if not (r[1] or "").split(" ")[0].strip() or r[1] == "\u2028"))) == sorted(map(repr, [(9, ""), (9, ""), (None, None), (None, " \n"), (2, "\u2028")]))
+    assert len(got) == 11

@@ -13,7 +13,8 @@ fails it with probability below 1e-6) and are confirmed on the full sets.  A pai
 
 Texts without words (null, empty) have no set and are linked with nothing.  With fewer than five words the whole
 sequence is the one shingle.  Every row is a document of its own, so rows that repeat an id and differ in text are not
-linked by that; the smallest id of a component ignores null ids; a row is kept if its id is the component's.
+linked by that; the smallest id of a component ignores null ids; a row is kept if its id is the component's (keep_one()
+returns one row of these).
 An empty table gives an empty result; other columns are passed by.
 """
 
@@ -84,9 +85,10 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for row, values in zip(filled.tolist(), minwise(np.concatenate([sets[i] for i in filled]), starts, TREES * LEVELS)):
                 tokens[row] = values.view(np.int64)
         keys = [xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+        passed = [c for c in batch.schema.names if c != "text"]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(sizes), pa.array(keys, pa.binary()), pa.array(tokens, pa.list_(pa.int64()))],
-            names=["doc_id", "n_shingles", "key", "tokens"],
+            [*(batch.column(c) for c in passed), pa.array(sizes), pa.array(keys, pa.binary()), pa.array(tokens, pa.list_(pa.int64()))],
+            names=[*passed, "n_shingles", "key", "tokens"],
         )
 
 
@@ -233,26 +235,43 @@ def similar_links(vertices: DataFrame, docs: DataFrame) -> DataFrame:
     return links.unionByName(confirm(pairs.distinct(), sets)).unionByName(large)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row."""
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
+def _judged(own: DataFrame) -> DataFrame:
+    """A row for each of ``own`` (doc_id, text, others) with n_shingles, key, component, component_id and kept in place of
+    its text."""
     kind = own.schema["doc_id"].dataType.simpleString()
-    signed = shared.save(own.mapInArrow(_signatures, f"doc_id {kind}, n_shingles long, key binary, tokens array<long>"), "signatures")
+    passed = [f"{f.name} {f.dataType.simpleString()}" for f in own.schema if f.name != "text"]
+    signed = shared.save(own.mapInArrow(_signatures, ", ".join([*passed, "n_shingles long, key binary, tokens array<long>"])), "signatures")
     grouped = signed.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"))
     vertices = shared.bucketed(grouped.mapInArrow(_sketched, f"key binary, rep {kind}, tokens array<long>, sketch binary"), "vertices", "key")
-    found = components(similar_links(vertices, own))
+    found = components(similar_links(vertices, own.select("doc_id", "text")))
     named = vertices.select("key", "rep").join(found, F.col("key") == F.col("member"), "left").withColumn("component", F.coalesce("component", "key"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "component").select(F.col("key").alias("of_key"), "component_id")
-    out = signed.select("doc_id", "n_shingles", "key").join(named, F.col("key") == F.col("of_key"), "left")
+    named = named.join(least, "component").select(F.col("key").alias("of_key"), "component", "component_id")
+    out = signed.drop("tokens").join(named, F.col("key") == F.col("of_key"), "left").drop("of_key")
     out = out.withColumn("component_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row."""
+    return _judged(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that near_duplicates() keeps, with their own columns."""
-    gone = near_duplicates(docs, id_col, text).where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("gone_id"), "left_anti")
+    """One row of each component, and all rows without words, with their own columns.
+
+    Of a component's rows the one with its smallest id stays; where several have that id, or all ids are null, the one
+    whose text has the least MD5, and of equal texts any one.  A row is judged by its id and its text, so a kept row's id can
+    be that of a row which goes.
+    """
+    digest, worded = F.md5(F.col(text).cast("binary")), F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    judged = _judged(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), digest.alias("digest")))
+    stay = judged.where("key IS NOT NULL AND kept").groupBy("component", "doc_id").agg(F.min("digest").alias("stay_digest"))
+    stay = stay.select(F.struct("doc_id").alias("stay_id"), "stay_digest")  # in a struct, null equals null
+    # Repeats of a row are dropped where they lie, before they meet; the join needs no other shuffle.
+    once = docs.where(worded).withColumns({"own_id": F.struct(F.col(id_col).alias("doc_id")), "own_digest": digest}).dropDuplicates(["own_id", "own_digest"])
+    once = once.join(stay, (F.col("own_id") == F.col("stay_id")) & (F.col("own_digest") == F.col("stay_digest")), "left_semi")
+    return once.select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(docs.where(~worded))
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
