@@ -45,3 +45,36 @@ def test_windows_change_nothing_for_a_local_template(spark):
     assert got[1].loss_chars == len(loss) and got[1].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
     assert got[2].turns_sha256 == hashlib.sha256(b"\n\n\n\n").hexdigest() and got[2].loss_chars == 0
     assert got[None].n_turns == 1 and C.digest(C.format_turns(df.limit(0))).count() == 0
+
+
+def test_any_template_sees_the_whole_history(spark):
+    def forgets(ts):
+        last = max((i for i, (r, _) in enumerate(ts) if r == "assistant"), default=-1)
+        return "".join(f"[{r}]{t if r != 'assistant' or i == last else ''};" for i, (r, t) in enumerate(ts))
+
+    def strict(ts):  # the system text goes into the first user turn; roles alternate
+        out, system = "", ""
+        for i, (r, t) in enumerate(ts):
+            if r != ("system", "user", "assistant")[0 if not i else 2 - i % 2]:
+                raise ValueError(f"turn {i} is {r}")
+            out += "" if r == "system" else f"[{r}]{system}{t};"
+            system = t if r == "system" else ""
+        return out
+
+    turns = [("system", "be brief"), *((("user", "assistant")[i % 2], f"t{i}") for i in range(299))]
+    df = spark.createDataFrame([(1, i, *t) for i, t in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    got = sorted(C.format_turns(df, forgets).collect(), key=lambda r: r.n)
+    rewritten = [r for r in got if r.rewrites]
+    assert any(r.n > 256 for r in rewritten) and all(r.span == forgets(turns[: r.n + 1]) for r in rewritten)
+    got = sorted(C.format_turns(df, strict).collect(), key=lambda r: r.n)
+    assert "".join(r.span for r in got) == strict(turns) and not any(r.rewrites for r in got)
+    assert [r.span[r.text_start : r.text_end] for r in got[1:]] == [t for _, t in turns[1:]]
+    seen_back = C.turn_local(lambda ts: "".join(f"{len(ts)}{t}" for _, t in ts))  # a wrong declaration
+    state = C.Incremental(seen_back, 4, 2)
+    try:
+        for t in turns[:6]:
+            state.add(*t)
+    except ValueError as error:
+        assert "turn_local" in str(error)
+    else:
+        raise AssertionError("no error")

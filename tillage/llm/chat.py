@@ -6,10 +6,12 @@ rewrites history: the output before it is closed as a sample of its own, and the
 whose loss covers the new turn only; each such turn is marked.  Where the text stands inside a turn's span is found by
 rendering the turn again with a probe character in place of its text.
 
-Turns are dealt by conversation, sorted, and streamed: only the turns of the present window are held.  Conversations
-of more than ``window`` turns go on in a new window behind the last ``overlap`` turns, so that even a conversation with
-most of a table's rows takes bounded memory and time in proportion; a template whose output for a turn depends on
-turns further back than that needs a larger window.
+Turns are dealt by conversation, sorted, and streamed.  A template is rendered over the whole conversation so far, which
+takes memory in proportion to a conversation and time with its square; nothing less is exact for a function that may
+look at, or rewrite, any turn.  Only a template that is declared ``turn_local`` has old turns dropped: conversations of
+more than ``window`` turns go on in a new window behind the last ``overlap`` turns, so that even a conversation with most
+of a table's rows takes bounded memory and time in proportion.  If the outputs on both sides of a new window don't
+agree on the overlap, the declaration is wrong, which is an error.
 
 Rows are ordered by turn (null first), then role and text.  Null text and null role: empty.  Equal rows are turns of
 their own.  A null conv_id is a conversation of its own.  Empty tables give empty results; other columns are passed by.
@@ -44,6 +46,14 @@ def unescape(text: str) -> str:
     return re.sub(f"{ESCAPE}({ESCAPE}?)", r"\1", text)
 
 
+def turn_local(render: Template) -> Template:
+    """Declare that what a template adds for a turn depends on that turn's role and text only, and that it never rewrites
+    history, and that it renders any run of turns, even none; what it puts before the first turn is always the same."""
+    render.turn_local = True
+    return render
+
+
+@turn_local
 def marked_turns(turns: list[tuple[str, str]]) -> str:
     """``<s>role[INST]text</s>`` for each turn, with control strings in roles and texts escaped."""
     return "".join(f"<s>{escape(role)}[INST]{escape(text)}</s>" for role, text in turns)
@@ -64,15 +74,19 @@ class Incremental:
     def __init__(self, render: Template, window: int, overlap: int) -> None:
         self.render, self.window, self.overlap = render, window, overlap
         self.turns: list[tuple[str, str]] = []
+        self.local = getattr(render, "turn_local", False)
         self.before = ""
         self.total = self.sample = 0
 
     def add(self, role: str, text: str) -> tuple[int, int, str, int, int, bool]:
         """The sample's number, where the span starts in it, the span, where its text starts and ends in the span, and
         whether history was rewritten."""
-        if len(self.turns) >= self.window:
+        if self.local and len(self.turns) >= self.window:
             self.turns = self.turns[len(self.turns) - self.overlap :]
-            self.before = self.render(self.turns)
+            again, head = self.render(self.turns), self.render([])
+            if not again.startswith(head) or not self.before.endswith(again[len(head) :]):
+                raise ValueError("the template is declared turn_local, but what it adds for a turn depends on others")
+            self.before = again
         self.turns.append((role, text))
         output = self.render(self.turns)
         rewrites = not output.startswith(self.before)
