@@ -55,3 +55,18 @@ def test_other_lengths(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = S.remove_repeats(docs, window=5, prefix=3).collect()
     assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept) for r in got) == brute(rows, 5)
+
+
+def test_copies_of_one_text_get_different_salts(spark, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(i, text) for i in range(60)], "doc_id long, text string")
+    tags, whole = [], S.repeated_windows
+
+    def seen(own, *rest):
+        tags.extend(r.tag for r in own.collect())
+        return whole(own, *rest)
+
+    monkeypatch.setattr(S, "repeated_windows", seen)
+    got = {r.doc_id: r.n_removed for r in S.remove_repeats(docs, group=10).collect()}
+    assert got == {i: 20 if i else 0 for i in range(60)}
+    assert len({t % 6 for t in tags}) == 6

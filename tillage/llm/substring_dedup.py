@@ -163,8 +163,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     made = ("n_words", "n_removed", "kept", "spans")
     names = [c for c in docs.columns if c not in made]
     own = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names) if c not in (id_col, text)), F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
-    # Two joins need the texts by id: they are dealt once, to a bucketed table.
-    dealt = shared.bucketed(own.withColumn("tag", F.xxhash64("text").bitwiseAND(0x7FFFFFFF).cast("int")), "texts", "doc_id")
+    # Two joins need the texts by id: they are dealt once, to a bucketed table.  The tag tells rows of one id apart and
+    # salts; with the id in it, copies of one text get different salts.
+    dealt = shared.bucketed(own.withColumn("tag", F.xxhash64("doc_id", "text").bitwiseAND(0x7FFFFFFF).cast("int")), "texts", "doc_id")
     windows = repeated_windows(dealt.select("doc_id", "tag", "text"), window, prefix, group, own.select("doc_id", "text"))
     lists = windows.groupBy(F.col("doc_id").alias("of_id")).agg(*(F.collect_list(c).alias(f"l_{c}") for c in ("tag", "start", "repeats")))
     joined = dealt.join(lists, F.col("doc_id") == F.col("of_id"), "left").drop("of_id")
