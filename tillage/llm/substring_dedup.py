@@ -1,13 +1,14 @@
-"""Removal of repeated passages by prefix-partitioned suffix trees over words.
+"""Removal of repeated passages by minimizer bucketing of fixed windows of words.
 
-A passage of ``window`` words or more that occurs in two documents is a path of that depth in the suffix tree of the
-corpus, below its first words.  The tree is never built whole.  Suffixes are sampled by content: in every window the
+No suffix tree is built.  A word goes if a window of ``window`` words around it is in an earlier document, so all that
+removal needs of the corpus's suffix tree is its paths of that depth, and these are found by hash.  In every window the
 ``prefix``-word run with the least hash is an anchor, so equal windows have equal anchors, and a repeat cannot be
-missed.  Suffixes are split by their anchor, the first words of their path.  Anchors that occur in one document only
-are leaves and are dropped at once.  Those left are dealt by anchor, so a task gets whole subtrees one after the other,
-in order of doc_id, and keeps only the nodes of the subtree it is in: the hashed paths of depth ``window``.  A
-window that meets its node again in a later document is a repeat; runs of such windows are the maximal repeats.  An
-anchor in more than ``group`` documents gets a longer prefix, all the window's words, and each such node's suffixes
+missed.  Windows are split by their anchor.  Anchors that occur in one document only are dropped at once.  Those left
+are dealt by anchor, so a task gets whole groups one after the other, in order of doc_id, and keeps only the hashes of
+the windows of the group it is in, each with its first document.  A window that is met again in a later document is a
+repeat.  Longer repeats are not told apart: a span is a stretch of words that such windows cover, which may come from
+several documents and be repeated nowhere as a whole, and maximal repeats are not computed.  Prefixes are not sized to
+memory: an anchor in more than ``group`` documents is replaced by the whole window, and each such window's documents
 are salted: every salt keeps its first document, and only these meet in a second step.
 
 Words are ``[^\\x20\\x09-\\x0D]+``, unchanged.  A word goes if a window covering it also starts in a row with a smaller
@@ -29,7 +30,7 @@ from tillage.llm import shared
 from tillage.llm import words as W
 
 WINDOW, PREFIX = 13, 6
-#: Documents with one anchor that are taken as one subtree; beyond it the prefix is lengthened and salted.
+#: Documents with one anchor that are taken as one group; beyond it the whole window takes its place and is salted.
 GROUP = 20_000
 
 
@@ -66,8 +67,8 @@ def _anchors(window: int, prefix: int):
     return run
 
 
-def _suffixes(window: int, prefix: int):
-    """The windows at anchors that other documents have too, as hashed paths below the prefix."""
+def _windows(window: int, prefix: int):
+    """The windows at anchors that other documents have too, as hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.slices(batches):
@@ -84,7 +85,7 @@ def _suffixes(window: int, prefix: int):
                     continue
                 if salts == 1:
                     rows = [(key, 0, at, paths[start : start + n].tobytes())]
-                else:  # the prefix grows to the whole window
+                else:  # the whole window in place of its anchor
                     salt = int(tags[d]) % salts + 1
                     rows = [(int(p), salt, at + i, p.tobytes()) for i, p in enumerate(paths[start : start + n].view(np.int64))]
                 for group, salt, offset, data in rows:
@@ -98,9 +99,9 @@ def _suffixes(window: int, prefix: int):
     return run
 
 
-def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stream subtrees in order of (anchor, salt, doc_id).  ``repeats`` has a bit for each window that an earlier document
-    has; a salted node's first window keeps its path for the second step."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stream groups in order of (anchor, salt, doc_id).  ``repeats`` has a bit for each window that an earlier document
+    has; a salted group's first window keeps its hash for the second step."""
     present, nodes = None, {}
     for batch in batches:
         data = batch.column("paths").to_pylist()
@@ -134,12 +135,12 @@ def repeated_windows(own: DataFrame, window: int, prefix: int, group: int, scann
     shared_by = shared_by.select("anchor", F.ceil(F.col("n") / group).cast("int").alias("salts"))
     by_doc = anchors.join(shared_by, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"), F.collect_list("salts").alias("salts"))
     texts = known.join(by_doc.withColumnRenamed("doc_id", "of_id"), F.col("doc_id") == F.col("of_id"))
-    suffixes = texts.select("doc_id", "tag", "text", "anchors", "salts").mapInArrow(_suffixes(window, prefix), f"anchor long, salt int, doc_id {kind}, tag int, start int, paths binary")
+    suspects = texts.select("doc_id", "tag", "text", "anchors", "salts").mapInArrow(_windows(window, prefix), f"anchor long, salt int, doc_id {kind}, tag int, start int, paths binary")
     order = ["anchor", "salt", "doc_id"]
     judged = f"anchor long, doc_id {kind}, tag int, start int, repeats int, paths binary"
-    first = suffixes.repartition("anchor", "salt").sortWithinPartitions(*order).mapInArrow(_subtrees, judged)
+    first = suspects.repartition("anchor", "salt").sortWithinPartitions(*order).mapInArrow(_groups, judged)
     left = first.where("paths IS NOT NULL").select("anchor", F.lit(0).alias("salt"), "doc_id", "tag", "start", "paths")
-    second = left.repartition("anchor", "salt").sortWithinPartitions(*order).mapInArrow(_subtrees, judged)
+    second = left.repartition("anchor", "salt").sortWithinPartitions(*order).mapInArrow(_groups, judged)
     spans = ["doc_id", "tag", "start", "repeats"]
     return first.where("repeats <> 0").select(*spans).unionByName(second.where("repeats <> 0").select(*spans))
 
@@ -158,8 +159,8 @@ def covered(n_words: int, starts: list[int], repeats: list[int], window: int) ->
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, prefix: int = PREFIX, group: int = GROUP) -> DataFrame:
-    """``docs`` with n_words, n_removed, kept (words joined by one space) and spans (start and end of each maximal
-    repeat, in words) beside their own columns; columns of these names are replaced."""
+    """``docs`` with n_words, n_removed, kept (words joined by one space) and spans (start and end of each stretch
+    of words that repeated windows cover) beside their own columns; columns of these names are replaced."""
     made = ("n_words", "n_removed", "kept", "spans")
     names = [c for c in docs.columns if c not in made]
     own = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names) if c not in (id_col, text)), F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
