@@ -33,3 +33,14 @@ def test_fusion_by_hand(spark):
     assert abs(got[30].probability - prior) < 1e-5
     assert L.identify(L.page_rows(pages.limit(0)), model, F.lit(True)).count() == 0
     assert L.visible_text(b'<script>var t="</p>";</script>a<!-- b -->c<style>p</style>&amp;<b>d') .split() == [b"a", b"c", b"d"]
+
+
+def test_all_languages_of_the_sample_are_in_the_model(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = [f"x{i:03d}" for i in range(230)]
+    texts = [f"{letters[i % 26]}{letters[i // 26]}q " * (30 - i // 10) for i in range(230)]
+    docs = spark.createDataFrame([(i, t, n) for i, (t, n) in enumerate(zip(texts, names))], "doc_id long, text string, lang string")
+    model = L.train(docs)
+    assert model[0] == names
+    rows = docs.where("doc_id >= 226").select("doc_id", "text", *(F.lit(None).cast("string").alias(c) for c in ("host", "suffix", "declared")))
+    assert {r.doc_id: r.lang for r in L.identify(rows, model).collect()} == {i: names[i] for i in range(226, 230)}

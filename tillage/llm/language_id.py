@@ -6,7 +6,8 @@ host's prior is smoothed hierarchically: expected counts of each language, from
 address, are summed by host, by suffix and over all rows by grouped aggregation; a suffix's shares are shrunk towards
 those of all rows, and a host's towards its suffix's.
 
-Trigram counts come from a bounded sample of labelled documents.  Overlapping trigrams are not independent, so a text
+Trigram counts come from a bounded sample of labelled documents; every language in it is in the model, which takes the
+driver BUCKETS numbers a language, and the queries an expression a language.  Overlapping trigrams are not independent, so a text
 counts as ``evidence`` trigrams at most, with the mean over its whole length.  Null or empty texts rest on the other
 evidence; null addresses on text and markup.  Equal rows get equal results, ties go to the first language in
 alphabetical order, an empty table gives an empty result, and other columns are passed by.
@@ -26,7 +27,6 @@ from tillage.llm import shared
 from tillage.llm import words as W
 
 SAMPLE_ROWS = 8_000
-LANGUAGES = 200
 BUCKETS = 1 << 15
 EVIDENCE = 100
 #: How often markup names the right language, and an address suffix that is a language's own.
@@ -78,13 +78,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
             at = np.flatnonzero(found)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(found[at], pa.int64())], names=["lang", "bucket", "n"])
 
-    counted = sample.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("counts"), F.sum("n").alias("total"))
-    rows = counted.orderBy(F.desc("total"), "lang").limit(LANGUAGES).collect()  # languages times buckets, at most
-    langs = sorted(r["lang"] for r in rows)
+    counted = sample.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("counts"))
+    rows = sorted(counted.collect(), key=lambda r: r["lang"])  # the sample's languages times buckets, at most
+    langs = [r["lang"] for r in rows]
     table = np.full((len(langs), BUCKETS), 0.5)
-    for r in rows:
+    for k, r in enumerate(rows):
         for c in r["counts"]:
-            table[langs.index(r["lang"]), c["bucket"]] += c["n"]
+            table[k, c["bucket"]] += c["n"]
     return langs, np.log(table / table.sum(1, keepdims=True)) if langs else table
 
 
