@@ -115,3 +115,20 @@ def test_mentions_link_by_containment(spark):
     for squash, first in ((True, set()), (False, {("c1", "wild radish")})):
         got = {(r.chunk_id, r.entity) for r in C.link_mentions(chunks, names, C.WEEDS + C.CROPS, "Weed", squash).collect()}
         assert got == first | {("c1", "paddock dock"), ("c2", "wild oats")}
+
+
+def test_alerts_above_five_in_five_minutes(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    import duckdb
+
+    from tillage.plans import text_queries as T
+
+    at = datetime(2024, 1, 1, 10, 5)
+    rows = [(at + timedelta(seconds=40 * i), "six") for i in range(6)] + [(at + timedelta(seconds=40 * i), "five") for i in range(5)]
+    rows += [(at + timedelta(minutes=2 + i), "split") for i in range(6)] + [(at + timedelta(minutes=8 * i), "slow") for i in range(7)]
+    spark.createDataFrame(rows, "ts timestamp_ntz, event_type string").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = [tuple(r) for r in T.QUERIES["violation_alerts_5_minutes"](spark, str(tmp_path)).select("start", "event_type", "n").collect()]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert got == con.execute(T.SQL["violation_alerts_5_minutes"]).fetchall() == [(at, "six", 6)]

@@ -142,6 +142,7 @@ add("message_rails", lambda s, d: guardrails.check_messages(B.table(s, d, "conve
 RATES = "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2"
 add("violation_rate_hourly", lambda s, d: guardrails.violation_rates(B.table(s, d, "events"), "ts", "event_type"), RATES)
 add("violation_alerts", lambda s, d: guardrails.alerts(guardrails.violation_rates(B.table(s, d, "events"), "ts", "event_type"), 3), RATES + " HAVING count(*) > 3")
+add("violation_alerts_5_minutes", lambda s, d: guardrails.alerts(guardrails.violation_rates(B.table(s, d, "events"), "ts", "event_type", "5 minutes")), "SELECT time_bucket(INTERVAL '5 minutes', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 5")
 
 
 def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
