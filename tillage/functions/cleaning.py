@@ -5,71 +5,78 @@ Patterns are Python's, with (?U) for its Unicode classes and (?d) so that only \
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillage.functions.text import normalize, strip, sub_all
+from tillage.functions.text import any_of, bind, like, normalize, strip, sub_all, sub_if
 
 _STREET = "(Road|Street|Avenue|Drive|Way|Rd|St|Ave)"
-# The noise rules, in this order.  m: each line; i: any case.
-NOISE = [
-    (r"(?dUm)^\d{1,2}/\d{1,2}/\d{2,4}\s*$", ""),
-    (r"(?dUmi)^Page\s+\d+\s*(of\s+\d+)?\s*$", ""),
-    (r"(?dUi)\d{1,2}/\d{1,2}/\d{2,4}\s*\n\s*Page\s+\d+\s*(of\s+\d+)?", ""),
-    (r"(?dUmi)^Filename:\s*\S+\.(doc|docx|pdf)\s*$", ""),
-    (r"(?dUmi)^Draft\s+(pack\s+)?label\s*(leaflet|booklet)?\s*$", ""),
-    (r"(?dUi)<br>\s*\*?", " "),
-    (r"(?dUi)</?[a-z]+[^>]*>", ""),
-    (r"(?dUmi)^Product\s+No\.?:\s*$", ""),
-    (r"(?dUmi)^Batch\s+No\.?:\s*$", ""),
-    (r"(?dUmi)^Date\s+of\s+Manufacture:\s*$", ""),
-    (r"(?dUmi)^NRA\s+Approval\s+No\.?:\s*\d*/?\d*\s*$", ""),
-    (r"(?dUmi)^APVMA\s+Approval\s+No\.?:\s*\d*/?\d*\s*$", ""),
-    (r"(?dUmi)^\s*[-*]\s*Registered\s+trademark\s+of\s+[^.\n]+\.?\s*$", ""),
-    (r"(?dUm)^\s*[®™]\s*[^\n]*$", ""),
-    (r"(?dUi)\(c\)\s*Copyright[,.]?\s*[^,\n]+,?\s*\d{4}\s*", ""),
-    (r"(?dUi)©\s*Copyright[,.]?\s*[^,\n]+,?\s*\d{4}\s*", ""),
-    (rf"(?dUmi)^\d+\s+[\w\s]+\s+{_STREET},?\s+[\w\s]+\s+(NSW|VIC|QLD|SA|WA|TAS|NT|ACT)\s+\d{{4}}\s*$", ""),
-    (rf"(?dUmi)^\d+\s+\d+\s+\w+\s+{_STREET}[^\n]*$", ""),
-    (r"(?dUm)^(\d+)\s*L\s*$", ""),
-    (r"(?dUi)THIS PRODUCT IS NOT CONSIDERED TO BE A DANGEROUS GOOD[S]? UNDER THE AUSTRALIAN\s*\n?CODE FOR THE TRANSPORT OF DANGEROUS GOODS BY ROAD AND RAIL\.?", ""),
-    (r"(?dUi)\*\*FOR SPECIALIST ADVICE IN AN EMERGENCY ONLY\*\*", ""),
-    (r"(?dUi)\*\*TOLL FREE - ALL HOURS - AUSTRALIA WIDE\*\*", ""),
-    (r"(?dUm)^\*\*CYANAMID\*\*\s*$", ""),
-    (r"(?dUmi)^\d+\s+CYANAMID AGRICULTURE PTY\.?\s*LIMITED\s*$", ""),
-    (r"(?dUm)^\d+\s*$", ""),
-    (r"(?dUm)^\s*\d{1,3}\s+\d{1,3}\s*$", ""),
-    (r"\n{4,}", "\n\n\n"),
-    (r"(?dUm)^\s*[\*\-_]{3,}\s*$", ""),
-    (r"(?dUi)\|Col\d+\|", "|"),
-    (r"(?dUmi)^This section contains file attachment\.\s*$", ""),
+_DIGIT = like(r"(?U)\d")
+# The noise rules, in this order.  m: each line; i: any case.  Before each, a test that its matches pass.
+NOISE_RULES = [
+    (any_of("/"), r"(?dUm)^\d{1,2}/\d{1,2}/\d{2,4}\s*$", ""),
+    (any_of("page"), r"(?dUmi)^Page\s+\d+\s*(of\s+\d+)?\s*$", ""),
+    (any_of("page"), r"(?dUi)\d{1,2}/\d{1,2}/\d{2,4}\s*\n\s*Page\s+\d+\s*(of\s+\d+)?", ""),
+    (any_of("filename"), r"(?dUmi)^Filename:\s*\S+\.(doc|docx|pdf)\s*$", ""),
+    (any_of("draft"), r"(?dUmi)^Draft\s+(pack\s+)?label\s*(leaflet|booklet)?\s*$", ""),
+    (any_of("<br>"), r"(?dUi)<br>\s*\*?", " "),
+    (any_of("<"), r"(?dUi)</?[a-z]+[^>]*>", ""),
+    (any_of("product"), r"(?dUmi)^Product\s+No\.?:\s*$", ""),
+    (any_of("batch"), r"(?dUmi)^Batch\s+No\.?:\s*$", ""),
+    (any_of("date"), r"(?dUmi)^Date\s+of\s+Manufacture:\s*$", ""),
+    (any_of("nra"), r"(?dUmi)^NRA\s+Approval\s+No\.?:\s*\d*/?\d*\s*$", ""),
+    (any_of("apvma"), r"(?dUmi)^APVMA\s+Approval\s+No\.?:\s*\d*/?\d*\s*$", ""),
+    (any_of("trademark"), r"(?dUmi)^\s*[-*]\s*Registered\s+trademark\s+of\s+[^.\n]+\.?\s*$", ""),
+    (any_of("®", "™"), r"(?dUm)^\s*[®™]\s*[^\n]*$", ""),
+    (any_of("copyright"), r"(?dUi)\(c\)\s*Copyright[,.]?\s*[^,\n]+,?\s*\d{4}\s*", ""),
+    (any_of("copyright"), r"(?dUi)©\s*Copyright[,.]?\s*[^,\n]+,?\s*\d{4}\s*", ""),
+    (_DIGIT, rf"(?dUmi)^\d+\s+[\w\s]+\s+{_STREET},?\s+[\w\s]+\s+(NSW|VIC|QLD|SA|WA|TAS|NT|ACT)\s+\d{{4}}\s*$", ""),
+    (_DIGIT, rf"(?dUmi)^\d+\s+\d+\s+\w+\s+{_STREET}[^\n]*$", ""),
+    (_DIGIT, r"(?dUm)^(\d+)\s*L\s*$", ""),
+    (any_of("dangerou"), r"(?dUi)THIS PRODUCT IS NOT CONSIDERED TO BE A DANGEROUS GOOD[S]? UNDER THE AUSTRALIAN\s*\n?CODE FOR THE TRANSPORT OF DANGEROUS GOODS BY ROAD AND RAIL\.?", ""),
+    (any_of("emergency only"), r"(?dUi)\*\*FOR SPECIALIST ADVICE IN AN EMERGENCY ONLY\*\*", ""),
+    (any_of("toll free"), r"(?dUi)\*\*TOLL FREE - ALL HOURS - AUSTRALIA WIDE\*\*", ""),
+    (any_of("cyanamid"), r"(?dUm)^\*\*CYANAMID\*\*\s*$", ""),
+    (any_of("cyanamid"), r"(?dUmi)^\d+\s+CYANAMID AGRICULTURE PTY\.?\s*LIMITED\s*$", ""),
+    (_DIGIT, r"(?dUm)^\d+\s*$", ""),
+    (_DIGIT, r"(?dUm)^\s*\d{1,3}\s+\d{1,3}\s*$", ""),
+    (any_of("\n\n\n\n"), r"\n{4,}", "\n\n\n"),
+    (like(r"[*_-]{3}"), r"(?dUm)^\s*[\*\-_]{3,}\s*$", ""),
+    (any_of("|col"), r"(?dUi)\|Col\d+\|", "|"),
+    (any_of("file attachment"), r"(?dUmi)^This section contains file attachment\.\s*$", ""),
 ]
+NOISE = [(pattern, new) for _, pattern, new in NOISE_RULES]
 # Headings of sections that go, up to the next bold line (a letter of any case) or the end.
 SECTIONS = [
-    "SAFETY DIRECTIONS:?", "FIRST AID:?", "STORAGE AND DISPOSAL:?", "M?SDS:?", "WARRANTY:?",
-    r"PROTECTION OF WILDLIFE,?\s*FISH,?\s*CRUSTACEA?\s*(AND\s*(THE\s*)?ENVIRONMENT)?:?",
+    (any_of("afety direction"), "SAFETY DIRECTIONS:?"), (any_of("t aid"), "FIRST AID:?"), (any_of("torage and"), "STORAGE AND DISPOSAL:?"), (any_of("sds"), "M?SDS:?"), (any_of("warranty"), "WARRANTY:?"),
+    (any_of("wildlife"), r"PROTECTION OF WILDLIFE,?\s*FISH,?\s*CRUSTACEA?\s*(AND\s*(THE\s*)?ENVIRONMENT)?:?"),
 ]
-SECTION_RULES = [(rf"(?dUis)\*?\*?{head}\*?\*?\s*\n.*?(?=\n\*\*[A-Z]|\z)", "") for head in SECTIONS]
-PHONES = [
-    (r"(?dUi)\*?\*?PHONE\s*[-–]\s*1\s*800\s*\d{3}\s*\d{3}\*?\*?", ""),
-    (r"(?dUi)If poisoning occurs,?\s*contact a doctor or Poisons Information Centre[^\n]*", ""),
-    (r"(?dUi)Phone Australia 13 11 26[^\n]*", ""),
-    (r"(?dUi)Telephone 131126 Australia-wide\.?", ""),
+SECTION_IF = [(test, rf"(?dUis)\*?\*?{head}\*?\*?\s*\n.*?(?=\n\*\*[A-Z]|\z)", "") for test, head in SECTIONS]
+SECTION_RULES = [(pattern, new) for _, pattern, new in SECTION_IF]
+PHONES_IF = [
+    (any_of("phone"), r"(?dUi)\*?\*?PHONE\s*[-–]\s*1\s*800\s*\d{3}\s*\d{3}\*?\*?", ""),
+    (any_of("contact a doctor"), r"(?dUi)If poisoning occurs,?\s*contact a doctor or Poisons Information Centre[^\n]*", ""),
+    (any_of("phone au"), r"(?dUi)Phone Australia 13 11 26[^\n]*", ""),
+    (any_of("telephone"), r"(?dUi)Telephone 131126 Australia-wide\.?", ""),
 ]
+PHONES = [(pattern, new) for _, pattern, new in PHONES_IF]
 # Boilerplate of which the first occurrence stays.
-ONCE = [
-    r"(?dUmi)\*\*KEEP OUT OF REACH OF CHILDREN\*\*\s*\n\s*\*\*READ SAFETY DIRECTIONS BEFORE OPENING OR USING\*\*",
-    r"(?dUmi)#\s*\*\*[A-Z][A-Z\s\*]+\*\*\s*\n+\s*\*\*Herbicide\*\*",
-    r"(?dUmi)#\s*\*\*GROUP\s+[A-Z]\s+HERBICIDE\*\*",
-    r"(?dUmi)Active Constituent:\s*\d+\s*g/L\s*\*?\*?[A-Z]+\*?\*?",
-    r"(?dUmi)\*\*DIRECTIONS FOR USE:\*\*\s*\n\s*\*\*READ THE ATTACHED (LEAFLET|BOOKLET) BEFORE USING THIS PRODUCT\.\*\*",
+ONCE_IF = [
+    (any_of("keep out of reach"), r"(?dUmi)\*\*KEEP OUT OF REACH OF CHILDREN\*\*\s*\n\s*\*\*READ SAFETY DIRECTIONS BEFORE OPENING OR USING\*\*"),
+    (any_of("herbicide"), r"(?dUmi)#\s*\*\*[A-Z][A-Z\s\*]+\*\*\s*\n+\s*\*\*Herbicide\*\*"),
+    (any_of("herbicide"), r"(?dUmi)#\s*\*\*GROUP\s+[A-Z]\s+HERBICIDE\*\*"),
+    (any_of("active con"), r"(?dUmi)Active Constituent:\s*\d+\s*g/L\s*\*?\*?[A-Z]+\*?\*?"),
+    (any_of("read the attached"), r"(?dUmi)\*\*DIRECTIONS FOR USE:\*\*\s*\n\s*\*\*READ THE ATTACHED (LEAFLET|BOOKLET) BEFORE USING THIS PRODUCT\.\*\*"),
 ]
+ONCE = [pattern for _, pattern in ONCE_IF]
 PRODUCT_HEADER = r"(?dUi)#\s*\*\*[^*]+\*\*\s*\n\s*\*\*Herbicide\*\*\s*\n\s*Active Constituent:[^\n]+\n[^\n]*\n#?\s*\*\*GROUP\s+[A-Z]\s+HERBICIDE\*\*"
 SHORT = 50
 
 
 def remove_noise(body: Column) -> Column:
-    return sub_all(body, NOISE + SECTION_RULES + PHONES)
+    return sub_if(body, NOISE_RULES + SECTION_IF + PHONES_IF)
 
 
 def frontmatter(content: Column) -> tuple[Column, Column]:
@@ -79,34 +86,50 @@ def frontmatter(content: Column) -> tuple[Column, Column]:
     return F.when(has_one, F.concat(F.lit("---"), parts[1], F.lit("---\n"))).otherwise(""), F.when(has_one, parts[2]).otherwise(content)
 
 
-def keep_first(text: Column, pattern: str) -> Column:
+def _behind_first(text: Column, pattern: str, test: Callable[[Column], Column] | None, make: Callable[[Column, Column], Column]) -> Column:
+    """``text`` with what ``make`` makes of the first match and the rest behind it; as it is without a match."""
+
+    def cut(t: Column) -> Column:
+        def found(first: Column) -> Column:
+            end = F.regexp_instr(t, F.lit(pattern)) + F.length(first)
+            rebuilt = bind(end, lambda e: F.concat(F.substring(t, F.lit(1), e - 1), make(first, F.substring(t, e, F.length(t)))))
+            return F.when(F.coalesce(F.length(first), F.lit(0)) > 0, rebuilt).otherwise(t)
+
+        whole = bind(F.regexp_extract(t, pattern, 0), found)
+        return F.when(test(t), whole).otherwise(t) if test else whole
+
+    return bind(text, cut)
+
+
+def keep_first(text: Column, pattern: str, test: Callable[[Column], Column] | None = None) -> Column:
     """Remove all matches but the first."""
-    first = F.regexp_extract(text, pattern, 0)
-    end = F.regexp_instr(text, F.lit(pattern)) + F.length(first)
-    rest = F.substring(text, end, F.length(text))
-    return F.when(F.coalesce(F.length(first), F.lit(0)) > 0, F.concat(F.substring(text, F.lit(1), end - 1), F.regexp_replace(rest, pattern, ""))).otherwise(text)
+    return _behind_first(text, pattern, test, lambda first, rest: F.regexp_replace(rest, pattern, ""))
 
 
-def keep_first_equal(text: Column, pattern: str) -> Column:
+def keep_first_equal(text: Column, pattern: str, test: Callable[[Column], Column] | None = None) -> Column:
     """Remove the later matches that equal the first one, but for case and white space at their ends."""
-    first = F.regexp_extract(text, pattern, 0)
-    end = F.regexp_instr(text, F.lit(pattern)) + F.length(first)
-    rest = F.substring(text, end, F.length(text))
-    matches = F.regexp_extract_all(rest, F.lit(pattern), 0)
-    between = F.split(rest, pattern, -1)
-    same = lambda m: strip(F.lower(m)) == strip(F.lower(first))
-    rebuilt = F.array_join(F.transform(between, lambda part, i: F.concat(part, F.coalesce(F.when(~same(F.get(matches, i)), F.get(matches, i)), F.lit("")))), "")
-    return F.when(F.coalesce(F.length(first), F.lit(0)) > 0, F.concat(F.substring(text, F.lit(1), end - 1), rebuilt)).otherwise(text)
+
+    def make(first: Column, rest: Column) -> Column:
+        key = lambda m: strip(F.lower(m))
+        pieces = lambda matches: F.transform(F.split(rest, pattern, -1), lambda part, i: F.concat(part, F.coalesce(F.when(key(F.get(matches, i)) != key(first), F.get(matches, i)), F.lit(""))))
+        return F.array_join(bind(F.regexp_extract_all(rest, F.lit(pattern), 0), pieces), "")
+
+    return _behind_first(text, pattern, test, make)
 
 
 def keep_first_blocks(text: Column) -> Column:
-    """Of equal paragraphs of 50 characters or more the first stays; paragraphs are put behind blank lines."""
-    blocks = F.split(text, r"\n{2,}", -1)
-    keys = F.transform(blocks, normalize)
-    long = lambda b: F.length(strip(b)) >= SHORT
-    # Short paragraphs are never compared: their keys are made null, and equal long ones have equal keys.
-    keys = F.zip_with(blocks, keys, lambda b, k: F.when(long(b), k))
-    return F.array_join(F.filter(blocks, lambda b, i: ~long(b) | (F.array_position(keys, F.get(keys, i)) == i + 1)), "\n\n")
+    """Of equal paragraphs of 50 characters or more the first stays; paragraphs are put behind blank lines.
+
+    Paragraphs are put in order of (normal form, place), so that equal ones are neighbours; short ones have no normal form.
+    """
+
+    def kept(blocks: Column) -> Column:
+        keyed = F.array_sort(F.transform(blocks, lambda b, i: F.struct(F.when(F.length(strip(b)) >= SHORT, normalize(b)).alias("k"), i.alias("i"))))
+        first = lambda entries: F.filter(entries, lambda e, n: e["k"].isNull() | (n == 0) | ~e["k"].eqNullSafe(F.get(entries, n - 1)["k"]))
+        places = F.array_sort(F.transform(bind(keyed, first), lambda e: e["i"]))
+        return F.array_join(F.transform(places, lambda i: F.get(blocks, i)), "\n\n")
+
+    return bind(F.split(text, r"\n{2,}", -1), kept)
 
 
 def tidy(body: Column) -> Column:
@@ -118,7 +141,7 @@ def clean_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     twice."""
     front, body = frontmatter(F.col(text))
     out = docs.withColumn("_front", front).withColumn("_body", remove_noise(body))
-    for step in [*(lambda c, p=p: keep_first(c, p) for p in ONCE), lambda c: keep_first_equal(c, PRODUCT_HEADER), keep_first_blocks, tidy]:
+    for step in [*(lambda c, p=p, t=t: keep_first(c, p, t) for t, p in ONCE_IF), lambda c: keep_first_equal(c, PRODUCT_HEADER, any_of("herbicide")), keep_first_blocks, tidy]:
         out = out.withColumn("_body", step(F.col("_body")))
     return out.withColumn("cleaned", F.concat("_front", F.lit("\n"), "_body", F.lit("\n"))).drop("_front", "_body")
 

@@ -5,6 +5,8 @@ Python's regular expressions know Unicode; Java's need (?U).  str.strip() also t
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,3 +43,38 @@ def sub_all(text: Column, rules: list[tuple[str, str]]) -> Column:
     for pattern, replacement in rules:
         text = F.regexp_replace(text, pattern, replacement)
     return text
+
+
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def any_of(*parts: str) -> Callable[[Column], Column]:
+    """A test that a text has one of these parts (lower case, without s), in any case.
+
+    It stands before a costly pattern.  The letters that only fold to i and s pass it, as (?iU) takes them for these.
+    """
+
+    def test(text: Column) -> Column:
+        out = F.contains(text, F.lit("\u0131")) | F.contains(text, F.lit("\u017f"))
+        for part in parts:
+            out = out | F.contains(F.lower(text), F.lit(part))
+        return out
+
+    return test
+
+
+def like(pattern: str) -> Callable[[Column], Column]:
+    return lambda text: F.regexp_like(text, F.lit(pattern))
+
+
+def sub_if(text: Column, rules: list[tuple[Callable[[Column], Column], str, str]]) -> Column:
+    """As sub_all(), but a rule's pattern is tried only on texts that pass its test."""
+
+    def rule(test: Callable[[Column], Column], pattern: str, new: str) -> Callable[[Column], Column]:
+        return lambda t: F.when(test(t), F.regexp_replace(t, pattern, new)).otherwise(t)
+
+    for one in rules:
+        text = bind(text, rule(*one))
+    return text

@@ -13,10 +13,18 @@ def _weed_like(term: str) -> Column:
     return has(F.col("common_name"), term) | has(F.col("weed_display"), term)
 
 
-def _facts(g: Graph) -> DataFrame:
-    """Controls with their product and weed."""
+def _facts(g: Graph, of_weed: Column | None = None) -> DataFrame:
+    """Controls with their product and weed; ``of_weed`` narrows the weeds.
+
+    The weed is part of a control's key, so Spark takes the semi-join below the fold that makes controls: records of
+    other weeds are dropped before they are folded.
+    """
     weed = g.weed.select("common_name", F.col("display_name").alias("weed_display"), "scientific_name")
-    return g.controls.join(g.herbicide, "product_number").join(weed, F.col("weed") == F.col("common_name"))
+    controls = g.controls
+    if of_weed is not None:
+        weed = weed.where(of_weed)
+        controls = controls.join(weed.select(F.col("common_name").alias("_wanted")), F.col("weed") == F.col("_wanted"), "left_semi")
+    return controls.join(g.herbicide, "product_number").join(weed, F.col("weed") == F.col("common_name"))
 
 
 def _with_moa(products: DataFrame, g: Graph, how: str = "left") -> DataFrame:
@@ -27,7 +35,7 @@ def _with_moa(products: DataFrame, g: Graph, how: str = "left") -> DataFrame:
 def find_products_for_weed(g: Graph, weed: str, crop: str | None = None, state: str | None = None, exclude_moa: str | None = None, strict: bool = True) -> DataFrame:
     """Products that control a weed.  ``exclude_moa`` also drops products without a group.  Unless ``strict``, crop and state bind to
     matches of the display name only and a match of the common name passes by them."""
-    rows = _facts(g)
+    rows = _facts(g, _weed_like(weed))
     more = F.lit(True)
     if crop:
         more = more & has(F.col("crop"), crop)
@@ -57,7 +65,7 @@ def find_products_for_crop(g: Graph, crop: str, state: str | None = None) -> Dat
 
 def moa_rotation(g: Graph, current: str, crop: str, weed: str) -> DataFrame:
     """Products of other groups against a weed in a crop, by group."""
-    rows = _with_moa(_facts(g).where(_weed_like(weed) & has(F.col("crop"), crop)), g, "inner").where(F.col("moa_group") != current)
+    rows = _with_moa(_facts(g, _weed_like(weed)).where(has(F.col("crop"), crop)), g, "inner").where(F.col("moa_group") != current)
     option = F.struct(F.col("product_name").alias("herbicide"), "product_number", "active_constituent", F.col("rate_per_ha").alias("rate"), F.col("application_timing").alias("timing"), "control_level")
     return rows.groupBy("moa_group", "moa_description").agg(F.array_sort(F.collect_set(option)).alias("options")).orderBy("moa_group")
 
@@ -87,7 +95,8 @@ def product_details(g: Graph, product_number: str | None = None) -> DataFrame:
 def search_weeds(g: Graph, term: str, limit: int = 20) -> DataFrame:
     """Weeds by any of their names, with the number of products; the first ``limit`` by name."""
     found = g.weed.where(has(F.col("common_name"), term) | has(F.col("display_name"), term) | has(F.col("scientific_name"), term))
-    rows = found.join(g.controls.select("product_number", "weed"), F.col("common_name") == F.col("weed"), "left")
+    controls = g.controls.select("product_number", "weed").join(found.select(F.col("common_name").alias("_wanted")), F.col("weed") == F.col("_wanted"), "left_semi")
+    rows = found.join(controls, F.col("common_name") == F.col("weed"), "left")
     counted = rows.groupBy(F.col("common_name").alias("name"), "display_name", "scientific_name").agg(F.count_distinct("product_number").alias("herbicide_count"))
     return counted.orderBy("name").limit(limit)
 

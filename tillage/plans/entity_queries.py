@@ -95,15 +95,6 @@ add(
     on_graph(lambda g: E.ask(g, "How many herbicides control Supplier#00000000?")),
     B.SQL + "SELECT coalesce(max(n), 0) AS count, max(weed) AS weed FROM (SELECT weed, count(DISTINCT product_number) AS n FROM controls WHERE contains(weed, 'supplier#00000000') GROUP BY weed ORDER BY weed LIMIT 1)",
 )
-add(
-    "graph_stats",
-    on_graph(G.stats),
-    B.SQL + " UNION ALL ".join(f"SELECT '{name}' AS name, (SELECT count(*) FROM {source}) AS total" for name, source in (
-        ("herbicide", "herbicide"), ("active_constituent", "(SELECT DISTINCT active_constituent FROM herbicide)"), ("mode_of_action", "moa"), ("crop", "crop"), ("weed", "weed"), ("state", "region"),
-        ("document", "(SELECT * FROM documents WHERE doc_id IN (SELECT p_partkey FROM part))"), ("contains", "herbicide"), ("has_mode_of_action", "has_moa"), ("registered_for", "registered_for"), ("controls", "controls"),
-        ("has_label", "(SELECT * FROM documents WHERE doc_id IN (SELECT p_partkey FROM part))"),
-    )),
-)
 add(
     "upsert_last_wins",
     lambda spark, d: G.latest(B.raw_controls(spark, d).drop("l_returnflag"), ["product_number", "weed", "crop"], B.WRITE_ORDER),

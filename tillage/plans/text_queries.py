@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -38,11 +39,51 @@ def t() -> Column:
 
 add("normalized_text", on("documents", lambda: ("doc_id", normalize(t()).alias("normal"), tokens(t()).alias("n_tokens"))), r"SELECT doc_id, trim(regexp_replace(lower(text), '[\s\x0b]+', ' ', 'g')) AS normal, len(regexp_extract_all(text, '[^\s\x0b]+'))::INTEGER AS n_tokens FROM documents")
 add("previews", on("documents", lambda: ("doc_id", preview(t(), 500).alias("long"), preview(t(), 300, True).alias("short"))), "SELECT doc_id, CASE WHEN length(text) > 500 THEN text[1:500] || '...' ELSE text END AS long, replace(CASE WHEN length(text) > 300 THEN text[1:300] || '...' ELSE text END, chr(10), ' ') AS short FROM documents")
+def noise_sql(text: str, rules: list[tuple[str, str]]) -> str:
+    """The rules in DuckDB's dialect, which has neither (?dU) nor lookahead."""
+    for pattern, new in rules:
+        flags, body = re.match(r"(?s)(?:\(\?([a-zA-Z]+)\))?(.*)", pattern).groups()
+        own = "".join(c for c in flags or "" if c in "mis")
+        body = body.replace(r"(?=\n\*\*[A-Z]|\z)", r"(\n\*\*[A-Z]|\z)") if r"(?=" in body else body
+        new = r"\2" if "AND" in body and "ENVIRONMENT" in body else r"\1" if r"(\n\*\*[A-Z]|\z)" in body else new
+        text = f"regexp_replace({text}, '{(f'(?{own})' if own else '') + body}', '{new}', 'g')"
+    return text
+
+
+NOISY = """'Page 3 of 9' || chr(10) || '5/01/99' || chr(10) || replace(text, '. ', '.' || chr(10) || ' ' || chr(10) || chr(10) || chr(10) || chr(10) || '12' || chr(10) || '<b>') || chr(10) || 'Draft label' || chr(10) || '20L' || chr(10)"""
 add(
     "clean_noise",
-    on("documents", lambda: ("doc_id", cleaning.sub_all(F.concat(F.lit("Page 3 of 9\n5/01/99\n"), F.replace(t(), F.lit(". "), F.lit(".\n \n\n\n\n12\n<b>")), F.lit("\nDraft label\n20L\n")), cleaning.NOISE).alias("cleaned"))),
+    on("documents", lambda: ("doc_id", cleaning.sub_if(F.concat(F.lit("Page 3 of 9\n5/01/99\n"), F.replace(t(), F.lit(". "), F.lit(".\n \n\n\n\n12\n<b>")), F.lit("\nDraft label\n20L\n")), cleaning.NOISE_RULES).alias("cleaned"))),
+    f"SELECT doc_id, {noise_sql(NOISY, cleaning.NOISE)} AS cleaned FROM documents",
+)
+# The SQL leaves out what no document has: frontmatter, and the boilerplate of which the first stays.
+TIDY = r"""trim(regexp_replace(regexp_replace(regexp_replace(b, '(?m)^[ \t]+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '(?m)[ \t]+$', '', 'g'), E' \n\t\r\f\x0b\x1c\x1d\x1e\x1f')"""
+BLOCKS = r"""SELECT doc_id, coalesce(string_agg(p, chr(10) || chr(10) ORDER BY i) FILTER (length(trim(p, E' \n\t\r')) < 50 OR first = i), '') AS b FROM (
+  SELECT doc_id, i, p, min(i) OVER (PARTITION BY doc_id, trim(regexp_replace(lower(p), '\s+', ' ', 'g'))) AS first
+  FROM (SELECT doc_id, unnest(range(len(s))) AS i, unnest(s) AS p FROM (SELECT doc_id, string_split_regex(n, '\n{{2,}}') AS s FROM ({0})))) GROUP BY doc_id"""
+add(
+    "clean_documents",
+    lambda s, d: cleaning.clean_documents(B.table(s, d, "documents").select("doc_id", "text")).select("doc_id", "cleaned"),
+    f"SELECT doc_id, chr(10) || {TIDY} || chr(10) AS cleaned FROM ({BLOCKS.format(f'SELECT doc_id, {noise_sql("text", cleaning.NOISE + cleaning.SECTION_RULES + cleaning.PHONES)} AS n FROM documents')})",
+)
+LABEL_HEAD = "# **SPRAY**\n**Herbicide**\nActive Constituent: 100 g/L X\n\n# **GROUP A HERBICIDE**"
+LABEL_TAIL = "# **group a herbicide**\n\nFIRST AID:\nwash\n**CROPS**\n\nPhone Australia 13 11 26 now\n\n**KEEP OUT OF REACH OF CHILDREN**\n**READ SAFETY DIRECTIONS BEFORE OPENING OR USING**\n\nWARRANTY:\nnone"
+
+LABEL_LEFT = f"---\nid: 1\n---\n\n{LABEL_HEAD}\n\n**CROPS**\n\n**KEEP OUT OF REACH OF CHILDREN**\n**READ SAFETY DIRECTIONS BEFORE OPENING OR USING**\n"
+
+
+def label_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents between the head and the tail of a label, each with boilerplate that a copy of it follows."""
+    parts = (F.lit("---\nid: 1\n---\n" + LABEL_HEAD + "\n\n"), F.replace(t(), F.lit("\n"), F.lit(" ")), F.lit("\n\n" + LABEL_HEAD.replace("SPRAY", "Spray") + "\n\n" + LABEL_TAIL))
+    return B.table(spark, sf_dir, "documents").select("doc_id", F.concat(*parts).alias("text"))
+
+
+add(
+    "clean_labels",
+    lambda s, d: cleaning.clean_documents(label_texts(s, d)).select("doc_id", F.regexp_replace("cleaned", r"(?s)\A(---\nid: 1\n---\n\n# \*\*SPRAY.*?# \*\*GROUP A HERBICIDE\*\*)\n\n.*?(\n\n\*\*CROPS.*)\z", "$1$2").alias("frame"), F.length("cleaned").alias("n")),
+    f"""SELECT doc_id, frame, length(frame) + CASE WHEN x = '' THEN 0 ELSE length(x) + 2 END AS n
+FROM (SELECT doc_id, {" || chr(10) || ".join(f"'{line}'" for line in LABEL_LEFT.split(chr(10)))} AS frame, rtrim({noise_sql("replace(text, chr(10), ' ')", cleaning.NOISE + cleaning.SECTION_RULES + cleaning.PHONES)}) AS x FROM documents)""",
 )
-add("clean_documents", lambda s, d: cleaning.clean_documents(B.table(s, d, "documents").select("doc_id", "text")).select("doc_id", "cleaned"))
 add(
     "clean_html",
     on("pages", lambda: ("page_id", F.sha2(cleaning.strip_html(F.col("html")), 256).alias("text_sha256"))),
@@ -159,7 +200,19 @@ add(
     rf"""SELECT page_id, CASE WHEN regexp_matches(link, '^[a-z]+://') THEN link WHEN link[1] = '/' THEN regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || link ELSE regexp_extract(url, '^([a-z]+://[^?#]*/)', 1) || link END AS address FROM {LINKS}""",
 )
 add("url_basename", on("pages", lambda: ("page_id", readers.file_name(F.col("url")).alias("name"))), r"SELECT page_id, regexp_extract(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '([^/]*)$', 1) AS name FROM pages")
-add("first_per_active", lambda s, d: readers.first_per_key(B.table(s, d, "part").select(F.concat(F.lit(" "), "p_type").alias("actives"), "p_partkey", "p_name"), "actives", "p_partkey"), "SELECT trim(p_type) AS actives, min(p_partkey) AS p_partkey, arg_min(p_name, p_partkey) AS p_name FROM part GROUP BY 1")
+def search_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as rows of a search result: actives between white space of several kinds or blank, some without a number."""
+    key = F.col("p_partkey")
+    actives = F.when(key % 11 == 0, "\t").otherwise(F.concat(F.when(key % 2 == 0, "\t ").otherwise("\u00a0"), "p_type", F.lit("\n")))
+    number = F.when(key % 7 == 3, " \t").otherwise(F.concat(F.lit(" "), key.cast("string")))
+    return B.table(spark, sf_dir, "part").select(actives.alias("actives"), number.alias("number"), "p_partkey", "p_name")
+
+
+add(
+    "first_per_active",
+    lambda s, d: readers.first_per_key(search_rows(s, d), "actives", "p_partkey", ("number",)),
+    "SELECT p_type AS actives, CAST(min(p_partkey) AS VARCHAR) AS number, min(p_partkey) AS p_partkey, arg_min(p_name, p_partkey) AS p_name FROM part WHERE p_partkey % 11 <> 0 AND p_partkey % 7 <> 3 GROUP BY 1",
+)
 add(
     "pending_files",
     lambda s, d: readers.pending(B.table(s, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit("ELBL")).alias("stem")), B.table(s, d, "labels").select(F.concat(F.col("doc_id").cast("string"), F.lit("ELBL")).alias("stem"))),

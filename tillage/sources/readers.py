@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillage.functions.text import strip
+
 ENTRY = "crop string, application_timing string, weed_common_name string, weed_scientific_name string, states array<string>, rate_per_ha string, critical_comments string, control_level string"
 LABEL_RECORD = (
     "product_number string, product_name string, active_constituent string, chemical_group string, mode_of_action_group string, registered_crops array<string>, registered_weeds array<string>, "
@@ -70,9 +72,12 @@ def read_pdfs(spark: SparkSession, path: str, parse: Callable[[bytes], list[str]
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path).select("path", "content").mapInPandas(run, "file string, text string")
 
 
-def first_per_key(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row in ``order`` for each stripped, non-blank key."""
-    trimmed = rows.withColumn(key, F.trim(key)).where(f"coalesce({key}, '') <> ''")
+def first_per_key(rows: DataFrame, key: str, order: str, needed: tuple[str, ...] = ()) -> DataFrame:
+    """The first row in ``order`` for each key.  The key and the columns ``needed`` are stripped of all white space; rows
+    in which one of them is blank don't count."""
+    trimmed = rows.withColumns({c: strip(F.col(c)) for c in (key, *needed)})
+    for c in (key, *needed):
+        trimmed = trimmed.where(F.coalesce(F.col(c), F.lit("")) != "")
     others = [c for c in trimmed.columns if c != key]
     return trimmed.groupBy(key).agg(F.min_by(F.struct(*others), order).alias("r")).select(key, "r.*")
 
