@@ -121,12 +121,16 @@ def mentions(text: Column, patterns: list[str], squash: bool = True) -> Column:
 
 
 def link_mentions(chunks: DataFrame, entities: DataFrame, patterns: list[str], entity_type: str, squash: bool = True) -> DataFrame:
-    """chunk_id, entity, entity_type for each entity whose name contains a token found in the chunk.
+    """chunk_id, entity, entity_type for each entity whose name contains a token found in the chunk (a row for each).
 
-    Containment is tested between names and the distinct tokens, of which the patterns allow few; chunks then join the
-    outcome by equality.
+    A pattern allows few tokens, so the distinct ones are one array, which each name is tested against once.  Chunks then
+    join names by the token; an entity that several of a chunk's tokens lead to comes by the first of them alone, so
+    pairs need no shuffle to become distinct.
     """
-    found = chunks.select("chunk_id", F.explode(mentions(F.col("text"), patterns, squash)).alias("token"))
-    tokens_seen = found.select(F.col("token").alias("seen")).distinct()
-    names = entities.select(F.col("name").alias("entity")).distinct().join(tokens_seen, F.contains(F.lower("entity"), F.col("seen")))
-    return found.join(names, F.col("token") == F.col("seen")).select("chunk_id", "entity", F.lit(entity_type).alias("entity_type")).distinct()
+    found = chunks.select("chunk_id", mentions(F.col("text"), patterns, squash).alias("tokens")).where(F.size("tokens") > 0)
+    seen = found.select(F.explode("tokens").alias("token")).agg(F.collect_set("token"))
+    names = entities.select(F.col("name").alias("entity")).distinct().withColumn("seen", seen.scalar())
+    names = names.withColumn("own", F.filter("seen", lambda t: F.contains(F.lower("entity"), t)))
+    names = names.where(F.size("own") > 0).select("entity", "own", F.explode("own").alias("token"))
+    met = found.select("chunk_id", "tokens", F.explode("tokens").alias("token")).join(names, "token")
+    return met.where(F.array_min(F.array_intersect("tokens", "own")) == F.col("token")).select("chunk_id", "entity", F.lit(entity_type).alias("entity_type"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tillage.functions.text import strip
 from tillage.operators import chunking as C
 from tillage.operators import retrieval as R
-from tillage.operators.graph import Graph
+from tillage.operators.graph import Graph, edges, edges_to_known, stats
 from tillage.plans import binding as B
 from tillage.plans.entity_queries import Query
 
@@ -42,6 +42,7 @@ def chunk_graph(spark: SparkSession, sf_dir: str) -> Graph:
     g.next = C.next_edges(g.chunk)
     words = B.table(spark, sf_dir, "documents").select(F.lower(F.element_at(F.split("text", " "), 1)).alias("name")).where("name <> ''")
     g.mentions = C.link_mentions(g.chunk, words, STEMS, STEM_TYPE)
+    g.contains_chunk = edges(edges_to_known(g.chunk, "product_number", g.document, "product_number"), "product_number", "chunk_id")
     return g
 
 
@@ -129,13 +130,54 @@ def order_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+STATS = {
+    "herbicide": "herbicide", "active_constituent": "(SELECT DISTINCT active_constituent FROM herbicide)", "mode_of_action": "moa", "crop": "crop", "weed": "weed", "state": "region", "document": "document", "chunk": "chunk",
+    "contains": "herbicide", "has_mode_of_action": "has_moa", "registered_for": "registered_for", "controls": "controls", "has_label": "document", "contains_chunk": "(SELECT * FROM chunk WHERE product_number IN (SELECT product_number FROM document))",
+    "next": "nexts", "mentions": "mentions",
+}
+add("graph_stats", lambda s, d: stats(chunk_graph(s, d)), CHUNKS + " UNION ALL ".join(f"SELECT '{name}' AS name, (SELECT count(*) FROM {source}) AS total" for name, source in STATS.items()))
+#: A stem of the documents' invented words, and the name written in its place.
+PLANTED = {"tion": "ryegrass ", "heit": " Wild  Oats", "ment": "fat\nhen", "ing": "Wheat"}
+
+
+def planted_text() -> F.Column:
+    text = F.col("text")
+    for stem, name in PLANTED.items():
+        text = F.replace(text, F.lit(stem), F.lit(name))
+    return text
+
+
+# A line end between two words of a name is white space to the pattern, but stays when spaces are squashed.
+add(
+    "mention_tokens",
+    lambda s, d: B.table(s, d, "documents").select("doc_id", F.array_join(C.mentions(planted_text(), C.WEEDS), ",").alias("weeds"), F.array_join(C.mentions(planted_text(), C.CROPS), ",").alias("crops")),
+    """WITH d AS (SELECT doc_id, lower(replace(replace(replace(replace(text, 'tion', 'ryegrass '), 'heit', ' Wild  Oats'), 'ment', 'fat' || chr(10) || 'hen'), 'ing', 'Wheat')) AS t FROM documents)
+SELECT doc_id, concat_ws(',', CASE WHEN contains(t, 'fat' || chr(10) || 'hen') THEN 'fat' || chr(10) || 'hen' END, CASE WHEN contains(t, 'ryegrass') THEN 'ryegrass' END, CASE WHEN contains(t, 'wild  oats') THEN 'wildoats' END) AS weeds,
+  concat_ws(',', CASE WHEN contains(t, 'oats') THEN 'oats' END, CASE WHEN contains(t, 'wheat') THEN 'wheat' END) AS crops FROM d""",
+)
+
+
 TABLES = B.SQL.rstrip() + """
 , lines AS (SELECT product_number, l_returnflag AS f, list(CASE WHEN l_returnflag = 'R' THEN rate_per_ha || ' parts | ' || critical_comments ELSE crop || ' | ' || weed || ' | ' || states[1] || ' | ' || rate_per_ha || CASE WHEN l_returnflag = 'A' THEN ' L/ha' ELSE ' parts' END || ' | ' || critical_comments END ORDER BY l_orderkey, l_linenumber, l_extendedprice) AS ls FROM raw GROUP BY 1, 2
 ), tab AS (SELECT product_number, CASE f WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS position, CASE f WHEN 'R' THEN 2 ELSE 5 END AS n_cols, CASE f WHEN 'A' THEN ['crop | name | place | amount | notes'] WHEN 'N' THEN ['place | name | where | how | harvest'] ELSE [] END || ls AS rs FROM lines
 ), sec AS (SELECT *, CASE position WHEN 0 THEN 'directions_for_use' WHEN 1 THEN 'withholding_period' ELSE 'metadata' END AS section FROM tab)
 """
 add("section_classify", lambda s, d: order_tables(s, d).select("product_number", "position", C.section(F.col("markdown"), F.col("rows"), F.col("column_count")).alias("section")), TABLES + "SELECT product_number, position, section FROM sec")
-add("table_chunks", lambda s, d: C.chunk_tables(order_tables(s, d), max_tokens=60))
+add(
+    "table_chunks",
+    lambda s, d: C.chunk_tables(order_tables(s, d), max_tokens=60).withColumn("headers", F.array_join("headers", " | ")),
+    TABLES.rstrip() + r""", t AS (SELECT product_number, position, 't' || position AS table_id, rs, n_cols, section, array_to_string(rs, chr(10)) AS text FROM sec
+), u AS (SELECT *, len(regexp_extract_all(text, '\S+')) AS est, CASE WHEN n_cols >= 3 THEN rs[2:] ELSE rs END AS data, CASE WHEN n_cols >= 3 THEN rs[1] ELSE '' END AS headers FROM t WHERE length(trim(text)) >= 20
+), v AS (SELECT *, est > 60 AND len(rs) > 3 AS splits, greatest(1, len(data) // (est // 60 + 1)) AS per FROM u
+), w AS (SELECT *, CASE WHEN splits THEN (len(data) + per - 1) // per ELSE 1 END AS n FROM v
+), x AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY product_number ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS seq FROM w
+), y AS (SELECT *, substr(md5(product_number || '-' || table_id || '-' || seq), 1, 8) AS hash, unnest(range(n)) AS part FROM x)
+SELECT product_number || '-' || table_id || CASE WHEN splits THEN '-part' || part ELSE '' END || '-' || hash AS chunk_id,
+  CASE WHEN splits THEN CASE WHEN headers <> '' THEN headers || chr(10) ELSE '' END || array_to_string(data[part * per + 1 : (part + 1) * per], chr(10)) ELSE text END AS text,
+  CASE WHEN position = 0 AND len(rs) >= 3 THEN 'weed_table' WHEN section = 'directions_for_use' THEN 'directions' WHEN section = 'metadata' OR n_cols <= 2 THEN 'metadata' ELSE 'table' END AS chunk_type,
+  seq + part AS sequence_order, product_number, section AS parent_section, table_id,
+  CASE WHEN splits THEN len(data[part * per + 1 : (part + 1) * per]) ELSE len(rs) END::INTEGER AS row_count, n_cols::INTEGER AS column_count, headers, CAST(NULL AS INTEGER) AS page_number FROM y""",
+)
 add(
     "weed_tables",
     lambda s, d: order_tables(s, d).select("product_number", "position", C.is_weed_table(F.col("rows")).alias("weed_table")),
