@@ -25,11 +25,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillage.llm import shared
+from tillage.llm import words as W
 
 CAPACITY = 4096
 END_ID = 1
-#: Words, and half as many parts of words, remembered in a Python worker before it forgets them: under 100 MB.
-REMEMBER = 300_000
+#: Bytes of words, and half as many of parts of words, that a Python worker remembers before it forgets them.
+REMEMBER = 60 << 20
+#: Bytes that a remembered word takes besides its letters and ids: two objects and an entry.
+OVERHEAD = 160
 
 
 class Capacities:
@@ -164,6 +167,7 @@ class _Ids(dict):
         self.cut = regex.compile(PRETOKENS)
         self.special = [x["content"] for x in spec["added_tokens"]]
         self.parts: dict[str, bytes] = {}
+        self.bytes = self.part_bytes = 0
         self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
 
     def part(self, text: str) -> bytes:
@@ -172,15 +176,19 @@ class _Ids(dict):
             mapped = text if text.isascii() else "".join([self.letters[b] for b in text.encode()])
             packed = self.packed
             found = self.parts[text] = b"".join([packed[t.id] for t in self.model.tokenize(mapped)])
+            self.part_bytes += len(text) + len(found) + OVERHEAD
         return found
 
     def learn(self, found: list[list[bytes]]) -> None:
-        if len(self) > REMEMBER:
+        if self.bytes > REMEMBER:
             self.clear()
-        if len(self.parts) > REMEMBER // 2:
+            self.bytes = 0
+        if self.part_bytes > REMEMBER // 2:
             self.parts.clear()
+            self.part_bytes = 0
         odd = []
-        for key in {w for ws in found for w in ws if w not in self}:
+        new = {w for ws in found for w in ws if w not in self}
+        for key in new:
             word = key.decode()
             stem = word.rstrip(".,")
             if self.known and stem.isascii() and stem.isalpha():
@@ -192,6 +200,7 @@ class _Ids(dict):
                 odd.append(key)
         for key, e in zip(odd, self.tokenizer.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False)):
             self[key] = np.array(e.ids, "<u4").tobytes()
+        self.bytes += sum([len(key) + len(self[key]) for key in new]) + OVERHEAD * len(new)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
@@ -206,9 +215,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
         known = shared.per_process(("word ids", tokenizer), lambda: _Ids(tokenizer))
         ranks, part = np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         end = np.array([END_ID], "<u4").tobytes()
-        for batch in batches:
-            texts = batch.column(1).cast(pa.large_string()).fill_null("").cast(pa.large_binary())
-            split = [t.split() for t in texts.to_pylist()]
+        for batch in W.slices(batches):
+            split = [t.split() for t in batch.column(1).cast(pa.large_binary()).to_pylist()]
             known.learn(split)
             rows: list[tuple] = []
             for row, found in enumerate(split):

@@ -5,7 +5,8 @@ hosts by the method of moments shrinks each host's failure rates; a host whose s
 ``max_rate`` is rejected, and the verdict is joined back to its documents.
 
 Null text: a text without words.  Null host: a host of its own, like any other.  Equal rows are judged alike and
-all returned.  An empty table gives an empty result.  Other columns of the input are passed by.
+all returned.  An empty table gives an empty result.  Other columns of the input, whatever their names, are passed by
+(judge) or kept (filter_documents).
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,47 +62,57 @@ def dup_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in W.slices(batches):
-        texts = batch.column("text")
-        found = W.words(texts)
-        out = {k: np.zeros(len(texts), np.int64) for k in COUNTS}
-        out["n_words"] = np.diff(found.bounds)
-        for i, text in enumerate(texts.cast(pa.large_binary()).to_pylist()):
-            solid = text.translate(None, b" \t\n\r\x0b\x0c")
-            out["word_chars"][i] = len(solid.decode())
-            out["n_symbols"][i] = len(solid) - len(solid.translate(None, SYMBOLS))
-            out["n_dup_lines"][i] = dup_lines(text)
-            out["n_repeat_words"][i] = repeat_words(text, found.hashes[found.bounds[i] : found.bounds[i + 1]])
-        rest = [batch.column(k) for k in batch.schema.names if k != "text"]
-        names = [k for k in batch.schema.names if k != "text"]
-        yield pa.RecordBatch.from_arrays([*rest, *(pa.array(out[k]) for k in COUNTS)], names=[*names, *COUNTS])
+def _count(text: str, keep_text: bool):
+    """Rows with their counts, with or without their text."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in W.slices(batches, text):
+            texts = batch.column(text)
+            found = W.words(texts)
+            out = {k: np.zeros(len(texts), np.int64) for k in COUNTS}
+            out["n_words"] = np.diff(found.bounds)
+            for i, value in enumerate(texts.cast(pa.large_binary()).to_pylist()):
+                solid = value.translate(None, b" \t\n\r\x0b\x0c")
+                out["word_chars"][i] = len(solid.decode())
+                out["n_symbols"][i] = len(solid) - len(solid.translate(None, SYMBOLS))
+                out["n_dup_lines"][i] = dup_lines(value)
+                out["n_repeat_words"][i] = repeat_words(value, found.hashes[found.bounds[i] : found.bounds[i + 1]])
+            names = [k for k in batch.schema.names if keep_text or k != text]
+            rest = [batch.column(k).cast(pa.string()) if k == text else batch.column(k) for k in names]
+            yield pa.RecordBatch.from_arrays([*rest, *(pa.array(out[k]) for k in COUNTS)], names=[*names, *COUNTS])
+
+    return count
+
+
+def _counted(rows: DataFrame, text: str, keep_text: bool = False) -> DataFrame:
+    """``rows`` with the five counts; a null text is kept as an empty one."""
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if keep_text or f.name != text]
+    return rows.mapInArrow(_count(text, keep_text), ", ".join([*fields, *(f"{k} long" for k in COUNTS)]))
 
 
 def counts(docs: DataFrame, text: str = "text", keep: dict[str, str] | None = None) -> DataFrame:
     """The five counts of each text beside the columns named in ``keep`` (output name: input name)."""
     keep = keep or {"doc_id": "doc_id"}
-    narrow = docs.select(*(F.col(v).alias(k) for k, v in keep.items()), F.col(text).alias("text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema if f.name != "text"]
-    return narrow.mapInArrow(_count, ", ".join([*fields, *(f"{k} long" for k in COUNTS)]))
+    return _counted(docs.select(*(F.col(v).alias(k) for k, v in keep.items()), F.col(text).alias("text")), "text")
 
 
-def host_verdicts(counted: DataFrame, host: str, rules: dict[str, str] = RULES, max_rate: float = MAX_RATE) -> DataFrame:
-    """A row for each host: documents, failures and shrunk rate of each rule, and whether the host is accepted.
+def host_verdicts(counted: DataFrame, host: str, rules: dict[str, str] = RULES, max_rate: float = MAX_RATE) -> tuple[DataFrame, int]:
+    """A row for each host: documents, failures and shrunk rate of each rule, and whether the host is accepted; and the
+    number of hosts.
 
     The prior of a rule is Beta(m * k, (1 - m) * k), where m is the mean of the hosts' rates and k comes from
-    their variance; if they don't vary at all, k is 1000.  Only the sums over hosts, a few numbers, go to the driver.
+    their variance, held between 1 and 1000 documents' weight; if they don't vary at all, k is 1000.  Only the sums over hosts, a few numbers, go to the driver.
     """
     hosts = counted.groupBy(F.col(host).alias("host")).agg(
         F.count(F.lit(1)).alias("n_docs"), *(F.count_if(F.expr(rule)).alias(f"failed_{k}") for k, rule in rules.items())
     )
     rate = {k: F.col(f"failed_{k}") / F.col("n_docs") for k in rules}
-    moments = hosts.agg(*(f(rate[k]).alias(f"{name}_{k}") for k in rules for name, f in (("mean", F.avg), ("var", F.var_pop)))).first()
+    moments = hosts.agg(F.count(F.lit(1)).alias("n_hosts"), *(f(rate[k]).alias(f"{name}_{k}") for k in rules for name, f in (("mean", F.avg), ("var", F.var_pop)))).first()
     for k in rules:
         mean, var = moments[f"mean_{k}"] or 0.0, moments[f"var_{k}"] or 0.0
         weight = max(1.0, min(1000.0, mean * (1 - mean) / var - 1)) if var > 1e-12 else 1000.0
         hosts = hosts.withColumn(f"rate_{k}", (F.col(f"failed_{k}") + mean * weight) / (F.col("n_docs") + weight))
-    return hosts.withColumn("host_ok", ~F.greatest(*(F.col(f"rate_{k}") > max_rate for k in rules)))
+    return hosts.withColumn("host_ok", ~F.greatest(*(F.col(f"rate_{k}") > max_rate for k in rules))), moments["n_hosts"]
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", max_rate: float = MAX_RATE) -> DataFrame:
@@ -111,7 +121,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str
     The counts are written once to the shared folder, as both the hosts and the documents need them.
     """
     counted = shared.save(counts(docs, text, {"doc_id": id_col, "host": host}), "rule-counts")
-    hosts = host_verdicts(counted, "host", max_rate=max_rate).select(F.col("host").alias("of_host"), "host_ok", *(f"rate_{k}" for k in RULES))
+    hosts = host_verdicts(counted, "host", max_rate=max_rate)[0].select(F.col("host").alias("of_host"), "host_ok", *(f"rate_{k}" for k in RULES))
     failed = F.expr(" OR ".join(f"({RULES[k]})" for k in BASE))
     joined = counted.join(hosts, F.col("host").eqNullSafe(F.col("of_host")), "left")
     return joined.select(
@@ -120,24 +130,19 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str
 
 
 def filter_documents(docs: DataFrame, text: str = "text", host: str = "source", max_rate: float = MAX_RATE) -> DataFrame:
-    """The rows whose text passes the base rules and whose host is accepted, with their own columns."""
+    """The rows whose text passes the base rules and whose host is accepted, with their own columns, whatever their names.
+
+    Texts are counted once, and written with their counts: the hosts' sums then read the counts alone.  The rejected
+    hosts are written too, so that Spark knows their size when it chooses between sending them out and moving the rows.
+    """
     names = docs.columns
-    counted = counts(docs, text, {"host": host})
-    bad = host_verdicts(counted, "host", max_rate=max_rate).where("NOT host_ok").select("host")
-    kept = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), F.col(text).alias("text"), F.col(host).alias("of_host"))
-    passing = kept.mapInArrow(_passing(len(names)), kept.drop("text").schema)
-    out = passing.join(bad, F.col("of_host").eqNullSafe(F.col("host")), "left_anti")
-    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))
-
-
-def _passing(width: int):
-    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.slices(batches):
-            n = next(_count(iter([batch.select(["text"])])))
-            failed = pc.or_(pc.less(n["n_words"], 10), pc.greater(pc.multiply(n["n_repeat_words"], 100), pc.multiply(n["n_words"], 20)))
-            yield batch.filter(pc.invert(failed)).drop_columns(["text"])
-
-    return passing
+    at = {c: f"c{i}" for i, c in enumerate(names)}
+    counted = shared.save(_counted(docs.toDF(*at.values()), at[text], True), "rule-counts")
+    hosts, n_hosts = host_verdicts(counted, at[host], max_rate=max_rate)
+    rejected = shared.save(hosts.where("NOT host_ok").select("host"), "rejected-hosts", n_hosts)
+    failed = F.expr(" OR ".join(f"({RULES[k]})" for k in BASE))
+    out = counted.where(~failed).join(rejected, F.col(at[host]).eqNullSafe(F.col("host")), "left_anti")
+    return out.select(*(F.col(at[c]).alias(c) for c in names))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

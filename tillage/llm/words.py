@@ -11,6 +11,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
+from tillage.llm import shared
+
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 SEED = 20240611
@@ -58,6 +60,7 @@ def values(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(batches, column: str = "text", limit: int = 1 << 20):
     """The batches cut to about ``limit`` bytes of text each, as the arrays made from a text take some hundred times its size."""
+    shared.worker_objects()
     for batch in batches:
         texts = batch.column(column)
         texts = texts.cast(pa.large_string()).fill_null("")
@@ -70,28 +73,55 @@ def slices(batches, column: str = "text", limit: int = 1 << 20):
             at = end
 
 
-def words(array: pa.Array, lower: bool = False) -> Words:
-    data, offsets = values(array)
-    if not len(data):
-        return Words(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64))
+#: Bytes whose words are found at once, as the arrays for it take some forty times as much.
+CHUNK = 1 << 22
+
+
+def _parts(data: np.ndarray) -> list[int]:
+    """Where to cut data into parts of about CHUNK bytes, at white space only."""
+    cuts = [0]
+    while len(data) - cuts[-1] > CHUNK:
+        at = cuts[-1] + CHUNK
+        while at < len(data):  # a word may be long
+            found = np.flatnonzero(WHITE[data[at : at + CHUNK]])
+            if len(found):
+                at += int(found[0])
+                break
+            at = min(len(data), at + CHUNK)
+        cuts.append(at)
+    return [*cuts, len(data)] if cuts[-1] < len(data) else cuts
+
+
+def _hashed(data: np.ndarray, firsts: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start, and their hashes; ``firsts``: where texts start."""
     solid = ~WHITE[data]
     start = solid.copy()
     start[1:] &= ~solid[:-1]
-    first = offsets[:-1][offsets[:-1] < len(data)]
-    start[first] = solid[first]
+    start[firsts] = solid[firsts]
     at = np.flatnonzero(start)
-    bounds = np.searchsorted(at, offsets)
     if not len(at):
-        return Words(np.zeros(0, np.uint64), np.zeros(0, np.int64), bounds)
+        return at, np.zeros(0, np.uint64)
     packed = data[solid]
     begin = np.flatnonzero(start[solid])
     lengths = np.diff(np.append(begin, len(packed)))
     place = np.arange(len(packed)) - np.repeat(begin, lengths)
     with np.errstate(over="ignore"):
         hashes = np.add.reduceat(byte_table(lower)[packed] * numbers(int(lengths.max()), 2)[place], begin)
-        hashes = splitmix(hashes + lengths.astype(np.uint64))
-    left = np.repeat(bounds[1:], np.diff(bounds)) - np.arange(len(hashes))
-    return Words(hashes, left, bounds)
+        return at, splitmix(hashes + lengths.astype(np.uint64))
+
+
+def words(array: pa.Array, lower: bool = False) -> Words:
+    data, offsets = values(array)
+    starts, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    cuts = _parts(data)
+    for low, high in zip(cuts, cuts[1:]):
+        firsts = offsets[:-1][(offsets[:-1] >= low) & (offsets[:-1] < high)] - low
+        at, found = _hashed(data[low:high], firsts, lower)
+        starts.append(at + low)
+        hashes.append(found)
+    bounds = np.searchsorted(np.concatenate(starts), offsets)
+    found = np.concatenate(hashes)
+    return Words(found, np.repeat(bounds[1:], np.diff(bounds)) - np.arange(len(found)), bounds)
 
 
 def shingles(hashes: np.ndarray, size: int, stream: int = 3) -> np.ndarray:
