@@ -13,7 +13,6 @@ columns, whatever their names, are passed by or kept.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +25,8 @@ from tillage.llm import words as W
 from tillage.llm.words import sha256
 
 MIN_DOCS = 10
-BATCHES = 4
-FANOUT = 3
+BATCHES = 2
+FANOUT = 2
 WHITE = b" \t\n\r\x0b\x0c"
 EMPTY = b"\0" * 16
 
@@ -69,22 +68,24 @@ class LineRuns:
     def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS, buckets: int | None = None, fanout: int = FANOUT) -> None:
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.levels: list[list[str]] = []
-        self.paths: dict[str, str] = {}
+        self.levels: list[list[tuple[DataFrame, str]]] = []
 
     def _write(self, run: DataFrame, level: int) -> None:
-        name = f"line_run_{uuid.uuid4().hex}"
-        self.paths[name] = shared.scratch_path(self.spark, "run")
-        dealt = run.repartition(self.buckets, "h1", "h2")
-        dealt.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", self.paths[name]).option("compression", "zstd").saveAsTable(name)
+        paths: list[str] = []
+        table = shared.bucketed(run, "line_run", "h1", "h2", sort=True, buckets=self.buckets, paths=paths)
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(name)
+        self.levels[level].append((table, *paths))
         if len(self.levels[level]) >= self.fanout:
             self.compact(level)
 
     def runs(self) -> list[DataFrame]:
-        return [self.spark.table(name) for level in self.levels for name in level]
+        return [run for level in self.levels for run, _ in level]
+
+    def drop(self) -> None:
+        """Delete all runs."""
+        shared.delete(self.spark, [path for level in self.levels for _, path in level])
+        self.levels = []
 
     def _merged(self, runs: list[DataFrame]) -> DataFrame:
         merged = runs[0]
@@ -96,12 +97,10 @@ class LineRuns:
     def compact(self, level: int) -> None:
         """All runs of a level become one run of the next."""
         old = self.levels[level]
-        merged = self._merged([self.spark.table(name) for name in old])
+        merged = self._merged([run for run, _ in old])
         self.levels[level] = []
         self._write(merged, level + 1)
-        for name in old:
-            self.spark.sql(f"DROP TABLE {name}")
-            shared.delete(self.spark, self.paths.pop(name))
+        shared.delete(self.spark, [path for _, path in old])
 
     def add(self, batch: DataFrame) -> None:
         """Add the keys (h1, h2, a row for each document that holds one) of a batch."""
@@ -117,8 +116,11 @@ class LineRuns:
         return batch
 
     def frequent(self) -> DataFrame:
-        """h1, h2 of the keys found in ``min_docs`` documents so far."""
-        return self._merged(self.runs()).where(F.col("n_docs") >= self.min_docs).select("h1", "h2")
+        """h1, h2 of the keys found in ``min_docs`` documents so far, as a table of their own: Spark knows its size when it
+        joins lines with it, and can deal the occurrences of a very common line to several tasks."""
+        runs = self.runs()
+        found = self._merged(runs).where(F.col("n_docs") >= self.min_docs).select("h1", "h2")
+        return shared.save(found, "frequent-lines", sum(run.count() for run in runs))
 
 
 def build_runs(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, batches: int = BATCHES) -> LineRuns:
@@ -141,6 +143,7 @@ def drop_lines(docs: DataFrame, frequent: DataFrame, text: str = "text") -> Data
     own = own.select("*", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), "text").alias("t2"))
     hits = keys(own, "text", "t1", "t2").join(frequent, ["h1", "h2"], "left_semi")
     hits = hits.groupBy("t1", "t2").agg(F.collect_set(F.struct("h1", "h2")).alias("hits")).select("t1", "t2", F.col("hits.h1").alias("a"), F.col("hits.h2").alias("b"))
+    hits = shared.save(hits, "line-hits")  # else the copies of one text would all meet in one task of the join
     joined = own.join(hits, ["t1", "t2"], "left").drop("t1", "t2")
     fields = [f for f in joined.schema if f.name not in ("a", "b")]
 
@@ -170,7 +173,10 @@ def drop_lines(docs: DataFrame, frequent: DataFrame, text: str = "text") -> Data
 
 def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
     """``docs`` without lines found in at least ``min_docs`` rows; a column called n_lines or n_dropped is replaced."""
-    return drop_lines(docs, build_runs(docs, text, min_docs, batches).frequent(), text)
+    runs = build_runs(docs, text, min_docs, batches)
+    frequent = runs.frequent()
+    runs.drop()
+    return drop_lines(docs, frequent, text)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -199,29 +199,33 @@ def _in_blocks(nodes: DataFrame) -> DataFrame:
     return paired.select("node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "component")
 
 
-def similar_links(vertices: DataFrame, docs: DataFrame) -> DataFrame:
+def similar_links(vertices: DataFrame, docs: DataFrame, paths: list[str] | None = None) -> DataFrame:
     """Confirmed links (a, b) that join all vertices (key, rep, tokens, sketch) of a component.  ``docs``: doc_id, text.
 
-    ``vertices`` and the sets are bucketed by key, so that only keys travel to them.
+    ``vertices`` and the sets are bucketed by key, so that only keys travel to them.  ``paths`` gets the scratch tables
+    that the links rest on.
     """
     members = vertices.select("key", F.posexplode(F.slice("tokens", 1, TREES)).alias("tree", "node"))
-    shares = members.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("key").alias("first")).where("size > 1")
-    members = shared.save(members.join(shares, "node").drop("size"), "nodes")
+    # Shares and sizes of nodes are written before the members join them: see components._stars().
+    shares = shared.save(members.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("key").alias("first")).where("size > 1"), "shares", paths=paths)
+    members = shared.save(members.join(shares.drop("size"), "node"), "nodes", paths=paths)
+    rows = members.count()
 
     needed = vertices.join(members.select("key").distinct(), "key", "left_semi").select("rep").distinct()
     texts = docs.where("doc_id IS NOT NULL").join(needed, F.col("doc_id") == F.col("rep"), "left_semi")
     unnamed = docs.where("doc_id IS NULL")  # rows without an id can stand for a set too
-    sets = shared.bucketed(texts.unionByName(unnamed).mapInArrow(_packed_sets, "key binary, members binary"), "sets", "key", distinct=True)
+    sets = shared.bucketed(texts.unionByName(unnamed).mapInArrow(_packed_sets, "key binary, members binary"), "sets", "key", distinct=True, paths=paths)
 
     stars = members.where(F.col("key") != F.col("first")).groupBy(F.col("first").alias("a"), F.col("key").alias("b")).count()
-    links = shared.save(confirm(stars.where(F.col("count") >= FIRST_SHARED).select("a", "b"), sets), "confirmed")
+    links = shared.save(confirm(stars.where(F.col("count") >= FIRST_SHARED).select("a", "b"), sets), "confirmed", rows, paths)
 
-    found = components(links)
+    found = components(links, rows)
     now = members.drop("first").join(found, F.col("key") == F.col("member"), "left").withColumn("component", F.coalesce("component", "key")).drop("member")
     pairs = None
     for level in range(LEVELS):
         mixed = now.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").drop("low", "high")
-        now = shared.save(now.join(mixed, "node"), "mixed")
+        now = shared.save(now.join(shared.save(mixed, "sizes", rows, paths), "node"), "mixed", rows, paths)
+        rows = now.count()
         small = now.where(F.col("size") <= NODE).join(vertices.select("key", "sketch"), "key")
         side = lambda s: small.select("node", F.col("key").alias(s), F.col("component").alias(f"c{s}"), F.col("sketch").alias(f"k{s}"))  # noqa: E731, B023
         alike = side("a").join(side("b"), "node").where("ca < cb").select("a", "b", "ka", "kb").mapInArrow(_alike, "a binary, b binary")
@@ -242,11 +246,13 @@ def _judged(own: DataFrame) -> DataFrame:
     passed = [f"{f.name} {f.dataType.simpleString()}" for f in own.schema if f.name != "text"]
     signed = shared.save(own.mapInArrow(_signatures, ", ".join([*passed, "n_shingles long, key binary, tokens array<long>"])), "signatures")
     grouped = signed.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"))
-    vertices = shared.bucketed(grouped.mapInArrow(_sketched, f"key binary, rep {kind}, tokens array<long>, sketch binary"), "vertices", "key")
-    found = components(similar_links(vertices, own.select("doc_id", "text")))
+    paths: list[str] = []  # what is needed no longer once the components are written
+    vertices = shared.bucketed(grouped.mapInArrow(_sketched, f"key binary, rep {kind}, tokens array<long>, sketch binary"), "vertices", "key", paths=paths)
+    found = components(similar_links(vertices, own.select("doc_id", "text"), paths))
     named = vertices.select("key", "rep").join(found, F.col("key") == F.col("member"), "left").withColumn("component", F.coalesce("component", "key"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "component").select(F.col("key").alias("of_key"), "component", "component_id")
+    named = shared.save(named.join(least, "component").select(F.col("key").alias("of_key"), "component", "component_id"), "named")
+    shared.delete(own.sparkSession, paths)
     out = signed.drop("tokens").join(named, F.col("key") == F.col("of_key"), "left").drop("of_key")
     out = out.withColumn("component_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -264,14 +270,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     whose text has the least MD5, and of equal texts any one.  A row is judged by its id and its text, so a kept row's id can
     be that of a row which goes.
     """
-    digest, worded = F.md5(F.col(text).cast("binary")), F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    judged = _judged(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), digest.alias("digest")))
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # numbered, no column of the caller's clashes with those made here
+    own = docs.toDF(*at.values())
+    digest, worded = F.md5(F.col(at[text]).cast("binary")), F.coalesce(F.col(at[text]), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    judged = _judged(own.select(F.col(at[id_col]).alias("doc_id"), F.col(at[text]).alias("text"), digest.alias("digest")))
     stay = judged.where("key IS NOT NULL AND kept").groupBy("component", "doc_id").agg(F.min("digest").alias("stay_digest"))
     stay = stay.select(F.struct("doc_id").alias("stay_id"), "stay_digest")  # in a struct, null equals null
     # Repeats of a row are dropped where they lie, before they meet; the join needs no other shuffle.
-    once = docs.where(worded).withColumns({"own_id": F.struct(F.col(id_col).alias("doc_id")), "own_digest": digest}).dropDuplicates(["own_id", "own_digest"])
+    once = own.where(worded).withColumns({"own_id": F.struct(F.col(at[id_col]).alias("doc_id")), "own_digest": digest}).dropDuplicates(["own_id", "own_digest"])
     once = once.join(stay, (F.col("own_id") == F.col("stay_id")) & (F.col("own_digest") == F.col("stay_digest")), "left_semi")
-    return once.select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(docs.where(~worded))
+    return once.select(*at.values()).unionByName(own.where(~worded)).toDF(*docs.columns)
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
