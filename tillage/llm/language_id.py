@@ -4,13 +4,16 @@ For each row and language, four kinds of evidence add up as logarithms: the like
 trigrams; the language that the markup declares; the suffix of the address (.de); and a prior for the host.  The
 host's prior is smoothed hierarchically: expected counts of each language, from a first pass over text, markup and
 address, are summed by host, by suffix and over all rows by grouped aggregation; a suffix's shares are shrunk towards
-those of all rows, and a host's towards its suffix's.
-
-Trigram counts come from a bounded sample of labelled documents; every language in it is in the model, which takes the
-driver BUCKETS numbers a language, and the queries an expression a language.  Overlapping trigrams are not independent, so a text
-counts as ``evidence`` trigrams at most, with the mean over its whole length.  Null or empty texts rest on the other
-evidence; null addresses on text and markup.  Equal rows get equal results, ties go to the first language in
-alphabetical order, an empty table gives an empty result, and other columns are passed by.
+those of all rows, and a host's towards its suffix's.  A row's own share is taken out of all three sums before they tell
+anything about it, so that its evidence counts once.
+
+Trigram counts come from a bounded sample of labelled documents (``sample_rows`` ids with the least hashes, a row of
+each); every language in it is in the model, which takes the driver BUCKETS numbers a language, and the queries an
+expression a language.  Overlapping trigrams are not independent, so a text counts as ``evidence`` trigrams at most, with
+the mean over its whole length.  Null or empty texts rest on the other evidence; null addresses on text and markup, with
+null a host and suffix of its own.  Very long texts are taken whole.  Equal rows get equal results, ties go to the first
+language in alphabetical order, and an empty table gives an empty result.  Other columns are kept, whatever their names,
+but columns called lang and probability, which the results replace.
 """
 
 from __future__ import annotations
@@ -64,8 +67,11 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages in alphabetical order and the log likelihood of each trigram bucket in each."""
     known = docs.where(F.col(lang).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    chosen = known.select("id").orderBy(F.xxhash64("id"), "id").limit(sample_rows).distinct()
-    sample = known.join(F.broadcast(chosen), "id", "left_semi").select("lang", "text")
+    # Only rows whose hash is small enough are put in order: ids some three times as many as are taken, whatever there are.
+    share = min(1.0, 3 * sample_rows / max(1, known.agg(F.approx_count_distinct("id")).first()[0]))
+    near = known.where(F.xxhash64("id") <= F.lit(min(2**63 - 1, int(-(2**63) + share * 2**64))))
+    one = near.groupBy("id").agg(F.min(F.struct("lang", "text")).alias("row"))
+    sample = one.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("row.*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -78,7 +84,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
             at = np.flatnonzero(found)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(found[at], pa.int64())], names=["lang", "bucket", "n"])
 
-    counted = sample.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("counts"))
+    counted = sample.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("counts"))
     rows = sorted(counted.collect(), key=lambda r: r["lang"])  # the sample's languages times buckets, at most
     langs = [r["lang"] for r in rows]
     table = np.full((len(langs), BUCKETS), 0.5)
@@ -89,7 +95,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
 
 
 def text_likelihoods(rows: DataFrame, model: tuple[list[str], np.ndarray], markup: Column, evidence: int = EVIDENCE) -> DataFrame:
-    """``rows`` (with a column ``text``) with ``likely``, a log likelihood for each language, in place of the text."""
+    """``rows`` (with a column ``text``, and none called markup or likely) with ``likely``, a log likelihood for each
+    language, in place of the text."""
     langs, table = model
     shared_table = rows.sparkSession.sparkContext.broadcast(table.astype(np.float32))  # languages times buckets
     fields = [f for f in rows.schema if f.name != "text"]
@@ -134,28 +141,37 @@ def _normal(logs: Column) -> Column:
 
 
 def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], markup: Column | None = None) -> DataFrame:
-    """``rows`` with lang and probability.  They have text, declared, suffix and host; other columns are kept."""
+    """``rows`` with lang and probability in place of the text.  They have text, declared, suffix and host; ``markup`` tells
+    which texts are markup."""
     langs, _ = model
-    ids = [c for c in rows.columns if c != "text"]
+    read = ("text", "declared", "suffix", "host")
+    others = {c: f"c{i}" for i, c in enumerate(rows.columns) if c not in (*read, "lang", "probability")}
+    back = [(c, others.get(c, c)) for c in rows.columns if c not in ("text", "lang", "probability")]
     if not langs:
-        return rows.select(*ids, F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("probability"))
+        return rows.select(*(F.col(f"`{c}`") for c, _ in back), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("probability"))
+    own = rows.withColumn("_markup", F.lit(False) if markup is None else markup)
+    own = own.select(*read, "_markup", *(F.col(f"`{c}`").alias(n) for c, n in others.items()))
     named = F.lower(F.regexp_extract(F.coalesce("declared", F.lit("")), "^[A-Za-z]+", 0))
-    own = F.coalesce(F.create_map(*(F.lit(x) for kv in SUFFIX_LANGUAGE.items() for x in kv))[F.col("suffix")], F.col("suffix"))
-    first = shared.save(text_likelihoods(rows, model, F.lit(False) if markup is None else markup), "likelihoods")
-    evidence = first.withColumn("likely", _plus(F.col("likely"), _logs(langs, named, DECLARED_RIGHT), _logs(langs, own, SUFFIX_RIGHT)))
-    expected = evidence.withColumn("p", _normal(F.col("likely")))
-    host = expected.groupBy("host", "suffix").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.col("p")[k]).alias(f"h{k}") for k in range(len(langs))))
-    suffix = host.groupBy("suffix").agg(F.sum("n").alias("sn"), *(F.sum(f"h{k}").alias(f"s{k}") for k in range(len(langs))))
-    total = suffix.agg(F.sum("sn"), *(F.sum(f"s{k}") for k in range(len(langs)))).first()  # one row
-    shares = [((total[k + 1] or 0) + 1.0) / ((total[0] or 0) + len(langs)) for k in range(len(langs))]
-    suffix = suffix.select(F.col("suffix").alias("of_suffix"), *(((F.col(f"s{k}") + SUFFIX_WEIGHT * shares[k]) / (F.col("sn") + SUFFIX_WEIGHT)).alias(f"s{k}") for k in range(len(langs))))
-    prior = host.join(suffix, F.col("suffix").eqNullSafe(F.col("of_suffix"))).select(
-        F.col("host").alias("of_host"), F.col("suffix").alias("of_suffix"), F.array(*(F.log((F.col(f"h{k}") + HOST_WEIGHT * F.col(f"s{k}")) / (F.col("n") + HOST_WEIGHT)) for k in range(len(langs)))).alias("prior")
-    )
-    fused = evidence.join(prior, F.col("host").eqNullSafe(F.col("of_host")) & F.col("suffix").eqNullSafe(F.col("of_suffix")), "left")
-    fused = fused.withColumn("p", _normal(_plus(F.col("likely"), F.col("prior"))))
-    best = F.array_max("p")
-    return fused.select(*ids, F.element_at(F.array(*map(F.lit, langs)), F.array_position("p", best).cast("int")).alias("lang"), F.round(best, 6).alias("probability"))
+    of_suffix = F.coalesce(F.create_map(*(F.lit(x) for kv in SUFFIX_LANGUAGE.items() for x in kv))[F.col("suffix")], F.col("suffix"))
+    first = shared.save(text_likelihoods(own, model, F.col("_markup")), "likelihoods")
+    evidence = first.withColumn("likely", _plus(F.col("likely"), _logs(langs, named, DECLARED_RIGHT), _logs(langs, of_suffix, SUFFIX_RIGHT))).withColumn("p", _normal(F.col("likely")))
+    sums = lambda column: F.array(*(F.sum(F.col(column)[k]) for k in range(len(langs))))
+    # Hosts are written before rows join them: Spark then knows their size, or can deal the rows of a very large one out.
+    host = shared.save(evidence.groupBy("host", "suffix").agg(F.count(F.lit(1)).alias("n"), sums("p").alias("h")), "hosts")
+    suffix = host.groupBy("suffix").agg(F.sum("n").alias("suffix_n"), sums("h").alias("s"))
+    total_n, total = host.agg(F.coalesce(F.sum("n"), F.lit(0)), sums("h")).first()  # one row
+    total = F.array(*(F.lit(float(x or 0)) for x in total))
+    of = host.join(suffix.withColumnRenamed("suffix", "other"), F.col("suffix").eqNullSafe(F.col("other"))).select(F.col("host").alias("of_host"), F.col("suffix").alias("of_suffix"), "n", "h", "suffix_n", "s")
+    fused = evidence.join(of, F.col("host").eqNullSafe(F.col("of_host")) & F.col("suffix").eqNullSafe(F.col("of_suffix")), "left")
+
+    def prior(p: Column, k: Column) -> Column:
+        share = (F.get(total, k) - p + 1) / (total_n - 1 + len(langs))
+        in_suffix = (F.get(F.col("s"), k) - p + SUFFIX_WEIGHT * share) / (F.col("suffix_n") - 1 + SUFFIX_WEIGHT)
+        return F.log((F.get(F.col("h"), k) - p + HOST_WEIGHT * in_suffix) / (F.col("n") - 1 + HOST_WEIGHT))
+
+    fused = fused.withColumn("fused", _normal(_plus(F.col("likely"), F.transform("p", prior))))
+    best = F.array_max("fused")
+    return fused.select(*(F.col(n).alias(c) for c, n in back), F.element_at(F.array(*map(F.lit, langs)), F.array_position("fused", best).cast("int")).alias("lang"), F.round(best, 6).alias("probability"))
 
 
 def page_rows(pages: DataFrame) -> DataFrame:
