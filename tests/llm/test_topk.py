@@ -55,3 +55,18 @@ def test_vectors_of_one_length_are_dealt_evenly(spark):
     rows = [(i, rng.permutation([3.0, 1.0, 1.0, 0.0, -1.0, 2.0]).tolist()) for i in range(200)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert {tuple(r) for r in T.top_k(df, F.col("id") % 10 == 0, shard_rows=30, seed_rows=5).collect()} == brute(rows, 5, 10)
+
+
+def test_shards_keep_the_order_of_lengths_and_queries_reach_all_they_need():
+    rng = np.random.default_rng(6)
+    length = np.concatenate([rng.integers(0, 9, 400).astype(float), np.full(300, 5.0)])
+    cuts = np.sort(np.quantile(length, np.arange(1, 12) / 12))
+    assert len(set(cuts)) < len(cuts)
+    shard = T.shards_of(length, rng.integers(-(2**60), 2**60, len(length)), cuts)
+    tops = np.concatenate([[length.max()], cuts[::-1]])
+    assert (length <= tops[shard]).all() and shard.min() == 0 and shard.max() <= 11
+    assert np.bincount(shard, minlength=12).max() < 200
+    asked, floor = rng.integers(0, 5, 50).astype(float), np.concatenate([[-np.inf], rng.integers(-3, 40, 49)])
+    for q, f, last in zip(asked, floor, T.last_shards(asked, floor, tops)):
+        reached = np.flatnonzero(q * tops >= f)
+        assert last == (reached.max() if len(reached) else -1)

@@ -7,7 +7,8 @@ first block of rows whose largest length cannot reach its k-th best (Cauchy-Schw
 inner products over the first ``head`` coordinates after an SVD rotation, plus the product of the lengths of the
 remaining coordinates, bound every score; only pairs whose bound reaches the k-th best get an exact whole-number
 score.  Before the shards are searched, each query's k-th best among the ``seed_rows`` longest rows is found, and the
-shards start from there.  The bounds are widened by more than rounding can take, so the result is exact.
+shards start from there; a query travels only to those whose longest row can reach it.  The bounds are widened by more
+than rounding can take, so the result is exact.
 
 Vectors that are null, or hold null or non-finite components, take no part, nor do rows without an id.  Vectors are
 compared with those of their own dimension only.  Equal scores go to smaller ids.  Rows that repeat an id are
@@ -44,7 +45,13 @@ LOW, HIGH = -(2**63), 2**63 - 1
 
 
 def floored(vector: Column, scale: int = SCALE) -> Column:
-    return F.transform(vector, lambda x: F.floor(scale * x.cast("double")).cast("double") if scale != 1 else x.cast("double"))
+    """As whole numbers; beyond 2**52 a double is one, and F.floor() would end at 64 bits."""
+
+    def whole(x: Column) -> Column:
+        y = scale * x.cast("double")
+        return F.when(F.abs(y) < EXACT, F.floor(y).cast("double")).otherwise(y)
+
+    return F.transform(vector, whole)
 
 
 def usable(vector: Column) -> Column:
@@ -147,6 +154,20 @@ def search(shard: Shard, ids: np.ndarray, queries: np.ndarray, floor: np.ndarray
     return ids[row], whose[row, col], best[row, col]
 
 
+def shards_of(length: np.ndarray, dealt: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """The shard of each row, 0 for the longest; ``cuts``: in ascending order.  Where several cuts are of a row's very
+    length, the number ``dealt`` chooses one of the shards between them."""
+    least = len(cuts) - np.searchsorted(cuts, length, "right")
+    most = len(cuts) - np.searchsorted(cuts, length, "left")
+    return (least + dealt % (most - least + 1)).astype(np.int32)
+
+
+def last_shards(length: np.ndarray, floor: np.ndarray, tops: np.ndarray) -> np.ndarray:
+    """The last shard that each query can find a row in (-1: none), by Cauchy-Schwarz; ``tops``: in descending order."""
+    most = np.where(length > 0, (floor - 1e-6) / np.maximum(length, 1e-300) / (1 + 1e-9), np.where(floor > 1e-6, np.inf, -np.inf))
+    return len(tops) - 1 - np.searchsorted(tops[::-1], most, "left")
+
+
 def _one_dimension(vectors: DataFrame, dim: int, n: int, is_query: Column, k: int, scale: int, head: int, shard_rows: int, seed_rows: int) -> DataFrame:
     """``vectors``: id, v, length."""
     turn = rotation(vectors, dim, scale)
@@ -157,25 +178,30 @@ def _one_dimension(vectors: DataFrame, dim: int, n: int, is_query: Column, k: in
     seed_ids, seed_m = seed.column(0).to_numpy(), np.floor(scale * _matrix(seed.column(1).combine_chunks())).reshape(len(seed), dim)
     seeds = spark.sparkContext.broadcast(Shard(seed_ids, seed_m, turn, head))
 
+    shards = max(1, -(-n // shard_rows), min(-(-n // LEAST_ROWS), spark.sparkContext.defaultParallelism))
+    quantiles = [i / shards for i in range(1, shards)]
+    cuts = np.sort(np.array(vectors.approxQuantile("length", quantiles, min(0.0005, 0.1 / shards)) if shards > 1 else [], float))
+    longest = vectors.agg(F.max("length")).first()[0]
+    tops = np.concatenate([[longest], cuts[::-1]])  # the largest length in each shard
+
     def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, m = batch.column(0).to_numpy(), np.floor(scale * _matrix(batch.column(1))).reshape(batch.num_rows, dim)
             found = search(seeds.value, ids, m, np.full(len(ids), -np.inf), turn, head, k)
             floors = pd.Series(found[2]).groupby(found[0]).agg(["min", "size"])
             floors = floors["min"].where(floors["size"] >= k).reindex(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(floors.astype(float).fillna(-np.inf).to_numpy())], names=["id", "v", "floor"])
-
-    shards = max(1, -(-n // shard_rows), min(-(-n // LEAST_ROWS), spark.sparkContext.defaultParallelism))
-    cuts = vectors.approxQuantile("length", [i / shards for i in range(1, shards)], 0.0005) if shards > 1 else []
-    # Rows of one length could all fall between the same cuts: a hash deals a shard's rows to parts of even size.
-    in_shard = F.lit(0)
-    for c in cuts:
-        in_shard = in_shard + (F.col("length") <= F.lit(c)).cast("int")
-    part = F.pmod(F.xxhash64("id"), F.lit(shards))
-    key = (in_shard if len(set(cuts)) == len(cuts) else part).alias("shard")
-    rows = vectors.select(key.cast("int").alias("shard"), F.lit(0).alias("kind"), "id", "v", F.lit(0.0).alias("floor"))
-    asked = queries.mapInArrow(seeded, "id long, v array<double>, floor double")
-    copies = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "id", "v", "floor")
+            floors = floors.astype(float).fillna(-np.inf).to_numpy()
+            last = last_shards(np.sqrt((m * m).sum(1)), floors, tops)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(floors), pa.array(last, pa.int32())], names=["id", "v", "floor", "last"])
+
+    @F.pandas_udf("int")
+    def shard_of(length: pd.Series, dealt: pd.Series) -> pd.Series:
+        return pd.Series(shards_of(length.to_numpy(), dealt.to_numpy(), cuts))
+
+    key = shard_of("length", F.xxhash64("id")) if shards > 1 else F.lit(0)
+    rows = vectors.select(key.alias("shard"), F.lit(0).alias("kind"), "id", "v", F.lit(0.0).alias("floor"))
+    asked = queries.mapInArrow(seeded, "id long, v array<double>, floor double, last int")
+    copies = asked.where("last >= 0").select(F.explode(F.sequence(F.lit(0), F.col("last"))).alias("shard"), F.lit(1).alias("kind"), "id", "v", "floor")
     dealt = rows.unionByName(copies).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +232,7 @@ def _one_dimension(vectors: DataFrame, dim: int, n: int, is_query: Column, k: in
 def top_k(table: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vector: str = "embedding", scale: int = SCALE, head: int = HEAD, shard_rows: int = SHARD_ROWS, seed_rows: int = SEED_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows for each row for which ``is_query`` (over a column ``id``) holds."""
     vectors = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
-    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    length = F.sqrt(F.aggregate(floored(F.col("v"), scale), F.lit(0.0), lambda a, x: a + x * x))
     vectors = shared.save(vectors.select("id", "v", length.alias("length"), F.size("v").alias("dim")), "vectors")
     found = None
     for r in vectors.groupBy("dim").count().orderBy("dim").collect():  # dimensions, not vectors
