@@ -67,10 +67,7 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages in alphabetical order and the log likelihood of each trigram bucket in each."""
     known = docs.where(F.col(lang).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    # Only rows whose hash is small enough are put in order: ids some three times as many as are taken, whatever there are.
-    share = min(1.0, 3 * sample_rows / max(1, known.agg(F.approx_count_distinct("id")).first()[0]))
-    near = known.where(F.xxhash64("id") <= F.lit(min(2**63 - 1, int(-(2**63) + share * 2**64))))
-    one = near.groupBy("id").agg(F.min(F.struct("lang", "text")).alias("row"))
+    one = shared.least_hashes(known, "id", sample_rows).groupBy("id").agg(F.min(F.struct("lang", "text")).alias("row"))
     sample = one.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("row.*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tillage.llm import shared
 
-#: Labelled rows that training reads at most: those whose ids have the smallest hashes.
+#: Labelled ids that training reads at most, a row of each: those with the smallest hashes.
 SAMPLE_ROWS = 20_000
 TREES, DEPTH, PENALTY, SEED = 12, 3, 0.002, 17
 THRESHOLD = 0.7
@@ -133,9 +133,11 @@ def held_out(id_col: str) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> RuleEnsemble:
     """Learn from labelled rows that are not held out, ``sample_rows`` of them at most."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & ~held_out(id_col))
-    known = known.select(F.col(id_col).alias("labelled"), F.col(label).cast("double").alias("label"))
-    chosen = known.orderBy(F.xxhash64("labelled"), "labelled", "label").limit(sample_rows)
+    known = known.select(F.col(id_col).alias("labelled"), F.col(label).cast("double").alias("label")).distinct()
+    near = shared.least_hashes(known, "labelled", sample_rows)
+    chosen = near.orderBy(F.xxhash64("labelled"), "labelled", "label").limit(sample_rows)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("labelled"))
+    rows = rows.groupBy("id", "label").agg(F.min("text").alias("text"))  # an id that many rows repeat counts once
     return fit(shared.save(statistics(rows, "text", F.col("label")).coalesce(8), "sample"))
 
 

@@ -13,6 +13,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Texts are long, so Arrow batches hold fewer rows and bytes than Spark's defaults.
 ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": (str(2**63 - 1), str(16 << 20))}
@@ -114,6 +115,13 @@ def release() -> None:
         pass
 
 
+def least_hashes(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """The rows of some three times ``n`` keys, those with the least hashes, or all if there are fewer.  To take ``n`` keys
+    in order of their hashes is then small work, whatever there are."""
+    share = min(1.0, 3 * n / max(1, rows.agg(F.approx_count_distinct(key)).first()[0]))
+    return rows.where(F.xxhash64(key) <= F.lit(min(2**63 - 1, int(-(2**63) + share * 2**64))))
+
+
 def delete(spark: SparkSession, paths: list[str]) -> None:
     """Remove scratch tables that no later step reads."""
     for path in paths:
