@@ -152,6 +152,14 @@ def reduction(before: Column, after: Column) -> tuple[Column, Column, Column]:
     return a, b, F.when(a > 0, (a - b) / a * 100).otherwise(0.0)
 
 
+def corpus_reduction(rows: DataFrame, before: str = "text", after: str = "cleaned") -> DataFrame:
+    """One row: files, characters before and after, and the percentage saved.  A file without a cleaned text failed."""
+    done = F.col(after).isNotNull()
+    sums = rows.agg(F.count(F.lit(1)).alias("files"), F.count_if(done).alias("succeeded"), F.sum(F.when(done, F.length(before))).alias("a"), F.sum(F.when(done, F.length(after))).alias("b"))
+    a, b = F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0))
+    return sums.select("files", "succeeded", (F.col("files") - F.col("succeeded")).alias("failed"), a.alias("before"), b.alias("after"), F.when(a > 0, F.round((a - b) / a * 100, 1)).otherwise(0.0).alias("saved"))
+
+
 def clean_page_text(text: Column) -> Column:
     """At most one blank line; words that a line end hyphenates are joined."""
     return strip(sub_all(text, [(r"\n{3,}", "\n\n"), (r"(?U)(\w)-\n(\w)", "$1$2")]))

@@ -73,5 +73,30 @@ def violation_rates(violations: DataFrame, ts: str = "ts", kind: str = "violatio
     return violations.groupBy(F.window(ts, window).alias("w"), kind).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), kind, "n")
 
 
+def violation_records(checked: DataFrame, ts: str) -> DataFrame:
+    """Of checked messages (see check_messages) a record for each violation: timestamp, type, action taken, metadata."""
+    action = F.when(F.col("violation_type") == "pii", "rejected").otherwise("flagged")
+    return checked.where("NOT passed").select(F.col(ts).alias("timestamp"), "violation_type", action.alias("action_taken"), "metadata")
+
+
+def rejection_shares(requests: DataFrame, rejected: Column, ts: str = "ts", window: str = "5 minutes") -> DataFrame:
+    """start, requests, rejections and share of each time window that has requests."""
+    counted = requests.groupBy(F.window(ts, window).alias("w")).agg(F.count(F.lit(1)).alias("requests"), F.count_if(rejected).alias("rejections"))
+    return counted.select(F.col("w.start").alias("start"), "requests", "rejections", (F.col("rejections") / F.col("requests")).alias("share"))
+
+
+def rejection_alerts(shares: DataFrame, most: float = 0.1, width: str = "5 minutes") -> DataFrame:
+    """Windows above ``most`` that follow one above it, so that the share has been high for two windows' time."""
+    high = shares.where(F.col("share") > most)
+    before = high.select((F.col("start") + F.expr(f"INTERVAL {width}")).alias("start"))
+    return high.join(before, "start", "left_semi")
+
+
+def latency_percentile(requests: DataFrame, latency: str, ts: str = "ts", window: str = "5 minutes", share: float = 0.95) -> DataFrame:
+    """start and the exact percentile of a latency in each time window."""
+    found = requests.groupBy(F.window(ts, window).alias("w")).agg(F.percentile(latency, share).alias("latency"))
+    return found.select(F.col("w.start").alias("start"), "latency")
+
+
 def alerts(rates: DataFrame, most: int = 5) -> DataFrame:
     return rates.where(F.col("n") > most)

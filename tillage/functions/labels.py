@@ -138,6 +138,14 @@ def to_label_record(record: Column) -> Column:
     )
 
 
+MIN_DOCUMENT = 100
+
+
+def long_enough(text: Column) -> Column:
+    """Whether a document has enough text to extract from."""
+    return F.coalesce(F.length(strip(text)) >= MIN_DOCUMENT, F.lit(False))
+
+
 def truncate(text: Column, size: int = 15_000, marker: str = "\n\n[... truncated ...]") -> Column:
     return F.when(F.length(text) > size, F.concat(F.substring(text, 1, size), F.lit(marker))).otherwise(text)
 

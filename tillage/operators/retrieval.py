@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -124,7 +125,6 @@ def context(chunks: DataFrame, window: int = 2, doc: str = "product_number", ord
 
 def embed_column(df: DataFrame, text: str, model: Callable[[], Callable[[list[str]], list[list[float]]]], batch: int = 32) -> DataFrame:
     """``df`` with an embedding of a text column.  ``model`` is made once a task; it embeds ``batch`` texts at a time."""
-    import pandas as pd
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed(series: pd.Series) -> pd.Series:

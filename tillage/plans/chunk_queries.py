@@ -100,6 +100,25 @@ add(
     CHUNKS + """SELECT product_number, product_name, active_constituent, "group" AS moa_group, coalesce(cs, []) AS controls FROM (SELECT DISTINCT product_number FROM top) JOIN document USING (product_number) JOIN herbicide USING (product_number) LEFT JOIN has_moa USING (product_number)
 LEFT JOIN (SELECT product_number, list_sort(list(DISTINCT concat_ws('|', weed, crop, control_level)))[1:10] AS cs FROM controls GROUP BY 1) USING (product_number)""",
 )
+
+
+def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hybrid search in one call; its parts joined to the hits."""
+    vector = B.table(spark, sf_dir, "embeddings").where("vec_id = 7").select("embedding").first()[0]
+    found = R.hybrid_search(chunk_graph(spark, sf_dir), "a question", lambda text: vector, 10)
+    mentions = found["mentions"].select("entity", F.explode("chunk_ids").alias("chunk_id")).groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n_mentions"))
+    herbicides = found["herbicides"].select("product_number", "moa_group", F.size("controls").alias("n_controls"))
+    hits = found["hits"].select("chunk_id", "product_number", F.round("score", 6).alias("score"))
+    return hits.join(found["chunks"].select("chunk_id", "prev_id", "next_id"), "chunk_id").join(mentions, "chunk_id", "left").join(herbicides, "product_number", "left")
+
+
+add(
+    "hybrid_search",
+    hybrid,
+    CHUNKS + """SELECT product_number, chunk_id, round(score, 6) AS score, p.src AS prev_id, n.dst AS next_id, n_mentions, h.moa_group, n_controls FROM top LEFT JOIN nexts p ON p.dst = chunk_id LEFT JOIN nexts n ON n.src = chunk_id
+LEFT JOIN (SELECT chunk_id, count(*) AS n_mentions FROM mentions GROUP BY 1) USING (chunk_id)
+LEFT JOIN (SELECT product_number, "group" AS moa_group, coalesce(n, 0)::INTEGER AS n_controls FROM document JOIN herbicide USING (product_number) LEFT JOIN has_moa USING (product_number) LEFT JOIN (SELECT product_number, least(10, count(DISTINCT concat_ws('|', weed, crop, control_level))) AS n FROM controls GROUP BY 1) USING (product_number)) h USING (product_number)""",
+)
 add("chunk_ids", lambda s, d: line_chunks(s, d).select("chunk_id", "chunk_type", "sequence_order", "product_number"), CHUNKS + "SELECT chunk_id, chunk_type, sequence_order, product_number FROM chunk")
 add("next_edges", lambda s, d: C.next_edges(line_chunks(s, d)), CHUNKS + "SELECT src, dst FROM nexts")
 add(
@@ -163,10 +182,7 @@ TABLES = B.SQL.rstrip() + """
 ), sec AS (SELECT *, CASE position WHEN 0 THEN 'directions_for_use' WHEN 1 THEN 'withholding_period' ELSE 'metadata' END AS section FROM tab)
 """
 add("section_classify", lambda s, d: order_tables(s, d).select("product_number", "position", C.section(F.col("markdown"), F.col("rows"), F.col("column_count")).alias("section")), TABLES + "SELECT product_number, position, section FROM sec")
-add(
-    "table_chunks",
-    lambda s, d: C.chunk_tables(order_tables(s, d), max_tokens=60).withColumn("headers", F.array_join("headers", " | ")),
-    TABLES.rstrip() + r""", t AS (SELECT product_number, position, 't' || position AS table_id, rs, n_cols, section, array_to_string(rs, chr(10)) AS text FROM sec
+TABLE_CHUNKS = TABLES.rstrip() + r""", t AS (SELECT product_number, position, 't' || position AS table_id, rs, n_cols, section, array_to_string(rs, chr(10)) AS text FROM sec
 ), u AS (SELECT *, len(regexp_extract_all(text, '\S+')) AS est, CASE WHEN n_cols >= 3 THEN rs[2:] ELSE rs END AS data, CASE WHEN n_cols >= 3 THEN rs[1] ELSE '' END AS headers FROM t WHERE length(trim(text)) >= 20
 ), v AS (SELECT *, est > 60 AND len(rs) > 3 AS splits, greatest(1, len(data) // (est // 60 + 1)) AS per FROM u
 ), w AS (SELECT *, CASE WHEN splits THEN (len(data) + per - 1) // per ELSE 1 END AS n FROM v
@@ -176,7 +192,17 @@ SELECT product_number || '-' || table_id || CASE WHEN splits THEN '-part' || par
   CASE WHEN splits THEN CASE WHEN headers <> '' THEN headers || chr(10) ELSE '' END || array_to_string(data[part * per + 1 : (part + 1) * per], chr(10)) ELSE text END AS text,
   CASE WHEN position = 0 AND len(rs) >= 3 THEN 'weed_table' WHEN section = 'directions_for_use' THEN 'directions' WHEN section = 'metadata' OR n_cols <= 2 THEN 'metadata' ELSE 'table' END AS chunk_type,
   seq + part AS sequence_order, product_number, section AS parent_section, table_id,
-  CASE WHEN splits THEN len(data[part * per + 1 : (part + 1) * per]) ELSE len(rs) END::INTEGER AS row_count, n_cols::INTEGER AS column_count, headers, CAST(NULL AS INTEGER) AS page_number FROM y""",
+  CASE WHEN splits THEN len(data[part * per + 1 : (part + 1) * per]) ELSE len(rs) END::INTEGER AS row_count, n_cols::INTEGER AS column_count, headers, CAST(NULL AS INTEGER) AS page_number FROM y"""
+add(
+    "table_chunks",
+    lambda s, d: C.chunk_tables(order_tables(s, d), max_tokens=60).withColumn("headers", F.array_join("headers", " | ")),
+    TABLE_CHUNKS,
+)
+add(
+    "chunk_contexts",
+    lambda s, d: C.chunk_tables(order_tables(s, d), max_tokens=60).select("chunk_id", F.sha2(C.contextualize(F.col("product_number"), F.nullif("parent_section", F.lit("metadata")), F.col("chunk_type"), F.col("text")), 256).alias("text_sha256")),
+    f"""SELECT chunk_id, sha256('[Product: ' || product_number || '] ' || CASE WHEN parent_section <> 'metadata' THEN '[Section: ' || parent_section || '] ' ELSE '' END
+  || CASE chunk_type WHEN 'weed_table' THEN '[Weed Control Table] ' WHEN 'directions' THEN '[Directions for Use] ' ELSE '' END || text) AS text_sha256 FROM ({TABLE_CHUNKS})""",
 )
 add(
     "weed_tables",

@@ -185,6 +185,35 @@ add("violation_rate_hourly", lambda s, d: guardrails.violation_rates(B.table(s,
 add("violation_alerts", lambda s, d: guardrails.alerts(guardrails.violation_rates(B.table(s, d, "events"), "ts", "event_type"), 3), RATES + " HAVING count(*) > 3")
 add("violation_alerts_5_minutes", lambda s, d: guardrails.alerts(guardrails.violation_rates(B.table(s, d, "events"), "ts", "event_type", "5 minutes")), "SELECT time_bucket(INTERVAL '5 minutes', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 5")
 
+# An error counts as a rejected request, and an event's value as its latency.
+REJECTED = "SELECT time_bucket(INTERVAL '5 minutes', ts) AS start, count(*) AS requests, count(*) FILTER (event_type = 'error') AS rejections, count(*) FILTER (event_type = 'error') / count(*) AS share FROM events GROUP BY 1"
+
+
+def shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return guardrails.rejection_shares(B.table(spark, sf_dir, "events"), F.col("event_type") == "error")
+
+
+add("rejection_shares", shares, REJECTED)
+add("rejection_alerts", lambda s, d: guardrails.rejection_alerts(shares(s, d)), f"WITH r AS ({REJECTED}), high AS (SELECT * FROM r WHERE share > 0.1) SELECT * FROM high WHERE start IN (SELECT start + INTERVAL '5 minutes' FROM high)")
+add("latency_p95", lambda s, d: guardrails.latency_percentile(B.table(s, d, "events"), "value").withColumn("latency", F.round("latency", 6)), "SELECT time_bucket(INTERVAL '5 minutes', ts) AS start, round(quantile_cont(value, 0.95), 6) AS latency FROM events GROUP BY 1")
+add(
+    "violation_records",
+    lambda s, d: guardrails.violation_records(guardrails.check_messages(B.table(s, d, "conversations")), "turn").select("timestamp", "violation_type", "action_taken", F.array_join("metadata.pii_types", ",").alias("pii_types")),
+    "SELECT turn AS timestamp, v AS violation_type, CASE v WHEN 'pii' THEN 'rejected' ELSE 'flagged' END AS action_taken, pii_types FROM (SELECT *, CASE WHEN " + ANY + f" THEN 'pii' WHEN {OFF} THEN 'off_topic' END AS v, concat_ws(',', " + ", ".join(f"CASE WHEN {m} THEN '{n}' END" for n, m in MATCHES.items()) + ") AS pii_types FROM conversations) WHERE v IS NOT NULL",
+)
+add("disclaimers", lambda s, d: B.table(s, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", guardrails.with_disclaimer(F.col("text")).alias("answer")), "SELECT conv_id, turn, text || chr(10) || chr(10) || 'Always read the product label before use.' AS answer FROM conversations WHERE role = 'assistant'")
+add("documents_to_extract", lambda s, d: B.table(s, d, "documents").where(labels.long_enough(F.col("text"))).select("doc_id"), r"SELECT doc_id FROM documents WHERE length(regexp_replace(text, '^[\s\x0b]+|[\s\x0b]+$', '', 'g')) >= 100")
+add(
+    "page_counts",
+    lambda s, d: B.table(s, d, "part").groupBy("p_brand", "p_type").agg(F.collect_list(F.when(F.col("p_partkey") % 3 == 0, F.col("p_size") - 25)).alias("pages"), F.count(F.lit(1)).cast("int").alias("docs")).select("p_brand", "p_type", labels.page_count(F.col("pages"), F.col("docs")).alias("pages")),
+    "SELECT p_brand, p_type, coalesce(max(p_size - 25) FILTER (p_partkey % 3 = 0 AND p_size > 25), count(*))::INTEGER AS pages FROM part GROUP BY 1, 2",
+)
+add(
+    "corpus_reduction",
+    lambda s, d: cleaning.corpus_reduction(B.table(s, d, "documents").select("text", F.when(F.col("doc_id") % 10 != 0, F.replace(t(), F.lit("the "), F.lit(""))).alias("cleaned"))),
+    "SELECT count(*) AS files, count(*) FILTER (doc_id % 10 <> 0) AS succeeded, count(*) FILTER (doc_id % 10 = 0) AS failed, sum(length(text)) FILTER (doc_id % 10 <> 0)::BIGINT AS before, sum(length(replace(text, 'the ', ''))) FILTER (doc_id % 10 <> 0)::BIGINT AS after, round((sum(length(text)) FILTER (doc_id % 10 <> 0) - sum(length(replace(text, 'the ', ''))) FILTER (doc_id % 10 <> 0)) / sum(length(text)) FILTER (doc_id % 10 <> 0) * 100, 1) AS saved FROM documents",
+)
+
 
 def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")).rstrip("/") + f"/rates-{uuid.uuid4().hex}"
@@ -218,6 +247,36 @@ add(
     lambda s, d: readers.pending(B.table(s, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit("ELBL")).alias("stem")), B.table(s, d, "labels").select(F.concat(F.col("doc_id").cast("string"), F.lit("ELBL")).alias("stem"))),
     "SELECT doc_id || 'ELBL' AS stem FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
 )
+def ledger_of(rows: DataFrame, status: Column, at: int) -> DataFrame:
+    return rows.select(F.concat(F.col("doc_id").cast("string"), F.lit("ELBL")).alias("stem"), status.alias("status"), F.lit(at).alias("at"))
+
+
+add(
+    "ledger_update",
+    lambda s, d: readers.updated_ledger(ledger_of(B.table(s, d, "labels"), F.lit("parsed"), 1), ledger_of(B.table(s, d, "documents"), F.when(F.col("doc_id") % 3 == 0, "failed").otherwise("parsed"), 2)),
+    "SELECT doc_id || 'ELBL' AS stem, CASE WHEN doc_id % 3 = 0 THEN 'failed' ELSE 'parsed' END AS status, 2 AS at FROM documents UNION ALL SELECT DISTINCT doc_id || 'ELBL', 'parsed', 1 FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)",
+)
+
+
+def block_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each event: one or two JSON blocks, and Markdown behind them or nothing."""
+    own = F.concat(F.lit('{"event_id": '), "event_id", F.lit(', "tables": [{"event_type": "'), "event_type", F.lit('"}, {"user_id": '), "user_id", F.lit('}], "text_items": ["'), "event_type", F.lit('", " "]}'))
+    more = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit(' {"tables": [{"t": "x"}], "text_items": [7, "'), "event_type", F.lit('", {"a": "b"}]}'))).otherwise("")
+    text = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("\n# Notes\nfor "), "event_type", F.lit("\n\n## More\nend"))).otherwise("")
+    split = readers.split_json_blocks(F.concat(own, more, text))
+    return B.table(spark, sf_dir, "events").select("event_id", split.alias("s")).select("event_id", "s.blocks", "s.trailing")
+
+
+add(
+    "merged_blocks",
+    lambda s, d: readers.merge_blocks(block_files(s, d), "event_id").select("event_id", F.col("fields")["event_id"].alias("own_id"), F.size("fields").alias("n_fields"), F.array_join("tables", ";").alias("tables"), F.array_join("text_items", "|").alias("items"), F.array_join(F.transform("raw_blocks", lambda b: F.concat_ws(":", b["block_index"], b["type"], b["num_tables"], b["has_text_items"], b["content_preview"])), ";").alias("raw")),
+    """SELECT event_id, CAST(event_id AS VARCHAR) AS own_id, 1::INTEGER AS n_fields, '{"event_type":"' || event_type || '"};{"user_id":' || user_id || '}' || CASE WHEN event_id % 2 = 0 THEN ';{"t":"x"}' ELSE '' END AS tables,
+  event_type || CASE WHEN event_id % 2 = 0 THEN '|' || event_type ELSE '' END || CASE WHEN event_id % 3 = 0 THEN '|Notes' || chr(10) || 'for ' || event_type || '|More' || chr(10) || 'end' ELSE '' END AS items,
+  '0:json:2:true' || CASE WHEN event_id % 2 = 0 THEN ';1:json:1:true' ELSE '' END || CASE WHEN event_id % 3 = 0 THEN ';' || CASE WHEN event_id % 2 = 0 THEN 2 ELSE 1 END || ':markdown:# Notes' || chr(10) || 'for ' || event_type || chr(10) || chr(10) || '## More' || chr(10) || 'end...' ELSE '' END AS raw
+FROM events WHERE event_id % 2 = 0 OR event_id % 3 = 0""",
+)
+
+
 def json_text() -> Column:
     return F.concat("props", F.lit(" "), F.to_json(F.struct("event_type", "event_id")), F.lit("\n# note {"), F.col("event_type"))
 

@@ -28,21 +28,36 @@ def _stem(suffix: str) -> Column:
     return F.regexp_replace(F.col("_metadata.file_name"), suffix, "")
 
 
-def _files(spark: SparkSession, path: str, schema: str, glob: str) -> DataFrame:
-    found = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("pathGlobFilter", glob).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+def first_files(spark: SparkSession, path: str, glob: str, limit: int, where: str = "true") -> list[str]:
+    """The paths of the first ``limit`` files of a directory by name, of those whose ``file`` passes ``where``."""
+    names = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", F.element_at(F.split("path", "/"), -1).alias("file"))
+    return [r["path"] for r in names.where(where).orderBy("file", "path").limit(limit).collect()]
+
+
+def _files(spark: SparkSession, path: str, schema: str, glob: str, limit: int | None = None, where: str = "true") -> DataFrame:
+    paths = path if limit is None else first_files(spark, path, glob, limit, where)
+    if not paths:
+        return spark.createDataFrame([], f"{schema}, file string")
+    found = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("pathGlobFilter", glob).option("columnNameOfCorruptRecord", "_corrupt_record").json(paths)
     return found.withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
 
 
-def read_label_records(spark: SparkSession, path: str) -> DataFrame:
+def read_label_records(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """One row for each file; bad files have _corrupt_record.  Files that start with ``_`` and summaries are left out.
-    ``seq`` is the order of file names, in which later records win."""
-    rows = _files(spark, path, LABEL_RECORD, "*.json").where("NOT startswith(file, '_') AND file <> 'extraction_summary.json'")
+    ``seq`` is the order of file names, in which later records win; ``limit`` takes the first files of that order."""
+    record = "NOT startswith(file, '_') AND file <> 'extraction_summary.json'"
+    rows = _files(spark, path, LABEL_RECORD, "*.json", limit, record).where(record)
     return rows.withColumn("stem", F.regexp_replace("file", r"\.json$", "")).withColumn("seq", F.col("stem"))
 
 
-def read_parsed_tables(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each table of each file, ready for chunk_tables()."""
-    rows = _files(spark, path, PARSED_TABLES, "*.docling.json").withColumn("product_number", F.replace(F.regexp_replace("file", r"\.docling\.json$", ""), F.lit("ELBL"), F.lit("")))
+def read_parsed_files(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """One row for each file (the first ``limit`` by name); bad files have _corrupt_record."""
+    return _files(spark, path, PARSED_TABLES, "*.docling.json", limit)
+
+
+def read_parsed_tables(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """One row for each table of each file, ready for chunk_tables(); read_parsed_files() tells bad files."""
+    rows = read_parsed_files(spark, path, limit).withColumn("product_number", F.replace(F.regexp_replace("file", r"\.docling\.json$", ""), F.lit("ELBL"), F.lit("")))
     tables = rows.select("product_number", F.posexplode("tables").alias("position", "t"))
     return tables.select("product_number", "position", F.col("t.id").alias("table_id"), "t.rows", "t.markdown", "t.column_count", "t.row_count", F.col("t.bbox.page").alias("page"))
 
@@ -99,6 +114,24 @@ def file_name(url: Column) -> Column:
     return F.substring_index(F.regexp_extract(url, r"^[a-z]+://[^/?#]+([^?#]*)", 1), "/", -1)
 
 
+def updated_ledger(ledger: DataFrame, done: DataFrame, key: str = "stem", at: str = "at") -> DataFrame:
+    """The ledger with the files done since: of each file's entries the last in ``at``."""
+    rows = ledger.unionByName(done)
+    others = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*others), at).alias("r")).select(key, "r.*")
+
+
+def write_ledger(done: DataFrame, path: str) -> None:
+    """Add entries; earlier ones stay, as a run that fails later must not lose them."""
+    done.write.mode("append").parquet(path)
+
+
+def read_ledger(spark: SparkSession, path: str, key: str = "stem", at: str = "at") -> DataFrame:
+    """The last entry of each file."""
+    rows = spark.read.parquet(path)
+    return updated_ledger(rows.limit(0), rows, key, at)
+
+
 def pending(files: DataFrame, ledger: DataFrame, key: str = "stem") -> DataFrame:
     """Files that the ledger doesn't have."""
     return files.join(ledger.select(key).distinct(), key, "left_anti")
@@ -132,12 +165,29 @@ def split_json_blocks(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["blocks", "trailing"])
 
 
-def merge_blocks(blocks: DataFrame, key: str, order: str) -> DataFrame:
-    """Parsed blocks of one file (text_items array<string>, tables array<...>) as one: the first block's fields, with
-    all blocks' items and tables in order."""
-    rows = F.array_sort(F.collect_list(F.struct(order, "text_items", "tables")))
-    merged = blocks.groupBy(key).agg(rows.alias("b"))
-    return merged.select(key, F.flatten(F.transform("b", lambda x: F.coalesce(x["text_items"], F.array().cast("array<string>")))).alias("text_items"), F.flatten(F.filter(F.transform("b", lambda x: x["tables"]), lambda t: t.isNotNull())).alias("tables"), F.size("b").alias("n_blocks"))
+def merge_blocks(files: DataFrame, key: str = "file") -> DataFrame:
+    """Files that hold several blocks (key, blocks: JSON objects as strings, trailing: Markdown) as one record each.
+
+    ``fields`` are the first block's own (values as JSON), ``tables`` those of all blocks in order (as JSON),
+    ``text_items`` all non-blank strings of the blocks and then the Markdown's sections, ``raw_blocks`` what each block
+    was.  Files with one block or none, and files with a block that is no JSON object, give no row.
+    """
+    fields = lambda b: F.from_json(b, "map<string,string>")
+    strings = lambda b: F.transform(F.filter(F.variant_get(F.parse_json(b), "$.text_items", "array<variant>"), lambda v: F.schema_of_variant(v) == "STRING"), lambda v: v.cast("string"))
+    none = F.array().cast("array<string>")
+    tables = lambda b: F.coalesce(F.from_json(F.element_at(fields(b), "tables"), "array<string>"), none)
+    items = lambda b: F.filter(F.coalesce(strings(b), none), lambda x: strip(x) != "")
+    has_items = lambda b: F.coalesce(F.get_json_object(b, "$.text_items[0]").isNotNull(), F.lit(False))
+    has_text = F.coalesce(strip(F.col("trailing")), F.lit("")) != ""
+    rows = files.where(F.coalesce(F.size("blocks"), F.lit(0)) + has_text.cast("int") > 1).where(F.size("blocks") > 0)
+    rows = rows.where(F.forall("blocks", lambda b: F.try_parse_json(b).isNotNull() & fields(b).isNotNull()))
+    sections = F.filter(F.transform(F.split("trailing", r"(?:^|\n)#+\s+", -1), strip), lambda x: x != "")
+    raw = F.transform("blocks", lambda b, i: F.struct(i.alias("block_index"), F.lit("json").alias("type"), F.size(tables(b)).alias("num_tables"), has_items(b).alias("has_text_items"), F.lit(None).cast("string").alias("content_preview")))
+    markdown = F.struct(F.size("blocks").alias("block_index"), F.lit("markdown").alias("type"), F.lit(None).cast("int").alias("num_tables"), F.lit(None).cast("boolean").alias("has_text_items"), F.concat(F.substring("trailing", 1, 100), F.lit("...")).alias("content_preview"))
+    return rows.select(
+        key, F.map_filter(fields(F.col("blocks")[0]), lambda k, v: ~k.isin("tables", "text_items")).alias("fields"), F.flatten(F.transform("blocks", tables)).alias("tables"),
+        F.concat(F.flatten(F.transform("blocks", items)), F.when(has_text, sections).otherwise(none)).alias("text_items"), F.when(has_text, F.concat(raw, F.array(markdown))).otherwise(raw).alias("raw_blocks"),
+    )
 
 
 def markdown_sections(text: Column) -> Column:
@@ -151,6 +201,12 @@ def write_json(rows: DataFrame, path: str, source: Column, model: str | None = N
     rows.withColumn("_meta", meta).write.mode("overwrite").json(path)
 
 
+def write_files(rows: DataFrame, path: str, value: str, file: str = "file") -> None:
+    """A text for each input file, in a directory of its own (``file=<name>``), so that names are kept.  For JSON records,
+    ``value`` is to_json() of them."""
+    rows.select(F.col(value).alias("value"), F.col(file).alias("file")).write.mode("overwrite").option("lineSep", "\n").partitionBy("file").text(path)
+
+
 def write_texts(rows: DataFrame, path: str, text: str = "cleaned") -> None:
     rows.select(F.col(text).alias("value")).write.mode("overwrite").option("lineSep", "\n").text(path)
 
