@@ -67,3 +67,36 @@ def test_large_nodes_are_compared_in_blocks(spark, monkeypatch):
     rows = [(i, t) for i, t in enumerate(corpus(3))]
     got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in got) == brute(rows)
+
+
+def test_recall_of_the_deeper_levels(spark, monkeypatch):
+    """Pairs a little above the threshold behind a passage that all texts share: only deeper levels bring them together."""
+    monkeypatch.setattr(N, "NODE", 2)
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for pair in range(150):
+        base = passage + [f"x{pair}_{i}" for i in range(140)]
+        other = base[:]
+        for k in range(rng.choice([4, 5])):  # each changed word takes five shingles of 196
+            other[70 + 25 * k + rng.randrange(10)] = f"y{pair}_{k}"
+        rows += [(2 * pair, " ".join(base)), (2 * pair + 1, " ".join(other))]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    share = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2])]
+    assert 0.75 <= min(share) and max(share) < 0.83 and len(sets[0] & sets[2]) / len(sets[0] | sets[2]) < 0.5
+    monkeypatch.setattr(N, "_in_blocks", lambda nodes: nodes.limit(0).selectExpr("node", "0 AS i", "0 AS j", "0 AS own", "key", "component"))
+    got = {r.doc_id: r.component_id for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = sum(got[2 * k + 1] == 2 * k for k in range(150))
+    assert all(got[2 * k] == 2 * k for k in range(150))  # none falsely
+    assert linked >= 147, linked  # recall of 0.98 without comparing the blocks of the last level
+
+
+def test_very_long_texts_and_one_huge_key(spark):
+    rng = random.Random(3)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(60_000)]
+    copy = " ".join(f"c{i}" for i in range(30))
+    rows = [(1, " ".join(long)), (2, " ".join(long[:50_000])), (3, " ".join(long[:30_000]))] + [(10 + i, copy) for i in range(400)]
+    rows += [(1000 + i, " ".join([*copy.split(), f"end{i}"])) for i in range(200)]
+    got = {r.doc_id: (r.component_id, r.kept) for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got[1] == (1, True) and got[2] == (1, False) and got[3] == (3, True)
+    assert all(got[d][0] == 10 for d in got if d >= 10) and sum(kept for _, kept in got.values()) == 3

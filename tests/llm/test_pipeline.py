@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import duckdb
 import corpus_pipeline as P
+from pyspark.sql import functions as F
 
 from tillage.llm import line_dedup, near_dedup, quality_rules, shared, substring_dedup
 
@@ -69,3 +70,31 @@ def test_near_duplicates_with_repeated_and_null_ids(spark):
     assert {(3, b), (5, a), (None, e), (4, near(f))} <= set(got) and [i for i, t in got if t in (c, near(c))] == [7]
     assert sorted(map(repr, (r for r in got if not (r[1] or "").split(" ")[0].strip() or r[1] == "\u2028"))) == sorted(map(repr, [(9, ""), (9, ""), (None, None), (None, " \n"), (2, "\u2028")]))
     assert len(got) == 11
+
+
+NAMES = ["key", "kept", "n_lines", "n_dropped", "n_words", "n_removed", "spans", "host", "of_host", "n_docs", "base_failed", "component", "gone_id", "own_id", "stay_id", "digest", "c0", "c1", "u0", "tag", "h1", "t1", "a", "b", "anchors", "source_start", "batch"]
+
+
+def test_stages_keep_columns_of_any_name_and_odd_rows(spark):
+    """Columns named after the stages' own come back as they were; null texts, null and repeated ids and repeated rows pass."""
+    docs = shared.read(spark, SMALL, "documents").where("doc_id < 120")
+    odd = spark.createDataFrame([(None, None), (None, ""), (5, None), (5, " \n"), (None, "w " * 20), (7, "long " * 60_000), (7, "long " * 60_000)], "doc_id long, text string")
+    odd = odd.select("doc_id", "text", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"), F.length("text").cast("long").alias("n_chars"))
+    docs = docs.unionByName(odd.select(*docs.columns)).unionByName(docs.where("doc_id % 40 = 3"))
+    docs = docs.withColumns({n: F.concat_ws("-", F.lit(n), "doc_id") for n in NAMES})
+    docs = shared.save(docs, "odd")
+    sizes = [docs.count()]
+    for name, stage in P.STAGES[:-1]:
+        out = shared.save(stage(spark, docs, SMALL), name)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        rows = out.collect()
+        assert all(r[n] == (n if r.doc_id is None else f"{n}-{r.doc_id}") for r in rows for n in NAMES)
+        assert all(r.n_chars == len(r.text) for r in rows)
+        sizes.append(len(rows))
+        if name != "quality_rules":  # which drops texts without words
+            again = stage(spark, docs.unionByName(spark.createDataFrame([(None,) * len(docs.columns)] * 2, docs.schema)), SMALL)
+            assert again.where("coalesce(text, '') = ''").count() >= 2
+        docs = out
+    assert sizes[0] > sizes[1] == sizes[2] > sizes[3] == sizes[4] > 0
+    packed = P.packed(spark, docs, SMALL)
+    assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0 and packed.where("start = 0").count() == sizes[4]
