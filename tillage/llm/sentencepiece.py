@@ -25,8 +25,10 @@ from tillage.llm.words import sha256
 
 SPACE = "▁"
 CHUNK = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
-#: Chunks and pairs remembered in a Python worker before it forgets them all.
-REMEMBER = 700_000
+#: Bytes of words, and half as many of pairs of tokens, that a Python worker remembers before it forgets them.
+REMEMBER = 128 << 20
+#: Bytes that a remembered word or pair takes besides its letters.
+OVERHEAD = 200
 
 
 class Pieces:
@@ -51,7 +53,10 @@ class Pieces:
         for piece, i in normal.items():
             self.automaton.add_word(piece, piece)
         self.automaton.make_automaton()
-        self.fits: dict[tuple[str, str], bool] = {}
+        #: Marks that are a piece, and end no other piece behind a letter.
+        self.stops = {c for c in ".,;:!?" if c in normal and not any(p.endswith(c) and p[-2:-1].isalpha() for p in normal)}
+        self.fits: dict[str, dict[str, bool]] = {}  # by the token before
+        self.pairs = 0
 
     def merge(self, text: str) -> list[str]:
         """The definition: join the pair of best score, leftmost first, until none is a piece."""
@@ -73,17 +78,20 @@ class Pieces:
 
     def compatible(self, before: str, token: str) -> bool:
         """Whether the encoding of both strings together is these two tokens; ``before`` may be empty."""
-        found = self.fits.get((before, token))
+        found = self.fits.get(before, {}).get(token)
         if found is None:
-            if len(self.fits) > REMEMBER:
+            if self.pairs * OVERHEAD > REMEMBER // 2:
                 self.fits.clear()
-            found = self.fits[before, token] = self.merge(before + token) == [t for t in (before, token) if t]
+                self.pairs = 0
+            found = self.merge(before + token) == [t for t in (before, token) if t]
+            self.fits.setdefault(before, {})[token] = found
+            self.pairs += 1
         return found
 
     def split(self, chunk: str) -> list[str]:
         """The tokens of a chunk, by the prefix table."""
         last: list[str | None] = [""] + [None] * len(chunk)
-        ids, fits, filled = self.ids, self.fits, 0
+        ids, fits, filled, none = self.ids, self.fits, 0, {}
         for at, piece in self.automaton.iter(chunk):  # in order of their ends, longest first
             while filled < at:
                 filled += 1
@@ -92,7 +100,7 @@ class Pieces:
             if last[at + 1] is None:
                 before = last[at + 1 - len(piece)]
                 if before is not None:
-                    fit = fits.get((before, piece))
+                    fit = fits.get(before, none).get(piece)
                     if self.compatible(before, piece) if fit is None else fit:
                         last[at + 1] = piece
         for at in range(filled + 1, len(chunk) + 1):  # a character that is no piece is a token of its own
@@ -105,12 +113,16 @@ class Pieces:
         return tokens[::-1]
 
     def chunk_ids(self, chunk: str) -> list[int]:
-        out: list[int] = []
+        return self.ids_of(self.tokens(chunk))
+
+    def tokens(self, chunk: str) -> list[str]:
         if SPACE * 2 in chunk:  # pieces of spaces only share one score, so their order is that of the definition
             spaces = len(chunk) - len(chunk.lstrip(SPACE))
-            tokens = self.spaces(spaces, chunk[spaces:])
-        else:
-            tokens = self.split(chunk)
+            return self.spaces(spaces, chunk[spaces:])
+        return self.split(chunk)
+
+    def ids_of(self, tokens: list[str]) -> list[int]:
+        out: list[int] = []
         for token in tokens:
             i = self.ids.get(token)
             if i is not None:
@@ -185,19 +197,77 @@ def _is_text(data: bytes) -> bool:
 
 
 class _Known(dict):
-    """Chunk: its ids in decimal, joined by commas, and the bytes that these decode to."""
+    """Chunk: its ids in decimal, joined by commas; ``words`` has the same for words behind a single space.
+
+    Most chunks' ids decode to the chunk; ``decoded`` has the text of those whose ids don't, and ``odd`` the words that have
+    such chunks.
+    """
 
     def __init__(self, pieces: Pieces) -> None:
         super().__init__()
         self.pieces = pieces
+        self.words: dict[str, str] = {}
+        self.decoded: dict[str, str] = {}
+        self.odd: set[str] = set()
+        self.bytes = 0
 
-    def __missing__(self, chunk: str) -> tuple[str, str]:
-        if len(self) > REMEMBER:
-            self.clear()
-        ids = self.pieces.chunk_ids(chunk)
-        self[chunk] = found = (",".join(map(str, ids)), self.pieces.decode(ids, first=False))
+    def __missing__(self, chunk: str) -> str:
+        self[chunk] = found = self.ids(chunk)
         return found
 
+    def ids(self, chunk: str) -> str:
+        tokens, known = self.pieces.tokens(chunk), self.pieces.ids
+        found = [known.get(t) for t in tokens]
+        if None in found:
+            found = self.pieces.ids_of(tokens)
+            text = self.pieces.decode(found, first=False)
+            if text != chunk.replace(SPACE, " "):
+                self.decoded[chunk] = text
+        out = ",".join(map(str, found))
+        self.bytes += len(chunk) + len(out) + OVERHEAD
+        return out
+
+    def word(self, word: str) -> str:
+        chunks = CHUNK.findall(SPACE + word)
+        if len(chunks) == 1:
+            self.words[word] = out = self.stopped(word) or self.ids(chunks[0])
+        else:  # lines end in it; such words seldom come again, their chunks do
+            out = ",".join([self[c] for c in chunks])
+        if self.decoded and not self.decoded.keys().isdisjoint(chunks):
+            self.odd.add(word)
+            self.bytes += len(word) + OVERHEAD
+        return out
+
+    def stopped(self, word: str) -> str | None:
+        """The ids of a word with a stop behind it, from those of the word: the table of a prefix is the prefix of the
+        table.  None if another token than the stop may end there."""
+        stem, stop, pieces = word[:-1], word[-1:], self.pieces
+        if stop not in pieces.stops or not stem[-1:].isalpha():
+            return None
+        before = self.words.get(stem) or self.word(stem)
+        last = pieces.pieces[int(before[before.rfind(",") + 1 :])]
+        if stem in self.odd or not pieces.compatible(last, stop):
+            return None
+        out = f"{before},{pieces.ids[stop]}"
+        self.bytes += len(word) + len(out) + OVERHEAD
+        return out
+
+    def encode(self, text: str) -> tuple[str, str]:
+        """The ids of a text, joined by commas, and the text that they decode to."""
+        if self.bytes > REMEMBER:
+            for kept in (self, self.words, self.decoded, self.odd):
+                kept.clear()
+            self.bytes = 0
+        words, known = text.split(" "), self.words.get
+        if "" not in words and SPACE not in text:
+            found = [known(w) or self.word(w) for w in words]
+            if self.odd.isdisjoint(words):
+                return ",".join(found), text
+        chunks = self.pieces.chunks(text)
+        out = ",".join([self[c] for c in chunks])
+        whole = "".join([self.decoded.get(c, c.replace(SPACE, " ")) for c in chunks])
+        return out, whole[whole[:1] == " " :]
+
 
 def encode_column(docs: DataFrame, model: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, ids (array) and the text they decode to, of every row."""
@@ -217,16 +287,13 @@ def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.per_process(("pieces", model), lambda: _Known(Pieces(model)))
-        pieces = known.pieces
         for batch in batches:
             counts, ids_hashes, decoded_hashes = [], [], []
             for value in pc.fill_null(batch.column(1), "").to_pylist():
-                found = [known[c] for c in pieces.chunks(value)]
-                ids = ",".join([x[0] for x in found])
-                decoded = "".join([x[1] for x in found])
+                ids, decoded = known.encode(value)
                 counts.append(ids.count(",") + 1 if ids else 0)
                 ids_hashes.append(sha256(ids.encode()))
-                decoded_hashes.append(sha256(decoded[decoded[:1] == " " :].encode()))
+                decoded_hashes.append(sha256(decoded.encode()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_hashes, pa.string()), pa.array(decoded_hashes, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
