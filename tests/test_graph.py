@@ -193,4 +193,7 @@ def test_chunks_in_the_graph_and_answers(small, spark):
     assert "Annual" not in A.describe_entity(g, "weed", "nothing") and "Product 1" in A.describe_entity(g, "weed", "ryegrass")
     assert "Product 2" in A.describe_entity(g, "crop", "barley") and "group A" in A.describe_entity(g, "herbicide", "H1") and "Unknown" in A.describe_entity(g, "x", "y")
     assert "Group B" in A.describe_rotation(g, "A", "wheat", "radish") and "Product 1" in A.describe_hybrid(g, "q", lambda t: [1.0, 0.1], 1)
+    assert A.describe_vector_search(g, "q", lambda t: [1.0, 0.1], 2, chunk_type="none") == "No matching chunks."
+    assert "- Annual Ryegrass in wheat: 2 L/ha" in A.describe_entity(g, "Herbicide", "H1") and "ryegrass" not in A.describe_entity(g, "herbicide", "H1", include_controls=False).lower()
+    assert "Products:" not in A.describe_hybrid(g, "q", lambda t: [1.0, 0.1], 1, expand_graph=False)
     assert [r.chunk_id for r in R.chunks_for(g, "radish", "Weed", once=True).collect()] == ["H1-t-2"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillage.functions.text import strip, tokens
+from tillage.functions.text import bind, strip, tokens
 
 # The section patterns, tried in this order, and the words and rates that mark a table of weeds.
 SECTIONS = [
@@ -127,10 +127,11 @@ def link_mentions(chunks: DataFrame, entities: DataFrame, patterns: list[str], e
     join names by the token; an entity that several of a chunk's tokens lead to comes by the first of them alone, so
     pairs need no shuffle to become distinct.
     """
-    found = chunks.select("chunk_id", mentions(F.col("text"), patterns, squash).alias("tokens")).where(F.size("tokens") > 0)
-    seen = found.select(F.explode("tokens").alias("token")).agg(F.collect_set("token"))
+    # One generator makes a row for each token, with all of them: named again, the patterns would be planned and run again.
+    of_chunk = bind(mentions(F.col("text"), patterns, squash), lambda ts: F.transform(ts, lambda t: F.struct(t.alias("token"), ts.alias("tokens"))))
+    found = chunks.select("chunk_id", F.explode_outer(of_chunk).alias("m")).where("m IS NOT NULL").select("chunk_id", "m.token", "m.tokens")
+    seen = found.agg(F.collect_set("token"))
     names = entities.select(F.col("name").alias("entity")).distinct().withColumn("seen", seen.scalar())
     names = names.withColumn("own", F.filter("seen", lambda t: F.contains(F.lower("entity"), t)))
     names = names.where(F.size("own") > 0).select("entity", "own", F.explode("own").alias("token"))
-    met = found.select("chunk_id", "tokens", F.explode("tokens").alias("token")).join(names, "token")
-    return met.where(F.array_min(F.array_intersect("tokens", "own")) == F.col("token")).select("chunk_id", "entity", F.lit(entity_type).alias("entity_type"))
+    return found.join(names, "token").where(F.array_min(F.array_intersect("tokens", "own")) == F.col("token")).select("chunk_id", "entity", F.lit(entity_type).alias("entity_type"))
