@@ -104,3 +104,12 @@ def test_violation_records_and_rejections(spark):
     assert sorted(r.start for r in guardrails.rejection_alerts(shares).collect()) == [at + timedelta(minutes=5 * w) for w in (1, 4, 5)]
     slow = spark.createDataFrame([(at + timedelta(seconds=i), float(i)) for i in range(101)], "ts timestamp_ntz, ms double")
     assert [tuple(r) for r in guardrails.latency_percentile(slow, "ms").collect()] == [(at, 95.0)]
+
+
+def test_result_pages_are_read_in_order(spark):
+    page = lambda *links: "".join(f'<tr><td><A class="x" href="{x}">t {x}</a>' for x in links)
+    rows = [("s", 1, page("a", "b", "a")), ("s", 2, page("b", "c")), ("s", 3, page("d")), ("t", 1, page("a")), ("t", 2, page("a")), ("t", 3, page("z")), ("u", 1, "none"), ("u", 2, page("q")), ("v", 1, None)]
+    got = readers.result_links(spark.createDataFrame(rows, "search string, number int, html string"), "search", "number").collect()
+    assert {tuple(r) for r in got} == {("s", "a", 1), ("s", "b", 1), ("s", "c", 2), ("t", "a", 1)}
+    html = spark.createDataFrame([('<a href="/x">other</a> <a id="l" href="y.pdf">View E-Label </a><a href="z">e-label</a>',), ("<p>",), (None,)], "h string")
+    assert [r[0] for r in html.select(readers.link_by_text(F.col("h"), "e-label")).collect()] == ["y.pdf", None, None]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -216,7 +215,7 @@ add(
 
 
 def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")).rstrip("/") + f"/rates-{uuid.uuid4().hex}"
+    root = f"{violations.shared_folder(spark)}/rates-{uuid.uuid4().hex}"
     return violations.run_once(violations.hourly_rates(violations.stream_of(spark, sf_dir, "events.parquet"), None), f"{root}/rows", f"{root}/checkpoint")
 
 
@@ -228,6 +227,20 @@ add(
     lambda s, d: readers.page_links(B.table(s, d, "pages")).join(B.table(s, d, "pages").select("page_id", "url"), "page_id").select("page_id", readers.absolute(F.col("url"), F.col("link")).alias("address")),
     rf"""SELECT page_id, CASE WHEN regexp_matches(link, '^[a-z]+://') THEN link WHEN link[1] = '/' THEN regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || link ELSE regexp_extract(url, '^([a-z]+://[^?#]*/)', 1) || link END AS address FROM {LINKS}""",
 )
+add(
+    "label_links",
+    lambda s, d: B.table(s, d, "pages").select("page_id", "url", readers.link_by_text(F.col("html"), "TI").alias("link")).select("page_id", "link", readers.absolute(F.col("url"), F.col("link")).alias("address")),
+    r"""WITH a AS (SELECT page_id, url, regexp_extract_all(html, '(?i)<a\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a', 1) AS h, regexp_extract_all(html, '(?i)<a\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a', 2) AS t FROM pages
+), b AS (SELECT page_id, url, h[list_position(list_transform(t, lambda x: contains(lower(x), 'ti')), true)] AS link FROM a)
+SELECT page_id, link, CASE WHEN regexp_matches(link, '^[a-z]+://') THEN link WHEN link[1] = '/' THEN regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || link ELSE regexp_extract(url, '^([a-z]+://[^?#]*/)', 1) || link END AS address FROM b""",
+)
+add(
+    "result_links",
+    lambda s, d: readers.result_links(B.table(s, d, "pages").select((F.col("page_id") % 40).alias("search"), F.floor(F.col("page_id") / 40 + 1).alias("number"), "html"), "search", "number", 4),
+    rf"""WITH p AS (SELECT page_id % 40 AS search, page_id // 40 + 1 AS number, page_id FROM pages), f AS (SELECT search, link, min(number) AS number FROM p JOIN {LINKS} l USING (page_id) GROUP BY 1, 2
+), stop AS (SELECT search, min(number) AS stop FROM p WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.search = p.search AND f.number = p.number) GROUP BY 1)
+SELECT search, link, number FROM f LEFT JOIN stop USING (search) WHERE number <= 4 AND (stop IS NULL OR number < stop)""",
+)
 add("url_basename", on("pages", lambda: ("page_id", readers.file_name(F.col("url")).alias("name"))), r"SELECT page_id, regexp_extract(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '([^/]*)$', 1) AS name FROM pages")
 def search_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as rows of a search result: actives between white space of several kinds or blank, some without a number."""

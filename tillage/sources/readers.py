@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillage.functions.text import strip
+from tillage.functions.text import bind, strip
 
 ENTRY = "crop string, application_timing string, weed_common_name string, weed_scientific_name string, states array<string>, rate_per_ha string, critical_comments string, control_level string"
 LABEL_RECORD = (
@@ -102,6 +102,27 @@ def page_links(pages: DataFrame, html: str = "html", key: str = "page_id") -> Da
     return pages.select(key, F.explode(F.regexp_extract_all(F.col(html), F.lit(r'(?i)<a\s[^>]*href="([^"]*)"'), 1)).alias("link")).distinct()
 
 
+def result_links(pages: DataFrame, search: str, number: str, cap: int = 2, html: str = "html") -> DataFrame:
+    """search, link, number of the page that has it first: the links that reading a search's result pages in order gives.
+
+    Reading ends before a page without links, at a page after the first that has no new ones, and after ``cap`` pages.
+    """
+    links = pages.select(search, number, F.explode_outer(F.regexp_extract_all(F.col(html), F.lit(r'(?i)<a\s[^>]*href="([^"]*)"'), 1)).alias("link"))
+    first = links.where("link IS NOT NULL").groupBy(search, "link").agg(F.min(number).alias(number))
+    new = first.groupBy(search, number).agg(F.count(F.lit(1)).alias("new"))
+    last = pages.select(search, number).join(new, [search, number], "left").where("new IS NULL")  # no links at all, or none that is new
+    last = last.groupBy(search).agg(F.min(number).alias("stop"))
+    kept = first.where(F.col(number) <= cap).join(last, search, "left").where(F.col("stop").isNull() | (F.col(number) < F.col("stop")))
+    return kept.select(search, "link", number)
+
+
+def link_by_text(html: Column, phrase: str) -> Column:
+    """The first link whose text has a phrase, in any case; null if there is none."""
+    anchor = F.lit(r'(?i)<a\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a')
+    has = F.transform(F.regexp_extract_all(html, anchor, 2), lambda t: F.contains(F.lower(t), F.lit(phrase.lower())))
+    return bind(F.array_position(has, F.lit(True)).cast("int"), lambda at: F.when(at > 0, F.get(F.regexp_extract_all(html, anchor, 1), at - 1)))
+
+
 def absolute(base: Column, link: Column) -> Column:
     """A link as an address: relative to the host if it starts with a slash, else to the page's folder."""
     host = F.regexp_extract(base, r"^([a-z]+://[^/?#]+)", 1)

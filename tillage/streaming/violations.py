@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +28,16 @@ def hourly_rates(events: DataFrame, late: str | None = "2 hours") -> DataFrame:
     return guardrails.violation_rates(timed.withWatermark("ts", late) if late else timed, "ts", "event_type")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a temporary folder only where driver and executors are one process, as in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-")
+    return root.rstrip("/")
+
+
 def run_once(rates: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Process what is there and return the last state of each window.  The checkpoint lets a restarted query go on."""
     spark = rates.sparkSession
