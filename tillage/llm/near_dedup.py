@@ -250,7 +250,8 @@ def _judged(own: DataFrame) -> DataFrame:
     vertices = shared.bucketed(grouped.mapInArrow(_sketched, f"key binary, rep {kind}, tokens array<long>, sketch binary"), "vertices", "key", paths=paths)
     found = components(similar_links(vertices, own.select("doc_id", "text"), paths))
     named = vertices.select("key", "rep").join(found, F.col("key") == F.col("member"), "left").withColumn("component", F.coalesce("component", "key"))
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = shared.save(named, "members", paths=paths)
+    least = shared.save(named.groupBy("component").agg(F.min("rep").alias("component_id")), "least", paths=paths)
     named = shared.save(named.join(least, "component").select(F.col("key").alias("of_key"), "component", "component_id"), "named")
     shared.delete(own.sparkSession, paths)
     out = signed.drop("tokens").join(named, F.col("key") == F.col("of_key"), "left").drop("of_key")

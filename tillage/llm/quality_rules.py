@@ -106,6 +106,7 @@ def host_verdicts(counted: DataFrame, host: str, rules: dict[str, str] = RULES,
     hosts = counted.groupBy(F.col(host).alias("host")).agg(
         F.count(F.lit(1)).alias("n_docs"), *(F.count_if(F.expr(rule)).alias(f"failed_{k}") for k, rule in rules.items())
     )
+    hosts = shared.save(hosts, "hosts")  # documents can then join them in parts, if a host has very many
     rate = {k: F.col(f"failed_{k}") / F.col("n_docs") for k in rules}
     moments = hosts.agg(F.count(F.lit(1)).alias("n_hosts"), *(f(rate[k]).alias(f"{name}_{k}") for k in rules for name, f in (("mean", F.avg), ("var", F.var_pop)))).first()
     for k in rules:
