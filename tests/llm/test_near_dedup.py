@@ -91,7 +91,8 @@ def test_recall_of_the_deeper_levels(spark, monkeypatch):
     assert linked >= 147, linked  # recall of 0.98 without comparing the blocks of the last level
 
 
-def test_very_long_texts_and_one_huge_key(spark):
+def test_very_long_texts_and_one_huge_key(spark, monkeypatch):
+    monkeypatch.setattr(N, "HUB", 30)
     rng = random.Random(3)
     long = [f"w{rng.randrange(10**6)}" for _ in range(60_000)]
     copy = " ".join(f"c{i}" for i in range(30))

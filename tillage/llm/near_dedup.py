@@ -40,6 +40,8 @@ NODE = 50
 BLOCK = 256
 #: Trees in which a member must share its node with the node's smallest for the first round to compare them.
 FIRST_SHARED = 4
+#: Pairs of the first round with one set that a task compares.
+HUB = 1000
 #: Of 48 minwise bytes, equal ones that a candidate needs.
 SAME_BYTES = 20
 
@@ -124,6 +126,21 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "sa", "sb").mapInArrow(_confirmed, "a binary, b binary")
 
 
+def confirm_stars(stars: DataFrame, sets: DataFrame, rows: int, paths: list[str] | None) -> DataFrame:
+    """As confirm(), for pairs of which very many can have one ``a``: such a set is copied, and its pairs are dealt out.
+    ``rows``: at most so many pairs."""
+    stars = shared.save(stars, "stars", rows, paths)
+    hubs = stars.groupBy("a").count().where(F.col("count") > HUB).select("a", F.ceil(F.col("count") / HUB).cast("int").alias("salts"))
+    hubs = shared.save(hubs, "hubs", rows // HUB, paths)
+    links = confirm(stars.join(hubs, "a", "left_anti"), sets)
+    if hubs.isEmpty():
+        return links
+    dealt = stars.join(hubs, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
+    copies = sets.join(hubs, F.col("key") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("members").alias("sa"))
+    met = dealt.join(sets.select(F.col("key").alias("b"), F.col("members").alias("sb")), "b").join(copies, ["a", "salt"])
+    return links.unionByName(met.select("a", "b", "sa", "sb").mapInArrow(_confirmed, "a binary, b binary"))
+
+
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
@@ -217,7 +234,8 @@ def similar_links(vertices: DataFrame, docs: DataFrame, paths: list[str] | None
     sets = shared.bucketed(texts.unionByName(unnamed).mapInArrow(_packed_sets, "key binary, members binary"), "sets", "key", distinct=True, paths=paths)
 
     stars = members.where(F.col("key") != F.col("first")).groupBy(F.col("first").alias("a"), F.col("key").alias("b")).count()
-    links = shared.save(confirm(stars.where(F.col("count") >= FIRST_SHARED).select("a", "b"), sets), "confirmed", rows, paths)
+    stars = stars.where(F.col("count") >= FIRST_SHARED).select("a", "b")
+    links = shared.save(confirm_stars(stars, sets, rows, paths), "confirmed", rows, paths)
 
     found = components(links, rows)
     now = members.drop("first").join(found, F.col("key") == F.col("member"), "left").withColumn("component", F.coalesce("component", "key")).drop("member")
