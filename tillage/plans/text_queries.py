@@ -157,13 +157,34 @@ add(
 )
 add(
     "label_metadata",
-    lambda s, d: label_markdown(s, d).select("product_number", labels.first_page_metadata(F.col("text")).alias("m")).select("product_number", "m.apvma_number", "m.active_constituent", "m.mode_of_action_group"),
-    "SELECT CAST(p_partkey AS VARCHAR) AS product_number, CASE WHEN p_partkey >= 1000 THEN CAST(p_partkey AS VARCHAR)[-6:] END AS apvma_number, p_type AS active_constituent, 'B' AS mode_of_action_group FROM part",
+    lambda s, d: label_markdown(s, d).select("product_number", labels.first_page_metadata(F.col("text")).alias("m")).select("product_number", "m.product_name", "m.apvma_number", "m.active_constituent", "m.mode_of_action_group", "m.signal_heading"),
+    "SELECT CAST(p_partkey AS VARCHAR) AS product_number, 'GROUP B HERBICIDE' AS product_name, CASE WHEN p_partkey >= 1000 THEN CAST(p_partkey AS VARCHAR)[-6:] END AS apvma_number, p_type AS active_constituent, 'B' AS mode_of_action_group, CAST(NULL AS VARCHAR) AS signal_heading FROM part",
 )
+
+
+def parsed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text items and tables of each product, as a layout model would give them; some have no text, some short text alone."""
+    tables = order_tables(spark, sf_dir).groupBy("product_number").agg(F.collect_list("rows").alias("tables"))
+    key = F.col("p_partkey")
+    items = F.when(key % 3 == 0, F.array(F.col("p_name"), F.lit(" "), F.lit(" x "))).when(key % 3 == 1, F.array(F.lit("A label's text of more than fifty characters, all in all.")))
+    part = B.table(spark, sf_dir, "part").select(key.cast("string").alias("product_number"), key.alias("p_partkey"), items.alias("items"))
+    return part.join(tables, "product_number", "left").withColumn("tables", F.when(key % 10 < 8, F.col("tables")))
+
+
 add(
     "quality_report",
-    lambda s, d: order_tables(s, d).groupBy("product_number").agg(F.collect_list("rows").alias("tables")).select("product_number", labels.table_quality(F.array().cast("array<string>"), F.col("tables")).alias("q")).select("product_number", "q.num_tables", "q.total_cells", "q.nonempty_cells", "q.poor"),
-    B.SQL + "SELECT product_number, count(DISTINCT l_returnflag)::INTEGER AS num_tables, (sum(CASE l_returnflag WHEN 'R' THEN 2 ELSE 5 END) + 5 * count(DISTINCT l_returnflag) FILTER (l_returnflag <> 'R'))::INTEGER AS total_cells, (sum(CASE l_returnflag WHEN 'R' THEN 2 ELSE 5 END) + 5 * count(DISTINCT l_returnflag) FILTER (l_returnflag <> 'R'))::INTEGER AS nonempty_cells, (sum(CASE l_returnflag WHEN 'R' THEN 2 ELSE 5 END) + 5 * count(DISTINCT l_returnflag) FILTER (l_returnflag <> 'R')) < 3 AS poor FROM raw GROUP BY product_number",
+    lambda s, d: parsed_files(s, d).select("product_number", labels.table_quality(F.col("items"), F.col("tables")).alias("q")).select("product_number", "q.num_text_items", "q.text_chars", "q.num_tables", "q.total_cells", "q.nonempty_cells", "q.cell_chars", "q.poor", F.array_join("q.reasons", ",").alias("reasons")),
+    B.SQL.rstrip() + """, c AS (
+  SELECT product_number, l_returnflag, CASE l_returnflag WHEN 'R' THEN 2 ELSE 5 END AS n, length(rate_per_ha) + CASE l_returnflag WHEN 'A' THEN 5 ELSE 6 END + length(critical_comments)
+    + CASE l_returnflag WHEN 'R' THEN 0 ELSE length(crop) + length(weed) + length(states[1]) END AS chars FROM raw
+), g AS (
+  SELECT product_number, count(DISTINCT l_returnflag) AS n_tables, sum(n) + 5 * count(DISTINCT l_returnflag) FILTER (l_returnflag <> 'R') AS cells, sum(chars) + 24 * count(DISTINCT l_returnflag) FILTER (l_returnflag <> 'R') AS chars FROM c GROUP BY 1
+), q AS (
+  SELECT CAST(p_partkey AS VARCHAR) AS product_number, CASE p_partkey % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 0 END::INTEGER AS num_text_items, CASE p_partkey % 3 WHEN 0 THEN length(p_name) + 1 WHEN 1 THEN 57 ELSE 0 END::INTEGER AS text_chars,
+    CASE WHEN p_partkey % 10 < 8 THEN coalesce(n_tables, 0) ELSE 0 END::INTEGER AS num_tables, CASE WHEN p_partkey % 10 < 8 THEN coalesce(cells, 0) ELSE 0 END::INTEGER AS total_cells, CASE WHEN p_partkey % 10 < 8 THEN coalesce(chars, 0) ELSE 0 END::INTEGER AS cell_chars
+  FROM part LEFT JOIN g ON g.product_number = CAST(p_partkey AS VARCHAR)
+), r AS (SELECT *, concat_ws(',', CASE WHEN num_text_items = 0 AND num_tables = 0 THEN 'no_text_no_tables' END, CASE WHEN text_chars < 50 AND total_cells < 3 THEN 'very_little_text_and_table_cells' END) AS reasons FROM q)
+SELECT *, total_cells AS nonempty_cells, reasons <> '' AS poor FROM r""",
 )
 
 PII_SQL = {name: pattern.replace("'", "''") for name, pattern in guardrails.PII.items()}
