@@ -67,8 +67,10 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages in alphabetical order and the log likelihood of each trigram bucket in each."""
     known = docs.where(F.col(lang).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    one = shared.least_hashes(known, "id", sample_rows).groupBy("id").agg(F.min(F.struct("lang", "text")).alias("row"))
-    sample = one.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("row.*")
+    near = shared.least_hashes(known, "id", sample_rows)
+    chosen = near.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample_rows)
+    rows = near.join(F.broadcast(chosen), "id", "left_semi").groupBy("id").agg(F.min(F.struct("lang", "text")).alias("row"))
+    sample = rows.select("row.*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
