@@ -109,13 +109,13 @@ def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     mentions = found["mentions"].select("entity", F.explode("chunk_ids").alias("chunk_id")).groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n_mentions"))
     herbicides = found["herbicides"].select("product_number", "moa_group", F.size("controls").alias("n_controls"))
     hits = found["hits"].select("chunk_id", "product_number", F.round("score", 6).alias("score"))
-    return hits.join(found["chunks"].select("chunk_id", "prev_id", "next_id"), "chunk_id").join(mentions, "chunk_id", "left").join(herbicides, "product_number", "left")
+    return hits.join(found["chunks"].select("chunk_id", "prev_id", "next_id"), "chunk_id").join(mentions, "chunk_id", "left").join(herbicides, "product_number", "left").withColumns({n: F.coalesce(n, F.lit(0)) for n in ("n_mentions", "n_controls")})
 
 
 add(
     "hybrid_search",
     hybrid,
-    CHUNKS + """SELECT product_number, chunk_id, round(score, 6) AS score, p.src AS prev_id, n.dst AS next_id, n_mentions, h.moa_group, n_controls FROM top LEFT JOIN nexts p ON p.dst = chunk_id LEFT JOIN nexts n ON n.src = chunk_id
+    CHUNKS + """SELECT product_number, chunk_id, round(score, 6) AS score, p.src AS prev_id, n.dst AS next_id, coalesce(n_mentions, 0) AS n_mentions, h.moa_group, coalesce(n_controls, 0)::INTEGER AS n_controls FROM top LEFT JOIN nexts p ON p.dst = chunk_id LEFT JOIN nexts n ON n.src = chunk_id
 LEFT JOIN (SELECT chunk_id, count(*) AS n_mentions FROM mentions GROUP BY 1) USING (chunk_id)
 LEFT JOIN (SELECT product_number, "group" AS moa_group, coalesce(n, 0)::INTEGER AS n_controls FROM document JOIN herbicide USING (product_number) LEFT JOIN has_moa USING (product_number) LEFT JOIN (SELECT product_number, least(10, count(DISTINCT concat_ws('|', weed, crop, control_level))) AS n FROM controls GROUP BY 1) USING (product_number)) h USING (product_number)""",
 )
@@ -192,10 +192,10 @@ SELECT product_number || '-' || table_id || CASE WHEN splits THEN '-part' || par
   CASE WHEN splits THEN CASE WHEN headers <> '' THEN headers || chr(10) ELSE '' END || array_to_string(data[part * per + 1 : (part + 1) * per], chr(10)) ELSE text END AS text,
   CASE WHEN position = 0 AND len(rs) >= 3 THEN 'weed_table' WHEN section = 'directions_for_use' THEN 'directions' WHEN section = 'metadata' OR n_cols <= 2 THEN 'metadata' ELSE 'table' END AS chunk_type,
   seq + part AS sequence_order, product_number, section AS parent_section, table_id,
-  CASE WHEN splits THEN len(data[part * per + 1 : (part + 1) * per]) ELSE len(rs) END::INTEGER AS row_count, n_cols::INTEGER AS column_count, headers, CAST(NULL AS INTEGER) AS page_number FROM y"""
+  CASE WHEN splits THEN len(data[part * per + 1 : (part + 1) * per]) ELSE len(rs) END::INTEGER AS row_count, n_cols::INTEGER AS column_count, headers FROM y"""
 add(
     "table_chunks",
-    lambda s, d: C.chunk_tables(order_tables(s, d), max_tokens=60).withColumn("headers", F.array_join("headers", " | ")),
+    lambda s, d: C.chunk_tables(order_tables(s, d), max_tokens=60).withColumn("headers", F.array_join("headers", " | ")).drop("page_number"),  # order lines have no pages
     TABLE_CHUNKS,
 )
 add(

@@ -218,8 +218,8 @@ add("rejection_alerts", lambda s, d: guardrails.rejection_alerts(shares(s, d)),
 add("latency_p95", lambda s, d: guardrails.latency_percentile(B.table(s, d, "events"), "value").withColumn("latency", F.round("latency", 6)), "SELECT time_bucket(INTERVAL '5 minutes', ts) AS start, round(quantile_cont(value, 0.95), 6) AS latency FROM events GROUP BY 1")
 add(
     "violation_records",
-    lambda s, d: guardrails.violation_records(guardrails.check_messages(B.table(s, d, "conversations")), "turn").select("timestamp", "violation_type", "action_taken", F.array_join("metadata.pii_types", ",").alias("pii_types")),
-    "SELECT turn AS timestamp, v AS violation_type, CASE v WHEN 'pii' THEN 'rejected' ELSE 'flagged' END AS action_taken, pii_types FROM (SELECT *, CASE WHEN " + ANY + f" THEN 'pii' WHEN {OFF} THEN 'off_topic' END AS v, concat_ws(',', " + ", ".join(f"CASE WHEN {m} THEN '{n}' END" for n, m in MATCHES.items()) + ") AS pii_types FROM conversations) WHERE v IS NOT NULL",
+    lambda s, d: guardrails.violation_records(guardrails.check_messages(B.table(s, d, "documents")), "doc_id").select("timestamp", "violation_type", "action_taken", F.array_join("metadata.pii_types", ",").alias("pii_types")),
+    "SELECT doc_id AS timestamp, v AS violation_type, CASE v WHEN 'pii' THEN 'rejected' ELSE 'flagged' END AS action_taken, pii_types FROM (SELECT *, CASE WHEN " + ANY + f" THEN 'pii' WHEN {OFF} THEN 'off_topic' END AS v, concat_ws(',', " + ", ".join(f"CASE WHEN {m} THEN '{n}' END" for n, m in MATCHES.items()) + ") AS pii_types FROM documents) WHERE v IS NOT NULL",
 )
 add("disclaimers", lambda s, d: B.table(s, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", guardrails.with_disclaimer(F.col("text")).alias("answer")), "SELECT conv_id, turn, text || chr(10) || chr(10) || 'Always read the product label before use.' AS answer FROM conversations WHERE role = 'assistant'")
 add("documents_to_extract", lambda s, d: B.table(s, d, "documents").where(labels.long_enough(F.col("text"))).select("doc_id"), r"SELECT doc_id FROM documents WHERE length(regexp_replace(text, '^[\s\x0b]+|[\s\x0b]+$', '', 'g')) >= 100")
