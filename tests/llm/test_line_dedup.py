@@ -43,3 +43,13 @@ def test_levels_and_unseen_lines(spark):
     plan = runs._merged(runs.runs())._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
     assert probe.agg(F.count_distinct("h1", "h2")).first()[0] == 4
+
+
+def test_one_huge_text_and_line(spark):
+    """A third of the rows share a text, and all share a line."""
+    rows = [(i, "menu\n" + ("same\ntext" if i % 3 == 0 else f"own {i}\nMENU ")) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r.doc_id: (r.text, r.n_dropped) for r in L.dedup_lines(docs).collect()}
+    assert got == {i: ("", 3) if i % 3 == 0 else (f"own {i}", 2) for i in range(3000)}
+    names = {r.tableName for r in spark.sql("SHOW TABLES").collect()}
+    assert not any(n.startswith("tillage_") for n in names)  # no table names are left behind

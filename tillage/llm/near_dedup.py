@@ -10,6 +10,8 @@ large there is cut into blocks, and tasks compare the full sets of each pair of
 belongs together, never all pairs.  Candidates from small nodes pass a comparison of 48 minwise bytes (a linked pair
 fails it with probability below 1e-6) and are confirmed on the full sets.  A pair of similarity 0.75 is missed with probability
 0.25 ** 16 in small nodes, and 2e-4 at the third level.  No group is gathered in a task, no links go to the driver.
+A set that very many are compared with in the first round is copied, and its pairs are dealt out; what joins a hot node,
+vertex or component joins a written table, so that Spark can deal its rows out too.
 
 Texts without words (null, empty) have no set and are linked with nothing.  With fewer than five words the whole
 sequence is the one shingle.  Every row is a document of its own, so rows that repeat an id and differ in text are not
