@@ -13,17 +13,27 @@ def _weed_like(term: str) -> Column:
     return has(F.col("common_name"), term) | has(F.col("weed_display"), term)
 
 
-def _facts(g: Graph, of_weed: Column | None = None) -> DataFrame:
-    """Controls with their product and weed; ``of_weed`` narrows the weeds.
+#: Weeds that a question may match for their names to be read by the driver.
+FEW = 1000
 
-    The weed is part of a control's key, so Spark takes the semi-join below the fold that makes controls: records of
-    other weeds are dropped before they are folded.
-    """
+
+def _of_weeds(controls: DataFrame, weeds: DataFrame) -> DataFrame:
+    """The controls of some weeds.  The weed is part of a control's key: the names of few weeds are a condition that Spark
+    takes below the fold that makes controls, so records of other weeds are dropped before it.  More weeds are joined."""
+    wanted = weeds.select(F.col("common_name").alias("_wanted")).distinct()
+    names = [r[0] for r in wanted.limit(FEW + 1).collect()]
+    if len(names) <= FEW:
+        return controls.where(F.col("weed").isin(names))
+    return controls.join(wanted, F.col("weed") == F.col("_wanted"), "left_semi")
+
+
+def _facts(g: Graph, of_weed: Column | None = None) -> DataFrame:
+    """Controls with their product and weed; ``of_weed`` narrows the weeds."""
     weed = g.weed.select("common_name", F.col("display_name").alias("weed_display"), "scientific_name")
     controls = g.controls
     if of_weed is not None:
         weed = weed.where(of_weed)
-        controls = controls.join(weed.select(F.col("common_name").alias("_wanted")), F.col("weed") == F.col("_wanted"), "left_semi")
+        controls = _of_weeds(controls, weed)
     return controls.join(g.herbicide, "product_number").join(weed, F.col("weed") == F.col("common_name"))
 
 
@@ -95,7 +105,7 @@ def product_details(g: Graph, product_number: str | None = None) -> DataFrame:
 def search_weeds(g: Graph, term: str, limit: int = 20) -> DataFrame:
     """Weeds by any of their names, with the number of products; the first ``limit`` by name."""
     found = g.weed.where(has(F.col("common_name"), term) | has(F.col("display_name"), term) | has(F.col("scientific_name"), term))
-    controls = g.controls.select("product_number", "weed").join(found.select(F.col("common_name").alias("_wanted")), F.col("weed") == F.col("_wanted"), "left_semi")
+    controls = _of_weeds(g.controls.select("product_number", "weed"), found)
     rows = found.join(controls, F.col("common_name") == F.col("weed"), "left")
     counted = rows.groupBy(F.col("common_name").alias("name"), "display_name", "scientific_name").agg(F.count_distinct("product_number").alias("herbicide_count"))
     return counted.orderBy("name").limit(limit)
