@@ -97,3 +97,13 @@ def test_odd_tables(spark):
 def test_pieces_count_every_document(spark):
     df = spark.createDataFrame([(i, f"common camelCaseName {'rare' if i == 7 else ''} common") for i in range(50)], "doc_id long, text string")
     assert {r.piece: r.n for r in M.pieces(df).collect()} == {"common": 50, "camel": 50, "Case": 50, "Name": 50, "rare": 1}
+
+
+def test_the_dictionary_holds_the_most_frequent_pieces(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(400)]
+    df = spark.createDataFrame([(i, " ".join(rng.choices(words, weights=range(1, 401), k=30))) for i in range(300)], "doc_id long, text string")
+    n = {r.piece: r.n for r in M.pieces(df).collect()}
+    want = sorted(n, key=lambda p: (-n[p], p))
+    for size in (1, 50, 399, 1000):
+        assert M.dictionary(df, size=size).decode().split() == want[:size][::-1]

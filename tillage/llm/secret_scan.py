@@ -75,8 +75,21 @@ def pieces(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def dictionary(docs: DataFrame, text: str = "text", size: int = DICTIONARY) -> bytes:
-    """The most frequent pieces, the most frequent last, where the compressor reaches them with the shortest distances."""
-    rows = pieces(docs, text).orderBy(F.desc("n"), "piece").limit(size).collect()  # ``size`` bounds it
+    """The most frequent pieces, the most frequent last, where the compressor reaches them with the shortest distances.
+
+    A histogram of the counts' logarithms (some hundred numbers) says from which count on there are ``size`` pieces, so
+    that only about so many rows are put in order, however many partitions there are.
+    """
+    paths: list[str] = []
+    level = F.floor(8 * F.log2("n")).cast("int")
+    counted = shared.save(pieces(docs, text).select("piece", "n", level.alias("level")), "pieces", paths=paths)
+    cut, enough = -1, 0
+    for r in sorted(counted.groupBy("level").count().collect(), reverse=True):
+        cut, enough = r["level"], enough + r["count"]
+        if enough >= size:
+            break
+    rows = counted.where(F.col("level") >= cut).orderBy(F.desc("n"), "piece").limit(size).collect()  # ``size`` bounds it
+    shared.delete(docs.sparkSession, paths)
     return b" ".join(r["piece"].encode() for r in reversed(rows))
 
 
