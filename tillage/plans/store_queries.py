@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillage.operators import graph as G
+from tillage.operators import vector_index
 from tillage.operators.graph_store import RULES
 from tillage.plans import binding as B
 from tillage.plans.entity_queries import Query
@@ -73,3 +74,19 @@ def looked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 add("key_lookup", looked_up, B.SQL + "SELECT * FROM herbicide WHERE product_number IN (SELECT CAST(p_partkey AS VARCHAR) FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 10)")
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten vectors most similar to one of them, by the index, proven to be the best of all."""
+    vectors = B.table(spark, sf_dir, "embeddings")
+    question = vectors.where("vec_id = 7").select("embedding").first()[0]
+    index = vector_index.build(vectors, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", "vec_id")
+    return vector_index.search(index, question, 10, exact=True).select(F.col("id").alias("vec_id"), F.round("cosine", 6).alias("cosine"), F.round("score", 6).alias("score"))
+
+
+add(
+    "vector_index_topk",
+    indexed,
+    """WITH s AS (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 7)::DOUBLE[]) AS c FROM embeddings)
+SELECT vec_id, round(c, 6) AS cosine, round((c + 1) / 2, 6) AS score FROM s WHERE c IS NOT NULL ORDER BY c DESC, vec_id LIMIT 10""",
+)
