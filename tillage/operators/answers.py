@@ -64,4 +64,4 @@ def describe_hybrid(g: Graph, text: str, embed: Callable[[str], list[float]], k:
     if not expand_graph:
         return described
     products = found["herbicides"].orderBy("product_number").limit(3).collect()
-    return described + "\n" + _lines("Products:", products, lambda i, r: f"{i}. {r.product_name}: {'; '.join(r.controls[:5])}")
+    return described + "\n" + _lines("Products:", products, lambda i, r: f"{i}. {r.product_name} (group {r.moa_group or '-'}): {'; '.join(f'{c.weed} in {c.crop} at {c.rate or "-"}' for c in r.controls[:5])}")

@@ -6,10 +6,10 @@ Similarities are exact: one pass over the vectors, in generated code, then the k
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,11 +58,14 @@ def vector_search(g: Graph, query: Column, k: int = 10, chunk_type: str | None =
 
 
 def adjacent(g: Graph, ids: DataFrame) -> DataFrame:
-    """Chunks by id (repeated ids stay) with the chunk before and after."""
-    texts = g.chunk.select("chunk_id", "text", "chunk_type", "product_number")
-    before = g.next.select(F.col("dst").alias("chunk_id"), F.col("src").alias("prev_id"))
-    after = g.next.select(F.col("src").alias("chunk_id"), F.col("dst").alias("next_id"))
-    return ids.join(texts, "chunk_id").join(before, "chunk_id", "left").join(after, "chunk_id", "left")
+    """Chunks by id (repeated ids stay) with section, and id and text of the chunk before and after."""
+    columns = [F.col(c) if c in g.chunk.columns else F.lit(None).cast("string").alias(c) for c in ("text", "chunk_type", "parent_section", "product_number")]
+    texts = g.chunk.select("chunk_id", *columns).withColumnRenamed("parent_section", "section")
+    wanted = ids.select("chunk_id").distinct()
+    before = g.next.select(F.col("dst").alias("chunk_id"), F.col("src").alias("prev_id")).join(wanted, "chunk_id", "left_semi")
+    after = g.next.select(F.col("src").alias("chunk_id"), F.col("dst").alias("next_id")).join(wanted, "chunk_id", "left_semi")
+    other = lambda edges, side: edges.join(g.chunk.select(F.col("chunk_id").alias(f"{side}_id"), F.col("text").alias(f"{side}_text")), f"{side}_id")
+    return ids.join(texts, "chunk_id").join(other(before, "prev"), "chunk_id", "left").join(other(after, "next"), "chunk_id", "left")
 
 
 def mentioned(g: Graph, ids: DataFrame) -> DataFrame:
@@ -72,12 +75,16 @@ def mentioned(g: Graph, ids: DataFrame) -> DataFrame:
 
 
 def related_products(g: Graph, ids: DataFrame, limit: int = 10) -> DataFrame:
-    """Products of the chunks' documents, with group and the first ``limit`` of what they control."""
+    """Products of the chunks' documents, with group and the first ``limit`` of what they control: weed, crop, rate, timing
+    and level.  Only so many rows of a product are ever gathered, however many it has."""
     products = ids.select("chunk_id").distinct().join(g.chunk.select("chunk_id", "product_number"), "chunk_id").select("product_number").distinct()
     rows = products.join(g.document.select("product_number"), "product_number").join(g.herbicide.select("product_number", "product_name", "active_constituent"), "product_number")
     moa = g.has_mode_of_action.withColumnRenamed("group", "moa_group")
-    controls = g.controls.join(products, "product_number", "left_semi").groupBy("product_number").agg(F.slice(F.array_sort(F.collect_set(F.concat_ws("|", "weed", "crop", "control_level"))), 1, limit).alias("controls"))
-    none = F.array().cast("array<string>")
+    fields = {"weed": "weed", "crop": "crop", "rate": "rate_per_ha", "timing": "application_timing", "control_level": "control_level"}
+    own = g.controls.join(products, "product_number", "left_semi").select("product_number", *(F.col(c).alias(n) for n, c in fields.items())).distinct()
+    first = own.withColumn("_n", F.row_number().over(Window.partitionBy("product_number").orderBy(*fields))).where(F.col("_n") <= limit)
+    controls = first.groupBy("product_number").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("controls"))
+    none = F.array().cast(controls.schema["controls"].dataType)
     return rows.join(moa, "product_number", "left").join(controls, "product_number", "left").withColumn("controls", F.coalesce("controls", none))
 
 
@@ -123,15 +130,50 @@ def context(chunks: DataFrame, window: int = 2, doc: str = "product_number", ord
     return centre.select("chunk_id").join(sides, "chunk_id", "left").select("chunk_id", F.coalesce("prev", none).alias("prev"), F.coalesce("next", none).alias("next"))
 
 
+def within(edges: DataFrame, starts: DataFrame, steps: int, src: str = "src", dst: str = "dst") -> DataFrame:
+    """start, node, depth: what is reached from each start (column ``start``) over 1 to ``steps`` edges, by the shortest way.
+
+    Any graph will do: branches are all followed, a cycle brings a start back as a node, and no way is walked twice.  A step
+    is a left join of the newest nodes with the edges and a min() by start and node, so the plan grows with ``steps`` alone.
+    """
+    ways = edges.select(F.col(src).alias("_src"), F.col(dst).alias("_dst")).where("_src IS NOT NULL AND _dst IS NOT NULL").distinct()
+    # The start itself is marked, as a cycle may come back to it.
+    found = starts.select("start", F.col("start").alias("node"), F.lit(True).alias("first"), F.lit(0).alias("depth")).distinct()
+    for step in range(steps):
+        met = found.join(ways, (F.col("node") == F.col("_src")) & (F.col("depth") == step), "left")
+        row = lambda node, first, depth: F.struct(node.alias("node"), first.alias("first"), depth.alias("depth"))
+        own, new = row(F.col("node"), F.col("first"), F.col("depth")), row(F.col("_dst"), F.lit(False), F.lit(step + 1))
+        both = met.select("start", F.explode(F.when(F.col("_dst").isNull(), F.array(own)).otherwise(F.array(own, new))).alias("r"))
+        found = both.groupBy("start", "r.node", "r.first").agg(F.min("r.depth").alias("depth"))
+    return found.where("NOT first").select("start", "node", "depth")
+
+
+def chunk_context(g: Graph, window: int = 2, near: DataFrame | None = None) -> DataFrame:
+    """Chunks (all, or those of ``near``: chunk_id) with text, type, section and product, and {id, text} of the chunks
+    within ``window`` NEXT edges before and after, in reading order."""
+    columns = [F.col(c) if c in g.chunk.columns else F.lit(None).cast("string").alias(c) for c in ("text", "chunk_type", "parent_section", "product_number")]
+    centre = g.chunk.select("chunk_id", *columns).withColumnRenamed("parent_section", "section")
+    centre = centre.join(near.select("chunk_id").distinct(), "chunk_id", "left_semi") if near is not None else centre
+    starts = centre.select(F.col("chunk_id").alias("start"))
+    before, after = within(g.next, starts, window, "dst", "src"), within(g.next, starts, window)
+    reached = before.withColumn("depth", -F.col("depth")).unionByName(after)
+    texts = g.chunk.select(F.col("chunk_id").alias("node"), "text")
+    rows = reached.join(texts, "node").groupBy(F.col("start").alias("chunk_id")).agg(F.array_sort(F.collect_list(F.struct("depth", F.col("node").alias("id"), "text"))).alias("around"))
+    out = centre.join(rows, "chunk_id", "left")
+    side = lambda keep: F.transform(F.filter(F.coalesce("around", F.array().cast(rows.schema["around"].dataType)), keep), lambda x: F.struct(x["id"].alias("id"), x["text"].alias("text")))
+    return out.select("chunk_id", "text", "chunk_type", "section", "product_number", side(lambda x: x["depth"] < 0).alias("prev_chunks"), side(lambda x: x["depth"] > 0).alias("next_chunks"))
+
+
 def embed_column(df: DataFrame, text: str, model: Callable[[], Callable[[list[str]], list[list[float]]]], batch: int = 32) -> DataFrame:
     """``df`` with an embedding of a text column.  ``model`` is made once a task; it embeds ``batch`` texts at a time."""
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def embed(series: pd.Series) -> pd.Series:
+    def embed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         made = model()
-        out: list = []
-        for at in range(0, len(series), batch):
-            out.extend(made(list(series[at : at + batch])))
-        return pd.Series(out)
+        for series in parts:
+            out: list = []
+            for at in range(0, len(series), batch):
+                out.extend(made(list(series[at : at + batch])))
+            yield pd.Series(out)
 
     return df.withColumn("embedding", embed(F.col(text)))

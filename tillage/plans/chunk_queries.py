@@ -27,13 +27,13 @@ def add(name: str, query: Query, sql: str | None = None) -> None:
 def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A chunk for each line of at least 20 characters, numbered within its document; the first has the vector."""
     docs = B.table(spark, sf_dir, "documents")
-    lines = docs.select(F.col("doc_id").cast("string").alias("product_number"), F.posexplode(F.split("text", "\n", -1)).alias("line", "text")).where(F.length(strip(F.col("text"))) >= C.MIN_CHARS)
+    lines = docs.select(F.col("doc_id").cast("string").alias("product_number"), F.concat(F.lit("in "), "lang").alias("parent_section"), F.posexplode(F.split("text", "\n", -1)).alias("line", "text")).where(F.length(strip(F.col("text"))) >= C.MIN_CHARS)
     order = F.row_number().over(Window.partitionBy("product_number").orderBy("line")) - 1
     lines = lines.withColumn("sequence_order", order)
     chunk_id = F.concat_ws("-", "product_number", F.col("line").cast("string"), F.substring(F.md5(F.concat_ws("-", "product_number", F.col("line").cast("string"), F.col("sequence_order").cast("string"))), 1, 8))
     kind = F.when(F.contains("text", F.lit("|")), "table").otherwise("text")
     vectors = B.table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("product_number"), F.lit(0).alias("sequence_order"), "embedding")
-    return lines.select(chunk_id.alias("chunk_id"), "text", kind.alias("chunk_type"), "sequence_order", "product_number").join(vectors, ["product_number", "sequence_order"], "left")
+    return lines.select(chunk_id.alias("chunk_id"), "text", kind.alias("chunk_type"), "sequence_order", "product_number", "parent_section").join(vectors, ["product_number", "sequence_order"], "left")
 
 
 def chunk_graph(spark: SparkSession, sf_dir: str) -> Graph:
@@ -47,11 +47,11 @@ def chunk_graph(spark: SparkSession, sf_dir: str) -> Graph:
 
 
 CHUNKS = B.SQL.rstrip() + r"""
-, pieces AS (SELECT CAST(doc_id AS VARCHAR) AS product_number, unnest(range(len(s))) AS line, unnest(s) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)
+, pieces AS (SELECT CAST(doc_id AS VARCHAR) AS product_number, unnest(range(len(s))) AS line, unnest(s) AS text, 'in ' || lang AS parent_section FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS s FROM documents)
 ), numbered AS (SELECT *, row_number() OVER (PARTITION BY product_number ORDER BY line) - 1 AS sequence_order FROM pieces WHERE length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 20
 ), chunk AS (
   SELECT product_number || '-' || line || '-' || substr(md5(product_number || '-' || line || '-' || sequence_order), 1, 8) AS chunk_id, text, CASE WHEN contains(text, '|') THEN 'table' ELSE 'text' END AS chunk_type,
-    sequence_order, product_number, CASE WHEN sequence_order = 0 THEN embedding END AS embedding
+    sequence_order, product_number, parent_section, CASE WHEN sequence_order = 0 THEN embedding END AS embedding
   FROM numbered LEFT JOIN embeddings ON CAST(vec_id AS VARCHAR) = product_number
 ), document AS (SELECT CAST(doc_id AS VARCHAR) AS product_number, source FROM documents WHERE doc_id IN (SELECT p_partkey FROM part)
 ), nexts AS (SELECT * FROM (SELECT chunk_id AS src, lead(chunk_id) OVER (PARTITION BY product_number ORDER BY sequence_order) AS dst FROM chunk) WHERE dst IS NOT NULL
@@ -91,14 +91,15 @@ add(
 add(
     "hybrid_chunks",
     lambda s, d: R.adjacent(*hits(s, d)),
-    CHUNKS + "SELECT chunk_id, text, chunk_type, product_number, p.src AS prev_id, n.dst AS next_id FROM top LEFT JOIN nexts p ON p.dst = chunk_id LEFT JOIN nexts n ON n.src = chunk_id",
+    CHUNKS + """SELECT top.chunk_id, top.text, top.chunk_type, top.parent_section AS section, top.product_number, p.src AS prev_id, pc.text AS prev_text, n.dst AS next_id, nc.text AS next_text
+FROM top LEFT JOIN nexts p ON p.dst = top.chunk_id LEFT JOIN chunk pc ON pc.chunk_id = p.src LEFT JOIN nexts n ON n.src = top.chunk_id LEFT JOIN chunk nc ON nc.chunk_id = n.dst""",
 )
 add("hybrid_mentions", lambda s, d: R.mentioned(*hits(s, d)), CHUNKS + "SELECT entity_type, entity, list_sort(list(DISTINCT chunk_id)) AS chunk_ids FROM mentions JOIN top USING (chunk_id) GROUP BY 1, 2")
 add(
     "hybrid_herbicides",
-    lambda s, d: R.related_products(*hits(s, d)),
+    lambda s, d: R.related_products(*hits(s, d)).withColumn("controls", F.transform("controls", lambda c: F.concat_ws("|", *(c[f] for f in ("weed", "crop", "rate", "timing", "control_level"))))),
     CHUNKS + """SELECT product_number, product_name, active_constituent, "group" AS moa_group, coalesce(cs, []) AS controls FROM (SELECT DISTINCT product_number FROM top) JOIN document USING (product_number) JOIN herbicide USING (product_number) LEFT JOIN has_moa USING (product_number)
-LEFT JOIN (SELECT product_number, list_sort(list(DISTINCT concat_ws('|', weed, crop, control_level)))[1:10] AS cs FROM controls GROUP BY 1) USING (product_number)""",
+LEFT JOIN (SELECT product_number, list(concat_ws('|', weed, crop, rate_per_ha, application_timing, control_level) ORDER BY weed, crop, rate_per_ha, application_timing, control_level)[1:10] AS cs FROM controls GROUP BY 1) USING (product_number)""",
 )
 
 
@@ -123,9 +124,19 @@ add("chunk_ids", lambda s, d: line_chunks(s, d).select("chunk_id", "chunk_type",
 add("next_edges", lambda s, d: C.next_edges(line_chunks(s, d)), CHUNKS + "SELECT src, dst FROM nexts")
 add(
     "chunk_context",
-    lambda s, d: R.context(line_chunks(s, d), 2),
-    CHUNKS + """SELECT c.chunk_id, coalesce(list(o.chunk_id ORDER BY o.sequence_order) FILTER (o.sequence_order < c.sequence_order), []) AS prev, coalesce(list(o.chunk_id ORDER BY o.sequence_order) FILTER (o.sequence_order > c.sequence_order), []) AS next
-FROM chunk c LEFT JOIN chunk o ON o.product_number = c.product_number AND abs(o.sequence_order - c.sequence_order) BETWEEN 1 AND 2 GROUP BY c.chunk_id""",
+    lambda s, d: R.chunk_context(Graph(chunk=(c := line_chunks(s, d)), next=C.next_edges(c))).withColumns({side: F.transform(side, lambda x: F.concat_ws("|", x["id"], x["text"])) for side in ("prev_chunks", "next_chunks")}),
+    CHUNKS + """SELECT c.chunk_id, c.text, c.chunk_type, c.parent_section AS section, c.product_number,
+  coalesce(list(o.chunk_id || '|' || o.text ORDER BY o.sequence_order) FILTER (o.sequence_order < c.sequence_order), []) AS prev_chunks, coalesce(list(o.chunk_id || '|' || o.text ORDER BY o.sequence_order) FILTER (o.sequence_order > c.sequence_order), []) AS next_chunks
+FROM chunk c LEFT JOIN chunk o ON o.product_number = c.product_number AND abs(o.sequence_order - c.sequence_order) BETWEEN 1 AND 2 GROUP BY ALL""",
+)
+add(
+    "bounded_paths",
+    lambda s, d: R.within(
+        B.table(s, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")), B.table(s, d, "part").where("p_size = 1").select(F.col("p_partkey").alias("start")), 3
+    ),
+    """WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem), w(start, node, depth) AS (
+  SELECT p_partkey, dst, 1 FROM part JOIN e ON src = p_partkey WHERE p_size = 1 UNION SELECT start, dst, depth + 1 FROM w JOIN e ON src = node WHERE depth < 3)
+SELECT start, node, min(depth) AS depth FROM w GROUP BY 1, 2""",
 )
 add("mentions_link", lambda s, d: chunk_graph(s, d).mentions, CHUNKS + "SELECT chunk_id, entity, entity_type FROM mentions")
 FOR = """, hits AS (SELECT chunk_id, entity, 1.0::DOUBLE AS score FROM mentions WHERE contains(lower(entity), '{0}') UNION SELECT chunk_id, NULL, 0.8::DOUBLE FROM chunk WHERE contains(lower(text), '{0}'))
