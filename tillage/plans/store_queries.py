@@ -12,6 +12,7 @@ from tillage.operators import vector_index
 from tillage.operators.graph_store import RULES
 from tillage.plans import binding as B
 from tillage.plans.entity_queries import Query
+from tillage.sources import calls
 from tillage.sources.store import Store
 from tillage.streaming.violations import shared_folder
 
@@ -90,3 +91,22 @@ add(
     """WITH s AS (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 7)::DOUBLE[]) AS c FROM embeddings)
 SELECT vec_id, round(c, 6) AS cosine, round((c + 1) / 2, 6) AS score FROM s WHERE c IS NOT NULL ORDER BY c DESC, vec_id LIMIT 10""",
 )
+
+
+def measured() -> calls.Caller:
+    """A service that tells a text's length, and refuses some."""
+
+    def call(text: str) -> str:
+        if len(text) % 7 == 0:
+            raise ValueError("a multiple of seven")
+        return str(len(text))
+
+    return call
+
+
+add(
+    "call_outcomes",
+    lambda s, d: calls.call_each(B.table(s, d, "documents"), "doc_id", "text", measured, skip=F.length("text") < 100).select(F.col("key").alias("doc_id"), "status", "output", "error", "attempts"),
+    """SELECT doc_id, CASE WHEN n < 100 THEN 'skipped' WHEN n % 7 = 0 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN n >= 100 AND n % 7 <> 0 THEN CAST(n AS VARCHAR) END AS output,
+  CASE WHEN n >= 100 AND n % 7 = 0 THEN 'ValueError: a multiple of seven' END AS error, CASE WHEN n < 100 THEN 0 ELSE 1 END::INTEGER AS attempts FROM (SELECT doc_id, length(text) AS n FROM documents)""",
+)

@@ -140,11 +140,18 @@ class Store:
                 merged = [pool.submit(self._merge_one, name, manifest["tables"][name], rows, insert, staged) for name, rows in batches.items()]
             for one in merged:
                 one.result()
-            return self._commit(base, manifest)
         except Exception:
-            for path in staged:
-                self._fs.delete(self._at(path), True)
+            self._delete(staged)
             raise
+        try:
+            return self._commit(base, manifest)
+        except Conflict:  # after any other error the manifest may be there, so files stay until vacuum()
+            self._delete(staged)
+            raise
+
+    def _delete(self, paths: list[str]) -> None:
+        for path in paths:
+            self._fs.delete(self._at(path), True)
 
     def _merge_one(self, name: str, table: dict, rows: DataFrame, insert: bool, staged: list[str]) -> None:
         schema, keys, known = T.StructType.fromJson(table["schema"]), table["keys"], table["known"]
