@@ -1,7 +1,7 @@
 """Host-level quality rules.
 
 Every text gets counts and the rules it fails.  The failures are summed by host; a beta prior fitted to all
-hosts by the method of moments shrinks each host's failure rates; a host whose shrunk rate of any rule passes
+hosts by beta-binomial moments shrinks each host's failure rates; a host whose shrunk rate of any rule passes
 ``max_rate`` is rejected, and the verdict is joined back to its documents.
 
 Null text: a text without words.  Null host: a host of its own, like any other.  Equal rows are judged alike and
@@ -32,6 +32,8 @@ RULES = {
 }
 BASE = ("few_words", "repeats")
 MAX_RATE = 0.5
+#: Documents that the prior weighs as at least and at most: a host is never judged on its first few documents alone.
+LEAST_WEIGHT, MOST_WEIGHT = 10.0, 1000.0
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -96,24 +98,43 @@ def counts(docs: DataFrame, text: str = "text", keep: dict[str, str] | None = No
     return _counted(docs.select(*(F.col(v).alias(k) for k, v in keep.items()), F.col(text).alias("text")), "text")
 
 
+def prior_weight(docs: float, squares: float, hosts: float, failed: float, spread: float) -> float:
+    """How many documents a rule's prior weighs as, from sums over hosts: documents, their squares, 1, failures, and
+    failures squared by documents.
+
+    The hosts' rates, each weighted by its documents, spread by more than binomial sampling explains if hosts differ; that
+    excess over what it would be were each host all good or all bad is the correlation within hosts, 1 / (weight + 1).
+    Hosts of one document say nothing about it.
+    """
+    if not docs:
+        return MOST_WEIGHT
+    mean = failed / docs
+    between = spread - failed * mean
+    chance = mean * (1 - mean)
+    room = chance * (docs - squares / docs - (hosts - 1))
+    alike = (between - chance * (hosts - 1)) / room if room > 1e-9 * docs else 0.0
+    return max(LEAST_WEIGHT, min(MOST_WEIGHT, 1 / alike - 1)) if alike > 0 else MOST_WEIGHT
+
+
 def host_verdicts(counted: DataFrame, host: str, rules: dict[str, str] = RULES, max_rate: float = MAX_RATE) -> tuple[DataFrame, int]:
     """A row for each host: documents, failures and shrunk rate of each rule, and whether the host is accepted; and the
     number of hosts.
 
-    The prior of a rule is Beta(m * k, (1 - m) * k), where m is the mean of the hosts' rates and k comes from
-    their variance, held between 1 and 1000 documents' weight; if they don't vary at all, k is 1000.  Only the sums over hosts, a few numbers, go to the driver.
+    The prior of a rule is Beta(m * k, (1 - m) * k), where m is the share of all documents that fail it and k is
+    prior_weight().  Only the sums over hosts, a few numbers, go to the driver.
     """
     hosts = counted.groupBy(F.col(host).alias("host")).agg(
         F.count(F.lit(1)).alias("n_docs"), *(F.count_if(F.expr(rule)).alias(f"failed_{k}") for k, rule in rules.items())
     )
     hosts = shared.save(hosts, "hosts")  # documents can then join them in parts, if a host has very many
-    rate = {k: F.col(f"failed_{k}") / F.col("n_docs") for k in rules}
-    moments = hosts.agg(F.count(F.lit(1)).alias("n_hosts"), *(f(rate[k]).alias(f"{name}_{k}") for k in rules for name, f in (("mean", F.avg), ("var", F.var_pop)))).first()
+    n = F.col("n_docs").cast("double")
+    of_rule = lambda k: (F.sum(f"failed_{k}").alias(f"failed_{k}"), F.sum(F.col(f"failed_{k}") * F.col(f"failed_{k}") / n).alias(f"spread_{k}"))
+    sums = hosts.agg(F.count(F.lit(1)).alias("n_hosts"), F.sum(n).alias("docs"), F.sum(n * n).alias("squares"), *(c for k in rules for c in of_rule(k))).first()
     for k in rules:
-        mean, var = moments[f"mean_{k}"] or 0.0, moments[f"var_{k}"] or 0.0
-        weight = max(1.0, min(1000.0, mean * (1 - mean) / var - 1)) if var > 1e-12 else 1000.0
+        mean = (sums[f"failed_{k}"] or 0) / (sums["docs"] or 1)
+        weight = prior_weight(sums["docs"] or 0, sums["squares"] or 0, sums["n_hosts"], sums[f"failed_{k}"] or 0, sums[f"spread_{k}"] or 0)
         hosts = hosts.withColumn(f"rate_{k}", (F.col(f"failed_{k}") + mean * weight) / (F.col("n_docs") + weight))
-    return hosts.withColumn("host_ok", ~F.greatest(*(F.col(f"rate_{k}") > max_rate for k in rules))), moments["n_hosts"]
+    return hosts.withColumn("host_ok", ~F.greatest(*(F.col(f"rate_{k}") > max_rate for k in rules))), sums["n_hosts"]
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", max_rate: float = MAX_RATE) -> DataFrame:
@@ -171,8 +192,9 @@ WITH d AS (
   SELECT source, count(*) AS n, count(*) FILTER (n_words < 10) AS f1, count(*) FILTER (100 * n_repeat_words > 20 * n_words) AS f2,
     count(*) FILTER (10 * n_symbols > word_chars) AS f3, count(*) FILTER (n_dup_lines > 30) AS f4 FROM s GROUP BY source
 ), r AS (SELECT source, n, u.k, u.f FROM h, unnest([{'k': 1, 'f': f1}, {'k': 2, 'f': f2}, {'k': 3, 'f': f3}, {'k': 4, 'f': f4}]) AS v(u)
-), m AS (SELECT k, avg(f / n) AS mean, var_pop(f / n) AS var FROM r GROUP BY k
-), p AS (SELECT k, mean, CASE WHEN var > 1e-12 THEN greatest(1.0, least(1000.0, mean * (1 - mean) / var - 1)) ELSE 1000.0 END AS weight FROM m
+), m AS (SELECT k, sum(n)::DOUBLE AS docs, sum(n * n)::DOUBLE AS sq, count(*) AS hosts, sum(f) / sum(n) AS mean, sum(f * f / n) AS spread FROM r GROUP BY k
+), x AS (SELECT k, mean, spread - mean * mean * docs - mean * (1 - mean) * (hosts - 1) AS excess, mean * (1 - mean) * (docs - sq / docs - (hosts - 1)) AS room, docs FROM m
+), p AS (SELECT k, mean, CASE WHEN room > 1e-9 * docs AND excess / room > 0 THEN greatest(10.0, least(1000.0, room / excess - 1)) ELSE 1000.0 END AS weight FROM x
 ), rates AS (SELECT source, k, (f + mean * weight) / (n + weight) AS rate FROM r JOIN p USING (k)
 ), verdict AS (
   SELECT source, max(rate) FILTER (k = 1) AS rate_few_words, max(rate) FILTER (k = 2) AS rate_repeats,
