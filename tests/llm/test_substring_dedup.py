@@ -122,3 +122,18 @@ def test_a_huge_group_of_copies(spark):
     for subtree in (S.SUBTREE, 500):
         got = {r.doc_id: r.n_removed for r in S.remove_repeats(docs, subtree=subtree).collect()}
         assert got == {i: 20 if i else 0 for i in range(600)}
+
+
+def test_rows_without_an_id_or_with_one_id_are_spread(spark):
+    from pyspark.sql import functions as F
+
+    passage = " ".join(f"p{i}" for i in range(20))
+    df = spark.range(4000).select(
+        F.when(F.col("id") % 10 == 0, F.when(F.col("id") % 20 == 0, 7).otherwise(F.col("id"))).alias("doc_id"), F.concat(F.lit("own"), "id", F.lit(f" {passage} end"), "id").alias("text")
+    )
+    out = S.remove_repeats(df)
+    rows = out.select("doc_id", "n_words", "n_removed", F.spark_partition_id().alias("task")).collect()
+    assert len(rows) == 4000 and all(r.n_words == 22 for r in rows)
+    assert {r.n_removed for r in rows if r.doc_id in (None, 7)} == {0} and {r.n_removed for r in rows if r.doc_id not in (None, 7)} == {20}
+    for own in ([r.task for r in rows if r.doc_id == 7], [r.task for r in rows if r.doc_id is None]):
+        assert max(own.count(t) for t in set(own)) < 0.5 * len(own)

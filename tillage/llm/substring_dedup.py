@@ -42,8 +42,8 @@ WINDOW, PREFIX = 13, 6
 SUBTREE, LONGER = 4 << 20, 3
 #: Bytes of small groups whose trees are built at once.
 TOGETHER = 2 << 20
-#: Runs that a task remembers to have sent on.
-REMEMBER = 100_000
+#: Bytes of runs that a task remembers to have sent on.
+REMEMBER = 16 << 20
 FOUND = ("tag", "start", "n", "source", "source_start")
 
 
@@ -75,7 +75,8 @@ def _anchors(window: int, prefix: int):
             order = np.lexsort((keys, doc))
             keys, doc = keys[order], doc[order]
             new = np.concatenate([[True], (np.diff(keys) != 0) | (np.diff(doc) != 0)]) if len(keys) else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[new].view(np.int64)), batch.column("doc_id").take(pa.array(doc[new]))], names=["anchor", "doc_id"])
+            own = pa.array(doc[new])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[new].view(np.int64)), batch.column("doc_id").take(own), batch.column("tag").take(own)], names=["anchor", "doc_id", "tag"])
 
     return run
 
@@ -86,6 +87,7 @@ def _runs(window: int, prefix: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: dict[bytes, tuple] = {}
+        size = 0
         for batch in W.slices(batches):
             first, count, keys, doc = anchored(W.words(batch.column("text")), window, prefix)
             lists = batch.column("anchors")
@@ -110,8 +112,10 @@ def _runs(window: int, prefix: int):
                 else:
                     held[d, content] = len(rows)
                     rows.append((key, d, [at], content, n, None, None))
-                    if len(sent) >= REMEMBER:
+                    size += 0 if content in sent else len(content) + 200  # the entry itself takes about so much
+                    if size > REMEMBER:
                         sent.clear()
+                        size = len(content) + 200
                     sent[content] = (own, at)
             cols = list(zip(*rows)) if rows else [[]] * 7
             at_row = pa.array(cols[1], pa.int64())
@@ -241,14 +245,15 @@ def _subtrees(window: int, together: int):
 def repeated_windows(own: DataFrame, window: int, prefix: int, subtree: int, scanned: DataFrame | None = None) -> DataFrame:
     """doc_id, tag, start, n, source, source_start: from word ``start`` on, ``n`` windows of a row are those of the earlier
     document ``source`` from its word ``source_start`` on.  ``own``: doc_id, tag, text; ``scanned``: the same texts where
-    they are cheaper to read in any order."""
+    they are cheaper to read in any order.  Rows without an id neither repeat others nor are repeated; they are left out by
+    the caller."""
     kind = own.schema["doc_id"].dataType.simpleString()
-    known = own.where("doc_id IS NOT NULL")
-    anchors = (scanned or own).where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(_anchors(window, prefix), f"anchor long, doc_id {kind}")
+    anchors = (scanned or own).select("doc_id", "tag", "text").mapInArrow(_anchors(window, prefix), f"anchor long, doc_id {kind}, tag long")
     shared_by = anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
     shared_by = shared.save(shared_by, "shared-anchors")  # see components._stars()
-    by_doc = anchors.join(shared_by, "anchor").groupBy(F.col("doc_id").alias("of_id")).agg(F.collect_list("anchor").alias("anchors"))
-    texts = known.join(by_doc, F.col("doc_id") == F.col("of_id")).select("doc_id", "tag", "text", "anchors")
+    # Rows that repeat an id are told apart by their texts, so that none gathers another's anchors.
+    by_doc = anchors.join(shared_by, "anchor").groupBy(F.col("doc_id").alias("of_id"), F.col("tag").alias("of_tag")).agg(F.collect_set("anchor").alias("anchors"))
+    texts = own.join(by_doc, (F.col("doc_id") == F.col("of_id")) & (F.col("tag") == F.col("of_tag"))).select("doc_id", "tag", "text", "anchors")
     suffix = f"key long, doc_id {kind}, tag long, starts array<int>, words string"
     runs = shared.save(texts.mapInArrow(_runs(window, prefix), f"{suffix}, n int, source {kind}, source_start int"), "runs")
     found = runs.where("key IS NULL").select("doc_id", "tag", F.col("starts")[0].alias("start"), "n", "source", "source_start")
@@ -302,16 +307,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     these names are replaced.
 
     A span (start, end, source, source_start) is a repeat that removes words: they are also in the document ``source``, of
-    the smallest id that has their windows, from its word ``source_start`` on.  Spans may overlap.
+    a smaller id (often, but not always, the smallest that has them), from its word ``source_start`` on.  Spans may overlap.
     """
     made = ("n_words", "n_removed", "kept", "spans")
     names = [c for c in docs.columns if c not in made]
     own = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names) if c not in (id_col, text)), F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
-    # Two joins need the texts by id: they are dealt once, to a bucketed table.  The tag tells rows of one id apart.
-    dealt = shared.bucketed(own.withColumn("tag", F.xxhash64("doc_id", "text")), "texts", "doc_id")
-    windows = repeated_windows(dealt.select("doc_id", "tag", "text"), window, prefix, subtree, own.select("doc_id", "text"))
-    lists = windows.groupBy(F.col("doc_id").alias("of_id")).agg(*(F.collect_list(c).alias(f"l_{c}") for c in FOUND))
-    joined = dealt.join(lists, F.col("doc_id") == F.col("of_id"), "left").drop("of_id")
+    # Two joins need the texts by row: they are dealt once, to a bucketed table.  The tag tells rows of one id apart.  Rows
+    # without an id keep all their words, and are not dealt, as they would meet in one bucket.
+    own = own.withColumn("tag", F.xxhash64("doc_id", "text"))
+    known = own.where("doc_id IS NOT NULL")
+    dealt = shared.bucketed(known, "texts", "doc_id", "tag")
+    windows = repeated_windows(dealt.select("doc_id", "tag", "text"), window, prefix, subtree, known.select("doc_id", "tag", "text"))
+    lists = windows.groupBy(F.col("doc_id").alias("of_id"), F.col("tag").alias("of_tag")).agg(*(F.collect_list(c).alias(f"l_{c}") for c in FOUND[1:]))
+    joined = dealt.join(lists, (F.col("doc_id") == F.col("of_id")) & (F.col("tag") == F.col("of_tag")), "left").drop("of_id", "of_tag", "tag")
+    unknown = own.where("doc_id IS NULL").drop("tag").select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in joined.schema if f.name.startswith("l_")))
+    joined = joined.unionByName(unknown)
     rest = [f for f in joined.schema if f.name[0] == "c" or f.name == "doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,10 +329,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             counts, removed, kept, spans = [], [], [], []
             texts = batch.column("text")
             values = texts.cast(pa.large_binary()).to_pylist()
-            for value, tag, *found in zip(values, *(batch.column(c).to_pylist() for c in ("tag", *(f"l_{c}" for c in FOUND)))):
+            for value, *found in zip(values, *(batch.column(f"l_{c}").to_pylist() for c in FOUND[1:])):
                 split = value.split()
                 counts.append(len(split))
-                mine = joined_repeats([x for t, *x in zip(*found) if t == tag], window) if found[0] else []
+                mine = joined_repeats(list(zip(*found)), window) if found[0] else []
                 at, left = 0, []
                 for span in mine:  # in order of their starts
                     left += split[at : max(at, span["start"])]
