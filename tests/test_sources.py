@@ -113,3 +113,36 @@ def test_result_pages_are_read_in_order(spark):
     assert {tuple(r) for r in got} == {("s", "a", 1), ("s", "b", 1), ("s", "c", 2), ("t", "a", 1)}
     html = spark.createDataFrame([('<a href="/x">other</a> <a id="l" href="y.pdf">View E-Label </a><a href="z">e-label</a>',), ("<p>",), (None,)], "h string")
     assert [r[0] for r in html.select(readers.link_by_text(F.col("h"), "e-label")).collect()] == ["y.pdf", None, None]
+
+
+def test_first_cell_links_and_limits(spark, tmp_path):
+    page = """<a href="/menu">m</a><table class="nav"><tr><td><a href="/nav">n</a></td></tr></table><TABLE id="r" class="wide search-results-table">
+<tr><th><a href="/head">h</a></th></tr><tr class="x"><td> <b><a class="k" href="/p1">one</a></b><a href="/second">s</a></td><td><a href="/other">o</a></td></tr>
+<tr><td>no link</td><td><a href="/late">l</a></td></tr><tr><td><a href="/p2">two</a></td></tr></TABLE><a href="/foot">f</a>"""
+    df = spark.createDataFrame([("q", 1, page), ("q", 2, page.replace("/p2", "/p3")), ("r", 1, "<p>none</p>"), ("s", 1, None)], "search string, number int, html string")
+    got = {(r.search, r.number): r.l for r in df.select("search", "number", readers.first_cell_links(F.col("html")).alias("l")).collect()}
+    assert got["q", 1] == ["/p1", "/p2"] and got["q", 2] == ["/p1", "/p3"] and not got["r", 1] and not got["s", 1]
+    links = {tuple(r) for r in readers.result_links(df, "search", "number", links_of=readers.first_cell_links).collect()}
+    assert links == {("q", "/p1", 1), ("q", "/p2", 1), ("q", "/p3", 2)}
+    for name in ("b.md", "a.md", "_c.md", "a.cleaned.md", "y.pdf", "x.pdf"):
+        (tmp_path / name).write_bytes(name.encode())
+    assert sorted(r.file for r in readers.read_markdown(spark, str(tmp_path), limit=2).collect()) == ["a.md", "b.md"]  # Spark passes by names that start with _
+    assert [r.file for r in readers.read_markdown(spark, str(tmp_path), for_extraction=True, limit=1).collect()] == ["a.md"]
+    assert [tuple(r) for r in readers.read_pdfs(spark, str(tmp_path), lambda b: [b.decode()], limit=1).collect()] == [("x.pdf", "x.pdf")]
+
+
+def test_percentiles_that_merge(spark):
+    from tillage.functions import guardrails
+
+    rows = spark.range(60_000).select((F.timestamp_seconds(F.col("id") % 7200)).alias("ts"), F.pmod(F.xxhash64("id"), F.lit(1_000_000)).cast("double").alias("v"))
+    short = guardrails.latency_sketches(rows, "v")
+    hours = guardrails.sketched_percentile(guardrails.rolled_up(short)).collect()
+    assert short.count() == 24 and sorted(r.n for r in hours) == [28_800, 31_200]
+    assert all(abs(r.latency / 1_000_000 - 0.95) < guardrails.SKETCH_ERROR + 0.005 for r in hours)
+
+
+def test_a_dotted_capital_counts_as_i(spark):
+    from tillage.functions.text import any_of
+
+    got = spark.createDataFrame([("FİRST AİD",), ("nothing",)], "t string").select(any_of("first aid")(F.col("t")).alias("x")).collect()
+    assert [r.x for r in got] == [True, False]

@@ -13,6 +13,7 @@ STATE_NAMES = {
     "all states": ALL_STATES, **{c.lower(): [c] for c in ALL_STATES}, "western australia": ["WA"], "south australia": ["SA"],
     "queensland": ["QLD"], "victoria": ["VIC"], "new south wales": ["NSW"],
 }
+# Fixed values here and below: the pattern of rate units, and those of the fields of labels, first pages and usage tables.
 UNIT = r"(?iU)(m?L|g|kg)\s*/\s*ha"
 
 

@@ -57,7 +57,7 @@ def any_of(*parts: str) -> Callable[[Column], Column]:
     """
 
     def test(text: Column) -> Column:
-        out = F.contains(text, F.lit("\u0131")) | F.contains(text, F.lit("\u017f"))
+        out = F.contains(text, F.lit("\u0130")) | F.contains(text, F.lit("\u0131")) | F.contains(text, F.lit("\u017f"))
         for part in parts:
             out = out | F.contains(F.lower(text), F.lit(part))
         return out

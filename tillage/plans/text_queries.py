@@ -216,6 +216,19 @@ def shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("rejection_shares", shares, REJECTED)
 add("rejection_alerts", lambda s, d: guardrails.rejection_alerts(shares(s, d)), f"WITH r AS ({REJECTED}), high AS (SELECT * FROM r WHERE share > 0.1) SELECT * FROM high WHERE start IN (SELECT start + INTERVAL '5 minutes' FROM high)")
 add("latency_p95", lambda s, d: guardrails.latency_percentile(B.table(s, d, "events"), "value").withColumn("latency", F.round("latency", 6)), "SELECT time_bucket(INTERVAL '5 minutes', ts) AS start, round(quantile_cont(value, 0.95), 6) AS latency FROM events GROUP BY 1")
+
+
+def sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 95th percentile of each hour, by five-minute sketches rolled up, and whether its rank is as near as promised."""
+    events = B.table(spark, sf_dir, "events")
+    hours = guardrails.sketched_percentile(guardrails.rolled_up(guardrails.latency_sketches(events, "value")))
+    own = events.select(F.window("ts", "1 hour")["start"].alias("start"), "value").join(hours, "start")
+    ranks = own.groupBy("start", "n").agg(F.avg((F.col("value") < F.col("latency")).cast("int")).alias("below"), F.avg((F.col("value") <= F.col("latency")).cast("int")).alias("upto"))
+    error = guardrails.SKETCH_ERROR + 1 / F.col("n")  # a rank can't be nearer than one value
+    return ranks.select("start", "n", ((F.col("below") <= 0.95 + error) & (F.col("upto") >= 0.95 - error)).alias("within"))
+
+
+add("latency_sketches_hourly", sketched, "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, count(value) AS n, true AS within FROM events GROUP BY 1")
 add(
     "violation_records",
     lambda s, d: guardrails.violation_records(guardrails.check_messages(B.table(s, d, "documents")), "doc_id").select("timestamp", "violation_type", "action_taken", F.array_join("metadata.pii_types", ",").alias("pii_types")),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -62,19 +63,23 @@ def read_parsed_tables(spark: SparkSession, path: str, limit: int | None = None)
     return tables.select("product_number", "position", F.col("t.id").alias("table_id"), "t.rows", "t.markdown", "t.column_count", "t.row_count", F.col("t.bbox.page").alias("page"))
 
 
-def read_markdown(spark: SparkSession, path: str, for_extraction: bool = False) -> DataFrame:
-    """file, text of whole Markdown files.  Cleaned files are left out; for extraction also tests and names that start with ``_``."""
-    rows = spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.col("value").alias("text"))
-    rows = rows.where("NOT endswith(file, '.cleaned.md')")
-    return rows.where("NOT startswith(file, '_') AND NOT contains(file, 'cleaned') AND NOT contains(file, 'test')") if for_extraction else rows
+def read_markdown(spark: SparkSession, path: str, for_extraction: bool = False, limit: int | None = None) -> DataFrame:
+    """file, text of whole Markdown files (the first ``limit`` by name).  Cleaned files are left out; for extraction also
+    tests and names that start with ``_``."""
+    where = "NOT endswith(file, '.cleaned.md')" + (" AND NOT startswith(file, '_') AND NOT contains(file, 'cleaned') AND NOT contains(file, 'test')" if for_extraction else "")
+    paths = path if limit is None else first_files(spark, path, "*.md", limit, where)
+    if not paths:
+        return spark.createDataFrame([], "file string, text string")
+    rows = spark.read.option("pathGlobFilter", "*.md").text(paths, wholetext=True)
+    return rows.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.col("value").alias("text")).where(where)
 
 
 def read_search_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, encoding="UTF-8")
 
 
-def read_pdfs(spark: SparkSession, path: str, parse: Callable[[bytes], list[str]]) -> DataFrame:
-    """file, text of PDFs by a parser of the caller's (bytes to page texts); pages are put behind rules and headings."""
+def read_pdfs(spark: SparkSession, path: str, parse: Callable[[bytes], list[str]], limit: int | None = None) -> DataFrame:
+    """file, text of PDFs (the first ``limit`` by name) by a parser of the caller's (bytes to page texts); pages are put behind rules and headings."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -84,7 +89,10 @@ def read_pdfs(spark: SparkSession, path: str, parse: Callable[[bytes], list[str]
                 texts.append("\n\n".join(p if i == 0 else f"---\n## Page {i + 1}\n\n{p}" for i, p in enumerate(pages)))
             yield pd.DataFrame({"file": pdf["path"].str.rsplit("/", n=1).str[-1], "text": texts})
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path).select("path", "content").mapInPandas(run, "file string, text string")
+    paths = path if limit is None else first_files(spark, path, "*.pdf", limit)
+    if not paths:
+        return spark.createDataFrame([], "file string, text string")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(paths).select("path", "content").mapInPandas(run, "file string, text string")
 
 
 def first_per_key(rows: DataFrame, key: str, order: str, needed: tuple[str, ...] = ()) -> DataFrame:
@@ -99,15 +107,28 @@ def first_per_key(rows: DataFrame, key: str, order: str, needed: tuple[str, ...]
 
 def page_links(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
     """Distinct links of each page."""
-    return pages.select(key, F.explode(F.regexp_extract_all(F.col(html), F.lit(r'(?i)<a\s[^>]*href="([^"]*)"'), 1)).alias("link")).distinct()
+    return pages.select(key, F.explode(every_link(F.col(html))).alias("link")).distinct()
+
+
+def every_link(html: Column) -> Column:
+    return F.regexp_extract_all(html, F.lit(r'(?i)<a\s[^>]*href="([^"]*)"'), 1)
 
 
-def result_links(pages: DataFrame, search: str, number: str, cap: int = 2, html: str = "html") -> DataFrame:
+def first_cell_links(html: Column, table_class: str = "search-results-table") -> Column:
+    """Of each row of a result table, but the first, the link in its first cell; menus and other cells' links don't count."""
+    table = F.regexp_extract(html, rf'(?is)<table\b[^>]*class="(?:[^"]*\s)?{re.escape(table_class)}(?:\s[^"]*)?"[^>]*>(.*?)</table', 1)
+    rows = F.regexp_extract_all(table, F.lit(r"(?is)<tr\b[^>]*>(.*?)(?=<tr\b|\z)"), 1)
+    cell = lambda row: F.regexp_extract(row, r"(?is)<td\b[^>]*>(.*?)(?=<t[dh]\b|</t[dr]|\z)", 1)
+    links = F.transform(F.slice(rows, 2, F.greatest(F.size(rows), F.lit(1))), lambda row: F.regexp_extract(cell(row), r'(?i)<a\s[^>]*href="([^"]*)"', 1))
+    return F.filter(links, lambda x: x != "")
+
+
+def result_links(pages: DataFrame, search: str, number: str, cap: int = 2, html: str = "html", links_of: Callable[[Column], Column] = every_link) -> DataFrame:
     """search, link, number of the page that has it first: the links that reading a search's result pages in order gives.
 
-    Reading ends before a page without links, at a page after the first that has no new ones, and after ``cap`` pages.
+    ``links_of``: which links of a page count, as first_cell_links().  Reading ends before a page without links, at a page after the first that has no new ones, and after ``cap`` pages.
     """
-    links = pages.select(search, number, F.explode_outer(F.regexp_extract_all(F.col(html), F.lit(r'(?i)<a\s[^>]*href="([^"]*)"'), 1)).alias("link"))
+    links = pages.select(search, number, F.explode_outer(links_of(F.col(html))).alias("link"))
     first = links.where("link IS NOT NULL").groupBy(search, "link").agg(F.min(number).alias(number))
     new = first.groupBy(search, number).agg(F.count(F.lit(1)).alias("new"))
     last = pages.select(search, number).join(new, [search, number], "left").where("new IS NULL")  # no links at all, or none that is new
@@ -211,11 +232,6 @@ def merge_blocks(files: DataFrame, key: str = "file") -> DataFrame:
     )
 
 
-def markdown_sections(text: Column) -> Column:
-    """A text cut before its headings."""
-    return F.filter(F.split(text, r"(?m)(?=^#+\s)", -1), lambda x: F.trim(x) != "")
-
-
 def write_json(rows: DataFrame, path: str, source: Column, model: str | None = None, at: Column | None = None) -> None:
     """Records with their provenance."""
     meta = F.struct(source.alias("source_file"), (at if at is not None else F.current_timestamp()).cast("string").alias("extracted_at"), F.lit(model).cast("string").alias("model"))
