@@ -15,7 +15,7 @@ from tillage.plans import binding as B
 from tillage.plans.chunk_queries import order_tables
 from tillage.plans.entity_queries import Query
 from tillage.sources import readers
-from tillage.streaming import violations
+from tillage.streaming import held, violations
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -229,6 +229,14 @@ def sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 add("latency_sketches_hourly", sketched, "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, count(value) AS n, true AS within FROM events GROUP BY 1")
+add(
+    "held_alerts",
+    lambda s, d: held.held_alerts(held.window_shares(B.table(s, d, "events"), "event_type", F.col("value") > 10, width="1 hour"), 0.3, 3 * 3600, 3600),
+    """WITH w AS (SELECT event_type AS name, epoch(time_bucket(INTERVAL '1 hour', ts))::BIGINT AS s, avg(CASE WHEN value > 10 THEN 1.0 ELSE 0.0 END) AS share FROM events GROUP BY 1, 2
+), r AS (SELECT name, s, s - 3600 * row_number() OVER (PARTITION BY name ORDER BY s) AS run FROM w WHERE share > 0.3
+), x AS (SELECT name, min(s) AS pending_at, max(s) + 3600 AS resolved_at FROM r GROUP BY name, run)
+SELECT name, pending_at, pending_at + 10800 AS fired_at, resolved_at FROM x WHERE resolved_at - pending_at >= 10800""",
+)
 add(
     "violation_records",
     lambda s, d: guardrails.violation_records(guardrails.check_messages(B.table(s, d, "documents")), "doc_id").select("timestamp", "violation_type", "action_taken", F.array_join("metadata.pii_types", ",").alias("pii_types")),
