@@ -46,6 +46,30 @@ def test_noise_rules_are_pythons(spark):
     assert "wash" not in python(NOISY[3]) and "wheat" in python(NOISY[3]) and "nothing" not in python(NOISY[3])
 
 
+def test_rules_in_groups_equal_rules_one_by_one(spark):
+    """A rule that makes another rule's match, in the same group and in a later one; letters that fold to i and s."""
+    made = ["pa<br>ge 1\nP<b>a</b>ge 2 of 3\nrest", "1<i>2</i>\n<b>12</b>L\nkept", "WARRANTY:\n<p>x</p>\n**İ** y", "FİRST AID:\nwash", "ſafety directions:\nwash", " \n 7\n x 7\n\t1 22 \n", "", "none of them"]
+    rules = cleaning.NOISE_RULES + cleaning.SECTION_IF + cleaning.PHONES_IF
+    plain = column(spark, made + NOISY + [None], lambda c: X.sub_all(c, [(pattern, new) for _, pattern, new in rules]))
+    for together in (1, 3, 8, len(rules)):
+        assert column(spark, made + NOISY + [None], lambda c, n=together: X.sub_if(c, rules, n)) == plain
+    assert plain[1] == "\nkept" and plain[0] == "pa ge 1\nPage 2 of 3\nrest"
+
+
+def test_boilerplate_stays_once(spark):
+    keep = "**Keep out of reach of children**\n**READ SAFETY DIRECTIONS BEFORE OPENING OR USING**"
+    group = "# **GROUP A HERBICIDE**"
+    texts = [f"{keep}\na\n{keep.upper()}\nb", f"{group}\n{group}\nx\n{group}", "plain", "", None]
+    assert column(spark, texts, cleaning.keep_first_all) == [f"{keep}\na\n\nb", f"{group}\n\nx\n", "plain", "", None]
+
+
+def test_spread_keeps_large_tables(spark, monkeypatch):
+    rows = spark.range(10).coalesce(1)
+    assert cleaning.spread(rows).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(cleaning, "SPLIT", 1)
+    assert cleaning.spread(rows).rdd.getNumPartitions() == 1
+
+
 def test_clean_documents(spark):
     head = "# **SPRAY**\n**Herbicide**\nActive Constituent: 100 g/L X\n\n# **GROUP A HERBICIDE**"
     block = "a paragraph that is quite long, longer than fifty characters in all"

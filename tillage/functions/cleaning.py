@@ -10,10 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillage.functions.text import any_of, bind, like, normalize, strip, sub_all, sub_if
+from tillage.functions.text import any_of, any_test, bind, like, normalize, strip, sub_all, sub_if
 
 _STREET = "(Road|Street|Avenue|Drive|Way|Rd|St|Ave)"
-_DIGIT = like(r"(?U)\d")
+_DIGIT = like(r"(?dUm)^\s*\d")
 # The noise rules, in this order.  m: each line; i: any case.  Before each, a test that its matches pass.
 NOISE_RULES = [
     (any_of("/"), r"(?dUm)^\d{1,2}/\d{1,2}/\d{2,4}\s*$", ""),
@@ -132,20 +132,42 @@ def keep_first_blocks(text: Column) -> Column:
     return bind(F.split(text, r"\n{2,}", -1), kept)
 
 
+def keep_first_all(body: Column) -> Column:
+    """Boilerplate and product headers once each.  Most texts have none: one look tells."""
+    test = any_test([any_of("herbicide"), *(t for t, _ in ONCE_IF)])
+
+    def every(t: Column) -> Column:
+        for own, pattern in ONCE_IF:
+            t = keep_first(t, pattern, own)
+        return keep_first_equal(t, PRODUCT_HEADER, any_of("herbicide"))
+
+    return bind(body, lambda t: F.when(test(t), every(t)).otherwise(t))
+
+
 def tidy(body: Column) -> Column:
     return strip(sub_all(body, [(r"(?dm)^[ \t]+$", ""), (r"\n{3,}", "\n\n"), (r"(?dm)[ \t]+$", "")]))
 
 
 def clean_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with cleaned.  The text goes from step to step as a column, so that no step's expression holds another's
-    twice."""
+    twice.  Files of few row groups are dealt out first, as patterns take far longer than a shuffle of the texts."""
     front, body = frontmatter(F.col(text))
-    out = docs.withColumn("_front", front).withColumn("_body", remove_noise(body))
-    for step in [*(lambda c, p=p, t=t: keep_first(c, p, t) for t, p in ONCE_IF), lambda c: keep_first_equal(c, PRODUCT_HEADER, any_of("herbicide")), keep_first_blocks, tidy]:
+    out = spread(docs).withColumn("_front", front).withColumn("_body", body)
+    for step in (remove_noise, keep_first_all, keep_first_blocks, tidy):
         out = out.withColumn("_body", step(F.col("_body")))
     return out.withColumn("cleaned", F.concat("_front", F.lit("\n"), "_body", F.lit("\n"))).drop("_front", "_body")
 
 
+SPLIT = 128 << 20
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores.  A table of more than a row group's usual size for each core is so by itself, and stays."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size < cores * SPLIT else rows
+
+
 def reduction(before: Column, after: Column) -> tuple[Column, Column, Column]:
     """Characters before and after, and the percentage saved."""
     a, b = F.length(before), F.length(after)

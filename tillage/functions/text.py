@@ -50,31 +50,59 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def any_of(*parts: str) -> Callable[[Column], Column]:
-    """A test that a text has one of these parts (lower case, without s), in any case.
+Test = Callable[..., Column]
+
+
+def any_of(*parts: str) -> Test:
+    """A test that a text has one of these parts (lower case, without s), in any case.  The text in lower case is its second
+    argument, so that it is made once for many tests.
 
     It stands before a costly pattern.  The letters that only fold to i and s pass it, as (?iU) takes them for these.
     """
 
-    def test(text: Column) -> Column:
-        out = F.contains(text, F.lit("\u0130")) | F.contains(text, F.lit("\u0131")) | F.contains(text, F.lit("\u017f"))
+    def test(text: Column, low: Column | None = None) -> Column:
+        low = F.lower(text) if low is None else low
+        out = folds(text)
         for part in parts:
-            out = out | F.contains(F.lower(text), F.lit(part))
+            out = out | F.contains(low, F.lit(part))
         return out
 
+    test.parts = parts
     return test
 
 
-def like(pattern: str) -> Callable[[Column], Column]:
-    return lambda text: F.regexp_like(text, F.lit(pattern))
+def folds(text: Column) -> Column:
+    return F.contains(text, F.lit("\u0130")) | F.contains(text, F.lit("\u0131")) | F.contains(text, F.lit("\u017f"))
+
+
+def like(pattern: str) -> Test:
+    return lambda text, low=None: F.regexp_like(text, F.lit(pattern))
+
+
+def any_test(tests: list[Test]) -> Test:
+    """A test that a text passes one of ``tests``, each tried once."""
+    parts = sorted({part for test in tests for part in getattr(test, "parts", ())})
+    others = list(dict.fromkeys(test for test in tests if not hasattr(test, "parts")))
 
+    def test(text: Column, low: Column | None = None) -> Column:
+        out = any_of(*parts)(text, low) if parts else F.lit(False)
+        for other in others:
+            out = out | other(text, low)
+        return out
+
+    return test
 
-def sub_if(text: Column, rules: list[tuple[Callable[[Column], Column], str, str]]) -> Column:
-    """As sub_all(), but a rule's pattern is tried only on texts that pass its test."""
 
-    def rule(test: Callable[[Column], Column], pattern: str, new: str) -> Callable[[Column], Column]:
-        return lambda t: F.when(test(t), F.regexp_replace(t, pattern, new)).otherwise(t)
+def sub_if(text: Column, rules: list[tuple[Test, str, str]], together: int = 8) -> Column:
+    """As sub_all(), but the patterns of ``together`` rules in a row are tried only on texts that pass the test of one.
+
+    A text that passes none of them is not changed by the first rule, hence not by the second, and so on.
+    """
+
+    def step(group: list[tuple[Test, str, str]]) -> Callable[[Column], Column]:
+        test, plain = any_test([t for t, _, _ in group]), [(pattern, new) for _, pattern, new in group]
+        return lambda t: bind(F.lower(t), lambda low: F.when(test(t, low), sub_all(t, plain)).otherwise(t))
 
-    for one in rules:
-        text = bind(text, rule(*one))
+    for at in range(0, len(rules), together):
+        text = bind(text, step(rules[at : at + together]))
     return text
