@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillage.functions.text import has
+from tillage.operators import text_index
 from tillage.operators.graph import Graph
+from tillage.operators.text_index import TextIndex
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -100,12 +102,13 @@ def hybrid_search(g: Graph, text: str, embed: Callable[[str], list[float]], k: i
     return {"hits": found} | (expand(g, found.select("chunk_id")) if expand_graph else {})
 
 
-def chunks_for(g: Graph, term: str, kind: str, k: int = 10, once: bool = False) -> DataFrame:
+def chunks_for(g: Graph, term: str, kind: str, k: int = 10, once: bool = False, index: TextIndex | None = None) -> DataFrame:
     """Chunks that mention an entity like ``term`` (score 1), or whose text has it (0.8).  A chunk may come by both ways;
-    ``once`` keeps its better row."""
+    ``once`` keeps its better row.  With an ``index`` over chunk texts by chunk_id these are found by it, not by a scan."""
     hits = g.mentions.where((F.col("entity_type") == kind) & has(F.col("entity"), term)).select("chunk_id", "entity", F.lit(1.0).alias("score"))
     chunks = g.chunk.select("chunk_id", "text", "chunk_type", "product_number")
-    by_text = chunks.where(has(F.col("text"), term)).select("chunk_id", F.lit(None).cast("string").alias("entity"), F.lit(0.8).alias("score"))
+    found = text_index.search(index, term).select(F.col("id").alias("chunk_id")) if index else chunks.where(has(F.col("text"), term))
+    by_text = found.select("chunk_id", F.lit(None).cast("string").alias("entity"), F.lit(0.8).alias("score"))
     rows = hits.unionByName(by_text).distinct()
     if once:
         rows = rows.groupBy("chunk_id").agg(F.max_by("entity", "score").alias("entity"), F.max("score").alias("score"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillage.operators import graph as G
-from tillage.operators import vector_index
+from tillage.operators import text_index, vector_index
 from tillage.operators.graph_store import RULES
 from tillage.plans import binding as B
 from tillage.plans.entity_queries import Query
@@ -93,6 +93,23 @@ SELECT vec_id, round(c, 6) AS cosine, round((c + 1) / 2, 6) AS score FROM s WHER
 )
 
 
+#: Terms of a text search: of one gram and of many, over a word's end, in capitals, too short for a gram, found nowhere.
+TERMS = ["ing", "einheit", "tion a", "MENT", "e.", "no such words"]
+
+
+def searched_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose text has a term, by the index."""
+    index = text_index.build(B.table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/texts-{uuid.uuid4().hex}", "doc_id", folders=16, salts=2)
+    found = None
+    for term in TERMS:
+        own = text_index.search(index, term).select(F.lit(term).alias("term"), F.col("id").alias("doc_id"))
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
+add("text_index_search", searched_by_index, f"SELECT term, doc_id FROM documents, (VALUES {', '.join(f"('{term}')" for term in TERMS)}) AS t(term) WHERE contains(lower(text), lower(term))")
+
+
 def measured() -> calls.Caller:
     """A service that tells a text's length, and refuses some."""
 

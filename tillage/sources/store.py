@@ -115,6 +115,8 @@ class Store:
             rows = self._rows(table, {r["_bucket"] for r in few})
             for k in table["keys"]:
                 rows = rows.where(F.col(k).isin([r[k] for r in few if r[k] is not None]))
+            if len(table["keys"]) == 1:
+                return rows
         else:
             rows = self._rows(table, {r[0] for r in found.select("_bucket").distinct().collect()})  # at most all buckets
         return rows.join(wanted, table["keys"], "left_semi")
