@@ -1,5 +1,6 @@
 """Functions against Python's own behaviour and hand-written cases."""
 
+import random
 import re
 
 import pytest
@@ -156,3 +157,15 @@ def test_alerts_above_five_in_five_minutes(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     assert got == con.execute(T.SQL["violation_alerts_5_minutes"]).fetchall() == [(at, "six", 6)]
+
+
+def test_mentions_equal_the_pattern_loop(spark):
+    """Tokens of random texts made of the patterns' letters, against Python's first matches."""
+    rng = random.Random(3)
+    words = ["ryegrass", "wild", "oat", "s", " ", "\n", "radish", "shepherd", "'", "purse", "fat", "hen", "BARLEY", "grass", "field\u00a0", "pea", "lupin", "x", "Clov", "er", "chickpea"]
+    made = ["".join(rng.choice(words) for _ in range(rng.randrange(25))) for _ in range(200)] + [""]
+    for patterns in (C.WEEDS, C.CROPS, ["a|lupins", "[xw]ild?", "(fat)hen", "s{2}"]):
+        for squash in (True, False):
+            want = [sorted({m[0].replace(" ", "") if squash else m[0] for p in patterns if (m := re.search(p, t.lower())) and m[0]}) for t in made]
+            assert column(spark, made, lambda c, ps=patterns, q=squash: C.mentions(c, ps, q)) == want
+    assert column(spark, [None], lambda c: C.mentions(c, C.WEEDS)) in ([[]], [None])
