@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillage.functions.text import strip
 from tillage.operators import chunking as C
 from tillage.operators import retrieval as R
+from tillage.operators import table_rows as T
 from tillage.operators.graph import Graph, edges, edges_to_known, stats
+from tillage.operators.running import number, running
 from tillage.plans import binding as B
 from tillage.plans.entity_queries import Query
+from tillage.streaming.violations import shared_folder
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -209,6 +214,42 @@ add(
     lambda s, d: C.chunk_tables(order_tables(s, d), max_tokens=60).withColumn("headers", F.array_join("headers", " | ")).drop("page_number"),  # order lines have no pages
     TABLE_CHUNKS,
 )
+
+
+def order_table_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The tables of ``order_tables`` and their rows, numbered without gathering a table's lines."""
+    raw = B.raw_controls(spark, sf_dir)
+    line = F.array("crop", "weed", F.col("states")[0], F.concat("rate_per_ha", F.when(F.col("l_returnflag") == "A", " L/ha").otherwise(" parts")), "critical_comments")
+    position = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    lines = raw.select("product_number", position.alias("position"), *B.WRITE_ORDER, F.when(F.col("l_returnflag") == "R", F.slice(line, 4, 2)).otherwise(line).alias("cells"))
+    headed = F.col("position") < 2
+    rows = number(lines, T.KEYS, "l_orderkey", "n", ("l_linenumber", "l_extendedprice", "cells")).select(*T.KEYS, (F.col("n") + headed.cast("int")).alias("row"), "cells")
+    tables = lines.groupBy(*T.KEYS).agg(F.count(F.lit(1)).alias("lines")).select(
+        *T.KEYS, F.concat(F.lit("t"), F.col("position").cast("string")).alias("table_id"), F.lit(None).cast("string").alias("markdown"), F.when(headed, 5).otherwise(2).alias("column_count"),
+        (F.col("lines") + headed.cast("int")).cast("int").alias("row_count"), F.lit(None).cast("int").alias("page"),
+    )
+    heads = F.when(F.col("position") == 0, F.array(*map(F.lit, ("crop", "name", "place", "amount", "notes")))).otherwise(F.array(*map(F.lit, ("place", "name", "where", "how", "harvest"))))
+    return tables, rows.unionByName(tables.where(headed).select(*T.KEYS, F.lit(0).cast("long").alias("row"), heads.alias("cells")))
+
+
+def table_chunks_by_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of ``table_chunks``, of rows and not of arrays."""
+    tables, rows = order_table_rows(spark, sf_dir)
+    scratch = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{scratch}/rows")  # numbered once, as rows are read four times
+    chunks = T.chunk_table_rows(tables, spark.read.parquet(f"{scratch}/rows"), f"{scratch}/facts", max_tokens=60)
+    return chunks.withColumn("headers", F.array_join("headers", " | ")).drop("page_number")
+
+
+add("table_chunks_by_rows", table_chunks_by_rows, TABLE_CHUNKS)
+add(
+    "running_totals",
+    lambda s, d: running(B.table(s, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice", F.col("l_quantity").cast("long").alias("quantity"), "l_returnflag"), ["l_returnflag"], "l_orderkey", {"lines_before": F.lit(1), "quantity_before": F.col("quantity")}, {"last_large": F.when(F.col("quantity") >= 49, F.concat_ws("-", "l_orderkey", "l_linenumber", "l_suppkey"))}, ("l_linenumber", "l_extendedprice", "l_suppkey", "quantity")),
+    """SELECT l_suppkey, l_orderkey, l_linenumber, l_extendedprice, quantity, l_returnflag, count(*) OVER w AS lines_before, coalesce(sum(quantity) OVER w, 0)::BIGINT AS quantity_before,
+  last_value(CASE WHEN quantity >= 49 THEN concat_ws('-', l_orderkey, l_linenumber, l_suppkey) END IGNORE NULLS) OVER w AS last_large
+FROM (SELECT *, l_quantity::BIGINT AS quantity FROM lineitem)
+WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_extendedprice, l_suppkey, quantity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+)
 add(
     "chunk_contexts",
     lambda s, d: C.chunk_tables(order_tables(s, d), max_tokens=60).select("chunk_id", F.sha2(C.contextualize(F.col("product_number"), F.nullif("parent_section", F.lit("metadata")), F.col("chunk_type"), F.col("text")), 256).alias("text_sha256")),
