@@ -1,9 +1,11 @@
 import random
+import sys
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from tillage.llm import packing as P
@@ -80,3 +82,46 @@ def test_words_alone_give_the_ids_of_the_text(spark):
         found = text.encode().split()
         ids.learn([found])
         assert b"".join(ids[w] for w in found) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+
+
+def calls(work):
+    n = 0
+
+    def count(frame, event, arg):
+        nonlocal n
+        n += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        work()
+    finally:
+        sys.setprofile(None)
+    return n
+
+
+def test_forms_of_a_word_cost_no_steps_of_their_own():
+    rng = random.Random(4)
+    stems = ["".join(rng.choices("aeinorsté", k=8)) for _ in range(500)]
+    words = [f(s) for s in stems for f in (str, str.title, str.upper, "{},".format, "({})".format, "{}&&&".format, "{}'s".format, "{}-1".format)]
+    ids = P._Ids(PATH)
+    ids.learn([[b"first", b"imports"]])
+    assert calls(lambda: ids.learn([[w.encode() for w in words]])) < 8 * len(words)  # 17 when each word was cut on its own
+    ids = P._Ids(PATH)
+    assert calls(lambda: ids.of_texts(pa.array([" ".join(words)], pa.large_string()))) < len(words)
+
+
+def test_texts_as_the_tokenizer_encodes_them(monkeypatch):
+    monkeypatch.setattr(P, "REMEMBER", 20_000)  # parts are forgotten and learnt again
+    rng = random.Random(6)
+    tokenizer, ids = Tokenizer.from_file(PATH), P._Ids(PATH)
+    bits = ["<|endoftext|>", "<|ENDOFTEXT|>", "\0", "\0a", "a\0b", "it's", "'LL've", "J̌", "H̱", "ΑΣ", "가", "\x1c", "\xa0", "ŉſĲİ", "½²ªµ", "&&&", "x" * 5000, "1" * 99, "'" * 99, " \x0b\t\x0c\r\n"]
+    alphabet = "aBsTdé1½.,'&<|> \t"
+    texts = ["", " ", *map(chr, range(0x250)), *(f"A{chr(c)}'s{chr(c)}1" for c in range(0x250))]
+    texts += ["".join(rng.choice(bits) if rng.random() < 0.1 else rng.choice(alphabet) for _ in range(rng.randrange(40))) for _ in range(4000)]
+    for at in range(0, len(texts), 700):
+        some = texts[at : at + 700]
+        flat, bounds = ids.of_texts(pa.array(["not here", *some], pa.large_string()).slice(1))
+        for text, i, j in zip(some, bounds, bounds[1:]):
+            assert flat[i:j].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    flat, bounds = ids.of_texts(pa.array([], pa.large_string()))
+    assert len(flat) == 0 and bounds.tolist() == [0]

@@ -17,9 +17,11 @@ import zlib
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,9 +31,11 @@ from tillage.llm import words as W
 
 CAPACITY = 4096
 END_ID = 1
-#: Bytes of words, and half as many of parts of words, that a Python worker remembers before it forgets them.
-REMEMBER = 60 << 20
-#: Bytes that a remembered word takes besides its letters and ids: two objects and an entry.
+#: Bytes of text whose words are looked up at once.
+SLICE = 4 << 20
+#: Bytes of parts of words that a Python worker remembers before it forgets them.
+REMEMBER = 90 << 20
+#: Bytes that a remembered part takes besides its letters and ids: two objects and an entry.
 OVERHEAD = 160
 
 
@@ -135,6 +139,10 @@ def best_fit(counts: dict[int, int], capacity: int) -> Runs:
 #: Words of these characters need no normalisation but lower case, so the tokenizer's own steps can be taken one by one.
 PLAIN = "[!-~\u00a1-\u012f\u0131-\u017f]+"
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The parts that this finds besides runs of letters; with spaces around these, a word falls into its parts.
+BESIDES = r"('s|'t|'re|'ve|'m|'ll|'d|\p{N}|[^\s\p{L}\p{N}]+)"
+#: Goes before a word that is no plain one; no part of a plain word has it.
+ODD = "\0"
 
 
 def byte_letters() -> dict[int, str]:
@@ -144,63 +152,97 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+def take(ids: np.ndarray, bounds: np.ndarray, picks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The picked stretches of ``ids``, one after the other, and their bounds."""
+    sizes = np.diff(bounds)[picks]
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    at = np.repeat(bounds[picks] - ends[:-1], sizes)
+    at += np.arange(ends[-1])
+    return ids[at], ends
+
+
+def distinct(split: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Of lists of strings: the different strings, the number of each string, and the bounds of the lists."""
+    flat = split.flatten().dictionary_encode()
+    return flat.dictionary, flat.indices.to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])
+
+
 class _Ids(dict):
-    """Word: its ids as little-endian 32-bit numbers.  Words between ASCII white space are encoded one by one: the
-    tokenizer drops white space and never looks beyond it.  Plain words are cut by the tokenizer's pattern and each
-    part goes to its BPE model once; others go through the whole tokenizer."""
+    """Ids of words.  Words between ASCII white space are encoded one by one: the tokenizer drops white space and never
+    looks beyond it.  Plain words are lower-cased and cut by the tokenizer's pattern, each different word of a batch once,
+    and each part goes to its BPE model once; others go through the whole tokenizer.  Parts and other words are remembered
+    with their ids as little-endian 32-bit numbers."""
 
     def __init__(self, path: str) -> None:
         import json
 
-        import regex
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.letters = self.tokenizer.model, byte_letters()
+        letters = byte_letters()
+        self.model, self.letters = self.tokenizer.model, {c: "".join([letters[b] for b in chr(c).encode()]) for c in range(161, 384)}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         steps = [x["type"] for x in spec["normalizer"]["normalizers"]], spec["pre_tokenizer"]["pretokenizers"][0]["pattern"].get("Regex")
-        known = steps == (["NFC", "Replace", "Lowercase"], PRETOKENS)
-        self.known = known
-        self.plain = regex.compile(PLAIN if known else r"(?!)")
-        self.cut = regex.compile(PRETOKENS)
+        self.known = steps == (["NFC", "Replace", "Lowercase"], PRETOKENS)
         self.special = [x["content"] for x in spec["added_tokens"]]
         self.parts: dict[str, bytes] = {}
-        self.bytes = self.part_bytes = 0
-        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
-
-    def part(self, text: str) -> bytes:
-        found = self.parts.get(text)
-        if found is None:
-            mapped = text if text.isascii() else "".join([self.letters[b] for b in text.encode()])
-            packed = self.packed
-            found = self.parts[text] = b"".join([packed[t.id] for t in self.model.tokenize(mapped)])
-            self.part_bytes += len(text) + len(found) + OVERHEAD
-        return found
-
-    def learn(self, found: list[list[bytes]]) -> None:
+        self.bytes = 0
+
+    def cut(self, words: pa.Array) -> pa.Array:
+        """The parts of each plain word, and perhaps empty strings; a word that is no plain one, behind a mark."""
+        mark, nothing = pa.scalar(ODD, words.type), pa.scalar("", words.type)
+        spaced = pc.binary_join_element_wise(mark, words, nothing)
+        if self.known:
+            plain = pc.match_substring_regex(words, rf"\A{PLAIN}\z")
+            for s in self.special:
+                plain = pc.and_not(plain, pc.match_substring(words, s))
+            spaced = pc.if_else(plain, pc.replace_substring_regex(pc.utf8_lower(words), BESIDES, r" \1 "), spaced)
+        return pc.ascii_split_whitespace(spaced)
+
+    def know(self, parts: list[str]) -> None:
+        """Learn the parts that are not remembered."""
         if self.bytes > REMEMBER:
-            self.clear()
-            self.bytes = 0
-        if self.part_bytes > REMEMBER // 2:
             self.parts.clear()
-            self.part_bytes = 0
-        odd = []
-        new = {w for ws in found for w in ws if w not in self}
-        for key in new:
-            word = key.decode()
-            stem = word.rstrip(".,")
-            if self.known and stem.isascii() and stem.isalpha():
-                stop = word[len(stem) :]
-                self[key] = self.part(stem.lower()) + self.part(stop) if stop else self.part(stem.lower())
-            elif self.plain.fullmatch(word) and not any(s in word for s in self.special):
-                self[key] = b"".join([self.part(p) for p in self.cut.findall(word.lower())])
-            else:
-                odd.append(key)
-        for key, e in zip(odd, self.tokenizer.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False)):
-            self[key] = np.array(e.ids, "<u4").tobytes()
-        self.bytes += sum([len(key) + len(self[key]) for key in new]) + OVERHEAD * len(new)
+            self.bytes = 0
+        new = [p for p in parts if p not in self.parts]
+        tokenize, letters = self.model.tokenize, self.letters
+        ids: list[int] = []
+        sizes = []
+        odd = [p for p in new if p[:1] == ODD]
+        encoded = iter(self.tokenizer.encode_batch_fast([p[1:] for p in odd], add_special_tokens=False))
+        for p in new:
+            found = next(encoded).ids if p[:1] == ODD else [t.id for t in tokenize(p if p.isascii() else p.translate(letters))]
+            ids += found
+            sizes.append(len(found))
+        packed, at = np.array(ids, "<u4").tobytes(), 0
+        for p, n in zip(new, sizes):
+            self.parts[p] = packed[at : at + 4 * n]
+            at += 4 * n
+        self.bytes += sum(map(len, new)) + len(packed) + OVERHEAD * len(new)
+
+    def of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after the other, and each word's bounds there."""
+        parts, picks, bounds = distinct(self.cut(words))
+        keys = parts.to_numpy(zero_copy_only=False).tolist()
+        self.know(keys)
+        ids = [self.parts[p] for p in keys]
+        flat, ends = take(np.frombuffer(b"".join(ids), "<u4"), np.cumsum([0, *map(len, ids)]) // 4, picks)
+        return flat, ends[bounds]
+
+    def of_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As of_words(), for whole texts."""
+        words, picks, bounds = distinct(pc.ascii_split_whitespace(texts))
+        flat, ends = take(*self.of_words(words), picks)
+        return flat, ends[bounds]
+
+    def learn(self, found: list[list[bytes]]) -> None:
+        """Hold just these words, as keys; for callers that have words and no texts."""
+        self.clear()
+        words = list({w for ws in found for w in ws})
+        ids, bounds = self.of_words(pa.array(words, pa.large_binary()).cast(pa.large_string()))
+        self.update((w, ids[i:j].tobytes()) for w, (i, j) in zip(words, pairwise(bounds.tolist())))
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
@@ -215,12 +257,11 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
         known = shared.per_process(("word ids", tokenizer), lambda: _Ids(tokenizer))
         ranks, part = np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         end = np.array([END_ID], "<u4").tobytes()
-        for batch in W.slices(batches):
-            split = [t.split() for t in batch.column(1).cast(pa.large_binary()).to_pylist()]
-            known.learn(split)
+        for batch in W.slices(batches, limit=SLICE):
+            flat, bounds = known.of_texts(batch.column(1))
             rows: list[tuple] = []
-            for row, found in enumerate(split):
-                ids = b"".join([known[w] for w in found]) + end
+            for row, (first, last) in enumerate(pairwise(bounds.tolist())):
+                ids = flat[first:last].tobytes() + end
                 for start in range(0, len(ids), 4 * capacity):
                     piece = ids[start : start + 4 * capacity]
                     length = len(piece) // 4
