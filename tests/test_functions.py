@@ -169,3 +169,20 @@ def test_mentions_equal_the_pattern_loop(spark):
             want = [sorted({m[0].replace(" ", "") if squash else m[0] for p in patterns if (m := re.search(p, t.lower())) and m[0]}) for t in made]
             assert column(spark, made, lambda c, ps=patterns, q=squash: C.mentions(c, ps, q)) == want
     assert column(spark, [None], lambda c: C.mentions(c, C.WEEDS)) in ([[]], [None])
+
+
+def test_strip_takes_what_python_takes(spark):
+    texts = [f"{chr(c)}a{chr(c)} b{chr(c)}{chr(c)}" for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000] + ["", " \x1f\u3000", "a", "\U0001f600 "]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", X.strip(F.col("t")).alias("s")).collect()
+    assert {r.i: r.s for r in rows} == {i: t.strip() for i, t in enumerate(texts)}
+
+
+def test_usage_records_read_a_table_once(spark):
+    # Read again for each of its rows, these tables take minutes.
+    import time
+
+    head = "# Spray\nAPVMA Approval No: 1\nActive Constituent: x\n\n# DIRECTIONS FOR USE\n\n| Crop | Weeds | State | Rate | Notes |\n|---|---|---|---|---|\n"
+    text = F.concat(F.lit(head), F.repeat(F.lit("| wheat | dock, burr | WA | 1 - 2 L/ha | early |\n"), 1500))
+    began = time.time()
+    got = labels.usage_records(spark.range(4).select(text.alias("text"))).select(F.size("record.usage_scenarios").alias("n"), F.col("record.usage_scenarios")[1499]["weed_common_name"].alias("w")).collect()
+    assert [tuple(r) for r in got] == [(1500, "dock")] * 4 and time.time() - began < 60

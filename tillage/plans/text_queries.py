@@ -145,9 +145,10 @@ def label_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 USAGE = B.SQL.rstrip() + ", a AS (SELECT * FROM raw WHERE l_returnflag = 'A')\n"
+# An outer explode, as a filter on the sizes of the arrays, which Spark puts before the other, would make all records twice.
 add(
     "usage_rows",
-    lambda s, d: labels.usage_records(label_markdown(s, d)).select("product_number", F.explode("record.usage_scenarios").alias("u")).select("product_number", "u.crop", F.col("u.weed_common_name").alias("weed"), F.array_join("u.states", ",").alias("states"), "u.rate_value", "u.rate_unit", F.col("u.constraints")[0]["description"].alias("note")),
+    lambda s, d: labels.usage_records(label_markdown(s, d)).select("product_number", F.explode_outer("record.usage_scenarios").alias("u")).where("u IS NOT NULL").select("product_number", "u.crop", F.col("u.weed_common_name").alias("weed"), F.array_join("u.states", ",").alias("states"), "u.rate_value", "u.rate_unit", F.col("u.constraints")[0]["description"].alias("note")),
     USAGE + "SELECT product_number, crop, weed, 'All States' AS states, CAST(rate_per_ha AS DOUBLE) AS rate_value, 'L/ha' AS rate_unit, critical_comments AS note FROM a",
 )
 add(
