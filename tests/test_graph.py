@@ -197,3 +197,31 @@ def test_chunks_in_the_graph_and_answers(small, spark):
     assert "- Annual Ryegrass in wheat: 2 L/ha" in A.describe_entity(g, "Herbicide", "H1") and "ryegrass" not in A.describe_entity(g, "herbicide", "H1", include_controls=False).lower()
     assert "Products:" not in A.describe_hybrid(g, "q", lambda t: [1.0, 0.1], 1, expand_graph=False)
     assert [r.chunk_id for r in R.chunks_for(g, "radish", "Weed", once=True).collect()] == ["H1-t-2"]
+
+
+def test_mentions_are_asked_by_parts(spark):
+    from dataclasses import replace
+
+    from tillage.operators import chunking as C
+
+    texts = ["Wild radish, dock", "oats", "nothing", "dock and wild  oats", "paddock", None]
+    chunk = spark.createDataFrame([(f"c{i}", t, "text", "1", [1.0, float(i)]) for i, t in enumerate(texts)], "chunk_id string, text string, chunk_type string, product_number string, embedding array<double>")
+    names = spark.createDataFrame([(n,) for n in ("paddock dock", "wild oats", "oats", "burdock", "fern", "oats")], "name string")
+    document, herbicide = spark.createDataFrame([("1", "s")], "product_number string, source string"), spark.createDataFrame([("1", "p")], "product_number string, product_name string")
+    for patterns, squash in ((["dock", "oats"], True), (["dock", r"wild\s*oats?", "oats?"], False), (["dock", r"wild\s*oats?"], True)):
+        links = C.Links(chunk, [C.Link(chunk, names, patterns, "Weed", squash), C.Link(chunk, names, ["fern", "oats"], "Crop", squash)])
+        g = G.Graph(chunk=chunk, mentions=links.table, links=links, document=document, herbicide=herbicide)
+        plain = replace(g, links=None)
+        low = [(t or "").lower() for t in texts]
+        token = lambda t, p: (m := __import__("re").search(p, t)) and m.group().replace(" ", "" if squash else " ")
+        want = {(f"c{i}", n, kind) for kind, ps in (("Weed", patterns), ("Crop", ["fern", "oats"])) for i, t in enumerate(low) for p in ps for n in ("paddock dock", "wild oats", "oats", "burdock", "fern") if (x := token(t, p)) and x in n}
+        assert sorted(map(tuple, g.mentions.collect())) == sorted(want) and {r.name: r.total for r in G.stats(g).collect()}["mentions"] == len(want)
+        ids = chunk.where("chunk_id IN ('c1', 'c3')").select("chunk_id")
+        assert sorted(map(repr, R.mentioned(g, ids, brief=True).collect())) == sorted(map(repr, R.mentioned(plain, ids).collect()))
+        for term, kind in (("dock", "Weed"), ("OAT", "Crop"), ("fern", "Other")):
+            for k in (2, 10):
+                assert sorted(map(repr, R.chunks_for(g, term, kind, k).collect())) == sorted(map(repr, R.chunks_for(plain, term, kind, k).collect()))
+            once = [sorted((r.chunk_id, r.score) for r in R.chunks_for(x, term, kind, 2, once=True).collect()) for x in (g, plain)]
+            assert once[0] == once[1]
+    g.mentions = g.mentions.limit(1)
+    assert g.linked() is None and {r.name: r.total for r in G.stats(g).collect()}["mentions"] == 1
