@@ -79,3 +79,18 @@ def test_a_model_is_made_once_a_task(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert made.value == 2
+
+
+def test_context_in_order_equals_context_by_edges(spark):
+    from tillage.operators import chunking as C
+    from tillage.operators import retrieval as R
+    from tillage.operators.graph import Graph
+
+    rows = [(f"{p}-{i}", None if i == 2 else f"text {p} {i}", "text", 3 * i, p, "s") for p in ("a", "b") for i in range(6)] + [("c-0", "alone", "text", 0, "c", None), ("n-0", "t", "text", 0, None, None), ("n-1", "u", "text", 1, None, None)]
+    chunk = spark.createDataFrame(rows, "chunk_id string, text string, chunk_type string, sequence_order int, product_number string, parent_section string")
+    near = chunk.where("chunk_id IN ('a-0', 'b-3')").select("chunk_id")
+    for window, some in ((2, None), (3, near), (1, near)):
+        got, want = (sorted(map(repr, R.chunk_context(g, window, some).collect())) for g in (Graph(chunk=chunk), Graph(chunk=chunk, next=C.next_edges(chunk))))
+        assert got == want and got
+    plan = R.chunk_context(Graph(chunk=chunk))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
