@@ -88,3 +88,11 @@ def test_odd_tables_and_rows(spark, tmp_path):
     rows = spark.createDataFrame([("P", 0, 1, ["b" * 30], 1), ("P", 0, 0, None, 1), ("P", None, 0, ["c"], 1), (None, 0, 0, ["d"], 1), ("R", 0, 0, ["e" * 30], 1)], "product_number string, position int, row int, cells array<string>, block int")
     assert [(r.chunk_id[:4], r.text) for r in T.chunk_table_rows(tables, rows, str(tmp_path / "a")).collect() if r.product_number] == [("P-t-", "\n" + "b" * 30)]
     assert T.chunk_table_rows(tables.limit(0), rows.limit(0), str(tmp_path / "b")).collect() == []
+
+
+def test_columns_of_the_order_are_shuffled_once(spark):
+    rows = spark.range(100).select(F.lit("k").alias("k"), F.col("id").alias("at"), F.array(F.col("id").cast("string")).alias("cells"))
+    numbered = N.number(rows, ["k"], "at", "n", ("cells",))
+    dealt = next(line for line in numbered._jdf.queryExecution().optimizedPlan().toString().splitlines() if "false AS _run_start" in line)
+    assert dealt.count("cells#") == 1
+    assert sorted((r.at, r.n, r.cells) for r in numbered.collect()) == [(i, i, [str(i)]) for i in range(100)]
